@@ -126,7 +126,7 @@ def policies(spark: SparkSession, fields: str = "'type','props.k'") -> DataFrame
 LINES_SQL = """
 lines AS (
   SELECT 'src' || (user_id % 5) AS source_id, epoch_us(ts) AS us, event_id AS seq,
-         user_id, event_type, ts,
+         user_id, event_type, ts, props,
          '{"event_id":' || event_id || ',"user":{"id":' || user_id || '},"type":"'
            || event_type || '","props":' || props || '}' AS raw,
          'id=' || event_id || ' type=' || event_type || ' user=' || user_id AS kv

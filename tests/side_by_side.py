@@ -48,8 +48,8 @@ def compare(spark, con, name: str, sf_dir: str) -> str:
     a, b = normal(got, df.columns), normal(want, names)
     if a == b:
         return f"ok ({len(got)})"
-    only_a = [x for x in a if x not in set(b)][:2]
-    only_b = [x for x in b if x not in set(a)][:2]
+    in_a, in_b = set(a), set(b)
+    only_a, only_b = sorted(in_a - in_b)[:2], sorted(in_b - in_a)[:2]
     return f"DIFFER: {len(a)} vs {len(b)} rows\n  spark: {only_a}\n  sql:   {only_b}"
 
 
