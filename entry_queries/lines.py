@@ -300,7 +300,8 @@ def envelope_fields(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-FLOW_SQL = f"""WITH {LINES_SQL}, {SOURCES_SQL}, {RULES_SQL}, {KEPT_SQL}, {batches_sql("kept", "7", 60_000_000)},
+def flow_sql(size: int = 7, idle_us: int = 60_000_000) -> str:
+    return f"""WITH {LINES_SQL}, {SOURCES_SQL}, {RULES_SQL}, {KEPT_SQL}, {batches_sql("kept", str(size), idle_us)},
 keyed AS (SELECT *, coalesce({AGG_KEY_SQL}, 'row' || seq) AS k FROM batched),
 grouped AS (
   SELECT source_id, session, chunk, k, count(*) AS n, min(us) AS first_us, max(us) AS last_us,
@@ -313,8 +314,12 @@ SELECT source_id, session, chunk, slot, n, target_type, '{{"time": 0, "event": '
 FROM grouped JOIN sources USING (source_id)"""
 
 
-def flow(spark: SparkSession, sf_dir: str, **options) -> LogFlow:
-    return LogFlow(sources(spark, sf_dir), rules(spark), policies(spark), **options)
+FLOW_SQL = flow_sql()
+
+
+def flow(spark: SparkSession, sf_dir: str, size: int = 7, **options) -> LogFlow:
+    held = sources(spark, sf_dir).withColumn("batch_size", F.lit(size).cast("bigint"))
+    return LogFlow(held, rules(spark), policies(spark), **options)
 
 
 @query("deliver_lines", FLOW_SQL)

@@ -1 +1,207 @@
-"""Placeholder."""
+"""Streaming forms over the same tables, and the sinks, read back."""
+
+from __future__ import annotations
+
+import tempfile
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from entry_queries.base import (
+    AGG_KEY_SQL,
+    LINES_SQL,
+    batches_sql,
+    json_line,
+    logs,
+    policies,
+    query,
+    table,
+    text,
+)
+from entry_queries.lines import FLOW_SQL, flow, flow_sql
+from entry_queries.reporting import LOCKOUT_SQL
+from linefold.operators import collapse
+from linefold.plans.flow import split_targets
+from linefold.session import checkpoint_folder
+from linefold.sinks import folder
+from linefold.streaming import ingest, state
+
+
+def scratch(spark: SparkSession) -> str:
+    """A new folder in the shared folder the cluster names, or a local one in tests."""
+    shared = checkpoint_folder(spark)
+    if shared is None:
+        return tempfile.mkdtemp(prefix="run-", dir="/tmp")
+    return f"{shared.rstrip('/')}/run-{spark.sparkContext.applicationId}-{next(tempfile._get_candidate_names())}"
+
+
+def stream(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    schema = table(spark, sf_dir, name).schema
+    return spark.readStream.schema(schema).option("pathGlobFilter", f"{name}.parquet").parquet(sf_dir)
+
+
+def stream_logs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return stream(spark, sf_dir, "events").select(
+        text("src", F.col("user_id") % 5).alias("source_id"),
+        F.col("ts").cast("timestamp").alias("recv_ts"),
+        F.col("event_id").alias("seq"),
+        json_line().alias("raw"),
+    )
+
+
+def drain(rows: DataFrame, path: str, mode: str = "append") -> DataFrame:
+    """Run a stream over what is there into a table and read the table."""
+    spark = rows.sparkSession
+    running = (
+        rows.writeStream.outputMode(mode)
+        .format("parquet")
+        .option("checkpointLocation", f"{path}/checkpoint")
+        .option("path", f"{path}/out")
+        .trigger(availableNow=True)
+        .start()
+    )
+    running.awaitTermination()
+    return spark.read.schema(rows.schema).parquet(f"{path}/out")
+
+
+@query("stream_deliver_lines", FLOW_SQL)
+def stream_deliver_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = scratch(spark)
+    running = ingest.start(
+        stream_logs(spark, sf_dir),
+        lambda session: flow(session, sf_dir),
+        ingest.to_table(f"{path}/out"),
+        f"{path}/checkpoint",
+        time=F.lit(0),
+    )
+    running.awaitTermination()
+    out = spark.read.parquet(f"{path}/out")
+    return out.select("source_id", "session", "chunk", "slot", "n", "target_type", "line")
+
+
+@query(
+    "stream_batches",
+    f"""WITH {LINES_SQL}, {batches_sql("lines", "3", 1_800_000_000)},
+named AS (SELECT source_id, seq, place, dense_rank() OVER (PARTITION BY source_id ORDER BY session, chunk) - 1 AS batch_no FROM batched),
+ends AS (SELECT source_id, max(batch_no) AS last FROM named GROUP BY 1),
+tails AS (SELECT n.source_id, last, count(*) AS rows FROM named n JOIN ends e ON e.source_id = n.source_id AND e.last = n.batch_no GROUP BY 1, 2)
+SELECT n.* FROM named n JOIN tails t USING (source_id) WHERE batch_no < last OR rows = 3""",
+)
+def stream_batches(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Live batches; the open last batch of a source still waits for its timer."""
+    sized = stream_logs(spark, sf_dir).withColumn("batch_size", F.lit(3))
+    return drain(state.live_batches(sized, 1800), scratch(spark)).select("source_id", "seq", "place", "batch_no")
+
+
+@query(
+    "stream_frame_lines",
+    """WITH whole AS (SELECT conv_id, string_agg(text, '' ORDER BY turn) AS text FROM conversations GROUP BY 1),
+pieces AS (SELECT conv_id, unnest(string_split(text, chr(10))) AS line, len(string_split(text, chr(10))) AS n,
+  CAST(generate_subscripts(string_split(text, chr(10)), 1) - 1 AS BIGINT) AS line_no FROM whole)
+SELECT CAST(conv_id AS VARCHAR) AS conn_id, line_no, md5(line) AS digest FROM pieces WHERE length(line) > 0 AND line_no < n - 1""",
+)
+def stream_frame_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Lines of live connections; an unfinished line still waits for its rest."""
+    chunks = stream(spark, sf_dir, "conversations").select(
+        F.col("conv_id").cast("string").alias("conn_id"), F.col("turn").alias("seq"), F.encode("text", "UTF-8").alias("payload")
+    )
+    return drain(state.live_lines(chunks), scratch(spark)).select("conn_id", "line_no", F.md5("payload").alias("digest"))
+
+
+@query("stream_lockout", LOCKOUT_SQL)
+def stream_lockout(spark: SparkSession, sf_dir: str) -> DataFrame:
+    us = F.unix_micros(F.col("ts").cast("timestamp"))
+    attempts = (
+        stream(spark, sf_dir, "events")
+        .where(F.col("event_type").isin("signup", "error", "view"))
+        .select(
+            text("u", F.col("user_id") % 10).alias("user"),
+            F.timestamp_micros(F.floor(us / 60)).alias("ts"),
+            F.col("event_id").alias("seq"),
+            (F.col("event_type") == "signup").alias("ok"),
+        )
+    )
+    return drain(state.live_lockout(attempts), scratch(spark))
+
+
+@query(
+    "stream_templates",
+    f"""WITH {LINES_SQL} SELECT source_id, arg_min(raw, (us, seq)) AS raw, CAST(4 AS BIGINT) AS fields FROM lines GROUP BY 1""",
+)
+def stream_templates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = scratch(spark)
+    ingest.learn_templates(stream_logs(spark, sf_dir), f"{path}/out", f"{path}/checkpoint").awaitTermination()
+    return ingest.known_templates(spark, f"{path}/out").select(
+        "source_id", "raw", F.size("fields").cast("bigint").alias("fields")
+    )
+
+
+@query(
+    "stream_counts",
+    f"""WITH {LINES_SQL} SELECT source_id, count(*) AS processed, max(us) AS last_us FROM lines GROUP BY 1""",
+)
+def stream_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = scratch(spark)
+    counts = ingest.running_counts(stream_logs(spark, sf_dir))
+    running = (
+        counts.writeStream.outputMode("update")
+        .foreachBatch(lambda rows, epoch: rows.write.mode("overwrite").parquet(f"{path}/out/epoch={epoch}"))
+        .option("checkpointLocation", f"{path}/checkpoint")
+        .trigger(availableNow=True)
+        .start()
+    )
+    running.awaitTermination()
+    updates = spark.read.parquet(f"{path}/out")
+    return updates.groupBy("source_id").agg(
+        F.max("processed").alias("processed"), F.unix_micros(F.max("last_processed")).alias("last_us")
+    )
+
+
+@query(
+    "stream_windows",
+    f"""WITH {LINES_SQL}, keyed AS (SELECT *, {AGG_KEY_SQL} AS k, us // 3600000000 AS h FROM lines WHERE source_id IN ('src0', 'src1', 'src2')),
+g AS (SELECT source_id, h, k, count(*) AS n FROM keyed GROUP BY 1, 2, 3)
+SELECT source_id, h * 3600 AS window_start, n FROM g WHERE (h + 1) * 3600000000 <= (SELECT max(us) // 1000 * 1000 - 600000000 FROM keyed)""",
+)
+def stream_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Hourly collapse in event time; windows behind the watermark."""
+    keyed = collapse.with_collapse_key(stream_logs(spark, sf_dir), policies(spark))
+    out = drain(ingest.collapse_windows(keyed, "1 hour"), scratch(spark))
+    return out.select("source_id", F.unix_timestamp("window_start").alias("window_start"), "n")
+
+
+# A day without lines ends a batch here, so a source has few files.
+DAY_FLOW_SQL = flow_sql(40, 86_400_000_000)
+
+
+@query(
+    "folder_lines",
+    f"""SELECT source_id, session, chunk, line FROM ({DAY_FLOW_SQL}) WHERE target_type = 'FOLDER'""",
+)
+def folder_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Delivered files, one per batch, read back."""
+    path = scratch(spark)
+    day_flow = flow(spark, sf_dir, size=40, idle_seconds=86_400)
+    lines, _ = split_targets(day_flow.run(logs(spark, sf_dir), F.lit(0)))
+    folder.write_lines(lines, f"{path}/out")
+    return folder.read_lines(spark, f"{path}/out").select(
+        "source_id",
+        F.col("session").cast("bigint").alias("session"),
+        F.col("chunk").cast("bigint").alias("chunk"),
+        F.col("value").alias("line"),
+    )
+
+
+@query(
+    "folder_manifest",
+    f"""SELECT source_id, count(*) AS lines FROM ({FLOW_SQL}) WHERE target_type = 'FOLDER' GROUP BY 1""",
+)
+def folder_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Packed delivery; the manifest counts what was written."""
+    path = scratch(spark)
+    lines, _ = split_targets(flow(spark, sf_dir).run(logs(spark, sf_dir), F.lit(0)))
+    folder.deliver(lines, f"{path}/out", f"{path}/manifest", "2024-01-01-00-00-00", layout="packed")
+    entries = folder.read_manifest(spark, f"{path}/manifest")
+    return entries.groupBy(F.regexp_extract("filename", "source_id=([^/]+)/", 1).alias("source_id")).agg(
+        F.sum("count").alias("lines")
+    )

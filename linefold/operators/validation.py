@@ -20,6 +20,8 @@ LEVEL_NUMBER = "Compression level must be a valid integer"
 HEC_URL = "HEC URL is required for HEC Connector target"
 HEC_TOKEN = "HEC token is required for HEC Connector target"
 TARGET = "Target type must be either FOLDER or HEC"
+BAD_ADDRESS = "Invalid IP address. Please enter a valid IPv4 address."
+BAD_URL = "Invalid URL. Please enter a valid URL starting with http:// or https://."
 
 
 def _whole(text: Column) -> Column:
@@ -81,4 +83,4 @@ def address_error(source_ip: Column, hec_url: Column) -> Column:
         octets, lambda o: o.rlike("^\\d{1,3}$") & (o.try_cast("int") <= 255)
     )
     good_url = F.startswith(hec_url, F.lit("http://")) | F.startswith(hec_url, F.lit("https://"))
-    return F.when(~good_ip, F.lit("Invalid IP address")).when(~good_url, F.lit("Invalid URL"))
+    return F.when(~good_ip, F.lit(BAD_ADDRESS)).when(~good_url, F.lit(BAD_URL))
