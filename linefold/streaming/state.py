@@ -46,26 +46,31 @@ class BatchBuffer(StatefulProcessor):
         self.lines = handle.getListState("lines", "us LONG, seq LONG, raw STRING")
         self.position = handle.getValueState("position", "batch_no LONG, last_us LONG")
 
-    def _emit(self, source: str, number: int, lines: list[tuple]) -> pd.DataFrame:
-        return pd.DataFrame(
-            [(source, number, place, *line) for place, line in enumerate(lines, 1)],
-            columns=["source_id", "batch_no", "place", "us", "seq", "raw"],
-        )
+    @staticmethod
+    def _rows(source: str, number: int, lines: list[tuple]) -> list[tuple]:
+        return [(source, number, place, *line) for place, line in enumerate(lines, 1)]
+
+    @staticmethod
+    def _frame(rows: list[tuple]) -> pd.DataFrame:
+        return pd.DataFrame(rows, columns=["source_id", "batch_no", "place", "us", "seq", "raw"])
 
     def handleInputRows(self, key: Any, rows: Iterator[pd.DataFrame], timerValues: Any) -> Iterator[pd.DataFrame]:
         number, last_us = self.position.get() if self.position.exists() else (0, None)
         held = [tuple(line) for line in self.lines.get()] if self.lines.exists() else []
         for frame in rows:
+            out = []
             for us, seq, raw, size in zip(frame.us, frame.seq, frame.raw, frame.batch_size):
                 silent = last_us is not None and us - last_us >= self.idle_seconds * 1_000_000
                 if held and (silent or len(held) >= size):
-                    yield self._emit(key[0], number, held)
+                    out += self._rows(key[0], number, held)
                     number, held = number + 1, []
                 held.append((int(us), int(seq), raw))
                 last_us = int(us)
                 if len(held) >= size:
-                    yield self._emit(key[0], number, held)
+                    out += self._rows(key[0], number, held)
                     number, held = number + 1, []
+            if out:
+                yield self._frame(out)
         self.position.update((number, last_us))
         if held:
             self.lines.put(held)
@@ -76,7 +81,7 @@ class BatchBuffer(StatefulProcessor):
     def handleExpiredTimer(self, key: Any, timerValues: Any, expiredTimerInfo: Any) -> Iterator[pd.DataFrame]:
         if self.lines.exists():
             number, last_us = self.position.get()
-            yield self._emit(key[0], number, [tuple(line) for line in self.lines.get()])
+            yield self._frame(self._rows(key[0], number, [tuple(line) for line in self.lines.get()]))
             self.lines.clear()
             self.position.update((number + 1, last_us))
 
