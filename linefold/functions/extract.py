@@ -6,7 +6,9 @@ original,format>>`` in first-seen order with the last value of a repeated name.
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+import functools
+
+from pyspark.sql import Column, SparkSession
 from pyspark.sql import functions as F
 
 from linefold.functions.infer import FIELDS_TYPE, field, no_fields, typed_field
@@ -42,6 +44,7 @@ LEADING_STAMPS = [
 LEVEL_PATTERN = r"(?iU)\b(DEBUG|INFO|WARN(?:ING)?|ERROR|CRITICAL|FATAL|TRACE)\b"
 LEVEL_WORDS = ["DEBUG", "INFO", "WARNING", "ERROR", "CRITICAL", "WARN", "TRACE", "FATAL"]
 ADDRESS_PATTERN = r"(?U)\b(\d{1,3}\.\d{1,3}\.\d{1,3}\.\d{1,3})\b"
+ADDRESS_HINT = r"\p{Nd}\.\p{Nd}"
 MESSAGE_PATTERN = r"(?Ud):\s*(.+)$"
 COLON_PATTERN = r"(?sUd)([^:]+):\s*(.+?)(?=\n[^:]+:|\n*$)"
 LINE_PAIR_PATTERN = r"(?mUd)^([A-Za-z][A-Za-z0-9_\-\.]*)\s*[:=]\s*(.+?)$"
@@ -114,16 +117,20 @@ def detect_level(raw: Column) -> Column:
 
 def detect_level_word(raw: Column) -> Column:
     """First of the level words, in list order, that stands between spaces."""
-    padded = F.concat(F.lit(" "), raw, F.lit(" "))
-    choice = None
-    for word in LEVEL_WORDS:
-        hit = F.contains(padded, F.lit(f" {word} "))
-        choice = F.when(hit, F.lit(word)) if choice is None else choice.when(hit, F.lit(word))
-    return choice
+
+    def first_word(padded: Column) -> Column:
+        choice = None
+        for word in LEVEL_WORDS:
+            hit = F.contains(padded, F.lit(f" {word} "))
+            choice = F.when(hit, F.lit(word)) if choice is None else choice.when(hit, F.lit(word))
+        return choice
+
+    return bind(F.concat(F.lit(" "), raw, F.lit(" ")), first_word)
 
 
 def detect_address(raw: Column) -> Column:
-    return _found(raw, ADDRESS_PATTERN)
+    # Dots between digits are searched for first; the word borders are the slow part.
+    return F.when(raw.rlike(ADDRESS_HINT), _found(raw, ADDRESS_PATTERN))
 
 
 def delimiter_ranking(raw: Column) -> Column:
@@ -274,11 +281,16 @@ def _read(special: Column, writes: Column) -> Column:
 
 def _finish(read: Column, style: Column) -> Column:
     """Types for the surviving writes; the last write of a name decides."""
-    typed = F.transform(
-        F.map_entries(F.map_from_entries(read["writes"])),
-        lambda e: typed_field(e["key"], e["value"], style),
-    )
-    return F.when(F.size(read["special"]) == 0, typed).otherwise(
+    final = F.when(
+        style.isin("pairs", "named"),
+        F.transform(
+            F.map_entries(F.map_from_entries(read["writes"])),
+            lambda e: F.struct(e["key"].alias("k"), e["value"].alias("v")),
+        ),
+    ).otherwise(read["writes"])
+    typed = F.transform(final, lambda e: typed_field(e["k"], e["v"], style))
+    # Names by place are distinct already and differ from the special ones.
+    return F.when(~style.isin("pairs", "named"), F.concat(read["special"], typed)).when(F.size(read["special"]) == 0, typed).otherwise(
         last_wins(F.concat(read["special"], typed))
     )
 
@@ -390,14 +402,14 @@ def free_parts(raw: Column) -> Column:
         tail = F.slice(placed, skip + 1, F.greatest(F.size(placed) - skip, F.lit(0)))
         # Written back to front, the surviving place of each token is its first one.
         first_place = F.map_from_entries(F.reverse(tail))
-        taken = F.array(f["stamp"], f["level"], f["message"], f["address"])
-        fresh = F.map_filter(
-            first_place, lambda token, _: ~F.coalesce(F.array_contains(taken, token), F.lit(False))
-        )
+        taken = F.array_compact(F.array(f["stamp"], f["level"], f["message"], f["address"]))
+        entries = F.map_entries(first_place)
+        fresh = F.when(
+            F.size(taken) > 0, F.filter(entries, lambda e: ~F.array_contains(taken, e["key"]))
+        ).otherwise(entries)
         return F.array_sort(
             F.transform(
-                F.map_entries(fresh),
-                lambda e: F.struct(e["value"].alias("place"), e["key"].alias("token")),
+                fresh, lambda e: F.struct(e["value"].alias("place"), e["key"].alias("token"))
             )
         )
 
@@ -649,3 +661,14 @@ def text_examples(raw: Column, mode: str = "compat") -> Column:
     return F.when(F.contains(raw, F.lit("=")), pair_examples(raw, mode)).otherwise(
         free_examples(raw)
     )
+
+
+@functools.lru_cache(maxsize=16)
+def _named_examples(app: str, name: str, mode: str) -> Column:
+    return text_examples(F.col(name), mode)
+
+
+def named_text_examples(name: str, mode: str = "compat") -> Column:
+    """``text_examples`` of a named column. The expression is long; it is built once."""
+    session = SparkSession.getActiveSession()
+    return _named_examples(session.sparkContext.applicationId, name, mode)

@@ -13,6 +13,7 @@ DECIMAL_NUMBER = (
     r"(?iU)^[+-]?(?:(?:\d+(?:_\d+)*\.?(?:\d+(?:_\d+)*)?|\.\d+(?:_\d+)*)"
     r"(?:e[+-]?\d+(?:_\d+)*)?|inf|infinity|nan)$"
 )
+NUMBER_HINT = r"\p{Nd}|[iI][nN][fF]|[nN][aA][nN]"
 # Names and words that decide a type.
 TIME_NAMES = ["time", "timestamp", "date"]
 LEVEL_NAMES = ["level", "severity", "loglevel"]
@@ -54,10 +55,14 @@ def no_fields() -> Column:
 
 def number_kind(value: Column) -> Column:
     """``int``, ``float`` or null."""
-    text = strip(value)
-    return F.when(text.rlike(WHOLE_NUMBER), F.lit("int")).when(
-        text.rlike(DECIMAL_NUMBER), F.lit("float")
+    kind = bind(
+        strip(value),
+        lambda text: F.when(text.rlike(WHOLE_NUMBER), F.lit("int")).when(
+            text.rlike(DECIMAL_NUMBER), F.lit("float")
+        ),
     )
+    # Most words hold no digit at all and need no closer look.
+    return F.when(value.rlike(NUMBER_HINT), kind)
 
 
 def whole_text(value: Column) -> Column:
@@ -91,7 +96,8 @@ def typed_field(name: Column, value: Column, style: Column) -> Column:
     """
     facts = F.struct(
         number_kind(value).alias("number"),
-        F.lower(value).alias("lower"),
+        # Only short words can be a boolean.
+        F.when(F.length(value) <= 5, F.lower(value)).otherwise(F.lit("")).alias("lower"),
         F.when(style.isin("pairs", "named"), F.lower(name)).alias("by_name"),
         (style == "pairs").alias("pairs"),
     )

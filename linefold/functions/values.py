@@ -86,27 +86,28 @@ def is_object(event: Column) -> Column:
     return F.coalesce(F.schema_of_variant(event).startswith("OBJECT"), F.lit(False))
 
 
-def _quoted_path(field: Column) -> Column:
-    """``a.b`` -> ``$['a']['b']``; null if a name holds both kinds of quotes."""
-    single = F.concat(F.lit("$['"), F.replace(field, F.lit("."), F.lit("']['")), F.lit("']"))
-    double = F.concat(F.lit('$["'), F.replace(field, F.lit("."), F.lit('"]["')), F.lit('"]'))
-    return (
-        F.when(~F.contains(field, F.lit("'")), single)
-        .when(~F.contains(field, F.lit('"')), double)
-    )
+def object_fields(event: Column) -> Column:
+    """Top-level fields of a JSON object; null for any other value."""
+    return F.try_variant_get(event, "$", "map<string,variant>")
 
 
-def path_get(event: Column, field: Column) -> Column:
-    """VARIANT at a dotted path, walking objects only; null where absent."""
-    path = _quoted_path(field)
-    step = F.aggregate(
-        F.split(field, "\\."),
-        F.try_variant_get(event, "$", "variant"),
-        lambda at, name: F.try_element_at(
-            F.try_variant_get(at, "$", "map<string,variant>"), name
-        ),
-    )
-    return F.when(path.isNotNull(), F.try_variant_get(event, path, "variant")).otherwise(step)
+def path_in(fields: Column, path: Column) -> Column:
+    """VARIANT at a dotted path, walking objects only; null where absent.
+
+    ``fields`` comes from ``object_fields``. Spark would parse a JSON path held in a column
+    anew for every row, so names are looked up one by one instead.
+    """
+
+    def walk(names: Column) -> Column:
+        return F.aggregate(
+            F.slice(names, F.lit(2), F.size(names)),
+            F.try_element_at(fields, F.get(names, F.lit(0))),
+            lambda at, name: F.try_element_at(object_fields(at), name),
+        )
+
+    return F.when(
+        F.contains(path, F.lit(".")), bind(F.split(path, "\\."), walk)
+    ).otherwise(F.try_element_at(fields, path))
 
 
 # -- numbers as text ----------------------------------------------------------------

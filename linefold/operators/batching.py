@@ -43,10 +43,11 @@ def assign_batches(
         df, idle_seconds * 1_000_000, source, ts, seq, hot_cells, hot_rows
     )
     row = F.col("session_row")
-    return (
-        numbered.withColumn("chunk", F.floor(row / size).cast("bigint"))
-        .withColumn("place", (row % size + 1).cast("bigint"))
-        .drop("session_row")
+    return numbered.select(
+        *df.columns,
+        "session",
+        F.floor(row / size).cast("bigint").alias("chunk"),
+        (row % size + 1).cast("bigint").alias("place"),
     )
 
 

@@ -5,11 +5,12 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from linefold.functions.extract import text_examples
+from linefold.functions.extract import named_text_examples
 from linefold.functions.values import (
     bind,
     is_object,
-    path_get,
+    object_fields,
+    path_in,
     strict_json,
     strip,
     value_text,
@@ -27,7 +28,7 @@ def active_policies(policies: DataFrame) -> DataFrame:
     ).select("source_id", F.col("fields").alias("policy_fields"))
 
 
-def key_of(raw: Column, event: Column, fields: Column, mode: str = "compat") -> Column:
+def key_of(raw: str, event: Column, fields: Column, mode: str = "compat") -> Column:
     """MD5 of the joined field values of a line already parsed to ``event``."""
     none = F.lit("None")
 
@@ -39,22 +40,23 @@ def key_of(raw: Column, event: Column, fields: Column, mode: str = "compat") ->
             ),
         )
 
-    of_json = F.transform(fields, lambda f: F.coalesce(value_text(path_get(event, f)), none))
-    values = (
-        F.when(event.isNull(), bind(text_examples(raw, mode), of_text))
-        .when(is_object(event), of_json)
-        .otherwise(F.transform(fields, lambda _: none))
+    def of_json(held: Column) -> Column:
+        # JSON that is not an object has none of the fields.
+        return F.transform(fields, lambda f: F.coalesce(value_text(path_in(held, f)), none))
+
+    values = F.when(event.isNull(), bind(named_text_examples(raw, mode), of_text)).otherwise(
+        bind(object_fields(event), of_json)
     )
     return F.when(fields.isNotNull(), F.md5(F.array_join(values, "|").cast("binary")))
 
 
-def collapse_key(raw: Column, fields: Column, mode: str = "compat") -> Column:
-    """MD5 of the joined field values; ``None`` for an absent or null one.
+def collapse_key(raw: str, fields: Column, mode: str = "compat") -> Column:
+    """MD5 of the joined field values of column ``raw``; ``None`` for an absent or null one.
 
     JSON fields are dotted paths. Text fields are those of key=value or free text. Null
     where ``fields`` is null.
     """
-    key = bind(strict_json(raw), lambda event: key_of(raw, event, fields, mode))
+    key = bind(strict_json(F.col(raw)), lambda event: key_of(raw, event, fields, mode))
     return F.when(fields.isNotNull(), key)
 
 
@@ -63,7 +65,7 @@ def with_collapse_key(
 ) -> DataFrame:
     """Add ``agg_key``: null where the source has no active policy."""
     joined = df.join(active_policies(policies), "source_id", "left")
-    return joined.withColumn("agg_key", collapse_key(F.col(raw), F.col("policy_fields"), mode)).drop(
+    return joined.withColumn("agg_key", collapse_key(raw, F.col("policy_fields"), mode)).drop(
         "policy_fields"
     )
 
@@ -83,13 +85,14 @@ def _without_meta(json_object: Column) -> Column:
 
 
 def render(
-    raw: Column, n: Column, first_us: Column, last_us: Column, mode: str = "compat"
+    name: str, n: Column, first_us: Column, last_us: Column, mode: str = "compat"
 ) -> Column:
-    """Text of a collapsed line.
+    """Text of a collapsed line whose first line is in column ``name``.
 
     One line stays as it is. A JSON object or a text line becomes a JSON object with the
     four added fields, any other JSON gets a note behind it.
     """
+    raw = F.col(name)
     tail = F.concat(
         F.lit('"is_aggregated": "yes", "first_log_time": '),
         _epoch_seconds(first_us),
@@ -111,7 +114,7 @@ def render(
         )
 
     def of_event(event: Column) -> Column:
-        fields = F.when(event.isNull(), F.to_json(text_examples(raw, mode))).when(
+        fields = F.when(event.isNull(), F.to_json(named_text_examples(name, mode))).when(
             is_object(event), raw
         )
         return bind(
@@ -127,9 +130,10 @@ def collapse(
     raw: str = "raw",
     ts: str = "recv_ts",
     seq: str = "seq",
-    key: str = "agg_key",
+    key: Column | str = "agg_key",
     failed: str | None = None,
     mode: str = "compat",
+    carry: list[str] | None = None,
 ) -> DataFrame:
     """One row per key of a scope: ``raw, n, first_us, last_us, slot``.
 
@@ -138,48 +142,54 @@ def collapse(
     that covers most of the input is no hot spot. ``slot`` is the arrival position used for
     ordered output. ``failed`` names a boolean column of rows whose key could not be made:
     they stay as they are, together at the slot of the first of them in the batch.
+    ``carry`` names columns that are the same for all lines of a source.
     """
     us = F.unix_micros(F.col(ts).cast("timestamp"))
-    rows = df
+    kept = [F.col(c) for c in carry or []]
     if scope == "batch":
-        scope_keys = ["session", "chunk"]
+        scope_keys = {"session": F.col("session"), "chunk": F.col("chunk")}
         order = F.col("place")
     elif scope == "minute":
-        rows = rows.withColumn("minute", minute_of(F.col(ts)))
-        scope_keys = ["minute"]
+        scope_keys = {"minute": minute_of(F.col(ts))}
         order = F.struct(us, F.col(seq))
     elif scope == "all":
-        scope_keys = []
+        scope_keys = {}
         order = F.struct(us, F.col(seq))
     else:
         raise ValueError(f"unknown scope: {scope}")
 
+    key = F.col(key) if isinstance(key, str) else key
+    keyed = key if failed is None else F.when(~F.col(failed), key)
     alone = F.concat_ws(":", F.lit("row"), us.cast("string"), F.col(seq).cast("string"))
-    keyed = F.col(key) if failed is None else F.when(~F.col(failed), F.col(key))
-    rows = rows.withColumn("_key", F.coalesce(keyed, alone))
+    keys = ["source_id", *(carry or []), *scope_keys, "_key"]
+    rows = df.select(
+        "source_id",
+        *kept,
+        *[column.alias(name) for name, column in scope_keys.items()],
+        F.coalesce(keyed, alone).alias("_key"),
+        F.col(raw).alias("_line"),
+        us.alias("_us"),
+        order.alias("_order"),
+        *([] if failed is None else [F.col(failed).alias("_failed")]),
+    )
     aggregates = [
         F.count("*").alias("n"),
-        F.min_by(F.col(raw), order).alias("_first"),
-        F.min(us).alias("first_us"),
-        F.max(us).alias("last_us"),
-        F.min(order).alias("slot"),
+        F.min_by("_line", "_order").alias("raw"),
+        F.min("_us").alias("first_us"),
+        F.max("_us").alias("last_us"),
+        F.min("_order").alias("slot"),
     ]
     if failed is not None:
-        aggregates.append(F.bool_or(F.col(failed)).alias("_failed"))
-    groups = rows.groupBy("source_id", *scope_keys, "_key").agg(*aggregates)
-    out = groups.withColumn(
-        raw, render(F.col("_first"), F.col("n"), F.col("first_us"), F.col("last_us"), mode)
-    )
-    columns = ["source_id", *scope_keys, raw, "n", "first_us", "last_us", "slot"]
+        aggregates.append(F.bool_or("_failed").alias("_failed"))
+    groups = rows.groupBy(*keys).agg(*aggregates)
+    text = render("raw", F.col("n"), F.col("first_us"), F.col("last_us"), mode)
+    columns = [*keys[:-1], text.alias(raw), "n", "first_us", "last_us"]
     if failed is None:
-        return out.select(*columns)
+        return groups.select(*columns, "slot")
     together = Window.partitionBy("source_id", *scope_keys, "_failed")
     own = F.col("slot")
-    return (
-        out.withColumn("_own", own)
-        .withColumn("slot", F.when(F.col("_failed"), F.min(own).over(together)).otherwise(own))
-        .select(*columns, F.col("_own").alias("slot_order"))
-    )
+    slot = F.when(F.col("_failed"), F.min(own).over(together)).otherwise(own)
+    return groups.select(*columns, slot.alias("slot"), own.alias("slot_order"))
 
 
 def reduction_stats(batched: DataFrame, key: str = "agg_key") -> DataFrame:

@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from linefold.functions.extract import simple_pairs
-from linefold.functions.values import bind, is_object, path_get, strict_json, value_text
+from linefold.functions.values import bind, object_fields, path_in, strict_json, value_text
 
 
 def enabled_rules(rules: DataFrame) -> DataFrame:
@@ -44,12 +44,15 @@ def _matches(raw: Column, event: Column, rules: Column, pick: Callable) -> Colum
             & F.coalesce(F.try_element_at(pairs, r["field"]) == r["value"], F.lit(False)),
         )
 
-    by_json = pick(
-        rules,
-        lambda r: F.coalesce(value_text(path_get(event, r["field"])) == r["value"], F.lit(False)),
-    )
-    # JSON that is not an object holds no fields.
-    return F.when(event.isNotNull(), F.when(is_object(event), by_json)).when(
+    def by_json(fields: Column) -> Column:
+        hits = pick(
+            rules,
+            lambda r: F.coalesce(value_text(path_in(fields, r["field"])) == r["value"], F.lit(False)),
+        )
+        # JSON that is not an object holds no fields.
+        return F.when(fields.isNotNull(), hits)
+
+    return F.when(event.isNotNull(), bind(object_fields(event), by_json)).when(
         F.contains(raw, F.lit("=")), bind(simple_pairs(raw), by_text)
     )
 

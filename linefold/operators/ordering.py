@@ -98,11 +98,10 @@ def sessions_and_ranks(
         cells = cells.withColumn("_inner", F.lit(0).cast("bigint"))
 
     in_cell = Window.partitionBy(*keys).orderBy(us, F.col(seq))
-    numbered = rows.join(cells.select(*keys, "_session", "_before", "_inner"), keys).withColumn(
-        "session_row", F.col("_before") + F.col("_inner") + F.row_number().over(in_cell) - 1
-    )
-    return numbered.withColumn("session", F.col("_session")).drop(
-        "_session", "_before", "_inner", "_cell", "_milli", "_micro", "_block"
+    return rows.join(cells.select(*keys, "_session", "_before", "_inner"), keys).select(
+        *df.columns,
+        F.col("_session").alias("session"),
+        (F.col("_before") + F.col("_inner") + F.row_number().over(in_cell) - 1).alias("session_row"),
     )
 
 
@@ -119,14 +118,16 @@ def _carry_sessions(counts: DataFrame, idle_us: int, source: str) -> DataFrame:
     opens = F.coalesce((F.col("_lo") - F.lag("_hi").over(ordered) >= idle_us).cast("bigint"), F.lit(0))
     total = F.sum("_n").over(so_far) - F.col("_n")
     return (
-        cells.withColumn("_opens", opens)
-        .withColumn("_total", total)
-        .withColumn("_session", F.sum("_opens").over(so_far))
-        .withColumn(
-            "_start",
-            F.max(F.when(F.col("_opens") == 1, F.col("_total")).otherwise(F.lit(0))).over(so_far),
+        cells.select(source, "_cell", "_n", opens.alias("_opens"), total.alias("_total"))
+        .select(
+            source,
+            "_cell",
+            F.sum("_opens").over(so_far).alias("_session"),
+            (
+                F.col("_total")
+                - F.max(F.when(F.col("_opens") == 1, F.col("_total")).otherwise(F.lit(0))).over(so_far)
+            ).alias("_before"),
         )
-        .select(source, "_cell", "_session", (F.col("_total") - F.col("_start")).alias("_before"))
     )
 
 

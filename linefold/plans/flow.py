@@ -56,30 +56,15 @@ class LogFlow:
         """Raw decoded messages (``port, transport, source_ip, recv_ts, seq, raw``) to lines."""
         return routing.attribute(raw, self.sources).select("source_id", "recv_ts", "seq", "raw")
 
-    def screened(self, logs: DataFrame) -> DataFrame:
-        """Kept lines with settings and ``agg_key``. Each line is parsed once."""
-        joined = logs.join(source_settings(self.sources, self.rules, self.policies), "source_id")
-        raw, rules, fields = F.col("raw"), F.col("rules"), F.col("policy_fields")
-
-        def decide(event: Column) -> Column:
-            denied = deny.is_denied(raw, event, rules)
-            return F.struct(
-                denied.alias("denied"),
-                F.when(~denied, collapse.key_of(raw, event, fields, self.kv_mode)).alias("agg_key"),
-            )
-
-        needs_parse = rules.isNotNull() | fields.isNotNull()
-        decision = bind(F.when(needs_parse, strict_json(raw)), decide)
-        # Generated columns are computed once, then filtered and carried on.
-        decided = joined.select("*", F.inline(F.array(decision)))
-        return decided.where(~F.col("denied")).drop("denied", "rules", "policy_fields")
-
     def kept(self, logs: DataFrame) -> DataFrame:
-        """Lines no rule denies, as they came."""
+        """Lines of known sources that no rule denies, with their source's settings."""
+        settings = source_settings(self.sources, self.rules, self.policies)
+        joined = logs.join(settings, "source_id")
         if self.rules is None:
-            return logs.join(self.sources.select("source_id"), "source_id", "left_semi")
-        known = logs.join(self.sources.select("source_id"), "source_id", "left_semi")
-        return deny.apply_deny_rules(known, self.rules)
+            return joined.drop("rules")
+        raw, rules = F.col("raw"), F.col("rules")
+        denied = bind(strict_json(raw), lambda event: deny.is_denied(raw, event, rules))
+        return joined.where(rules.isNull() | ~denied).drop("rules")
 
     def batched(self, logs: DataFrame) -> DataFrame:
         hot = None
@@ -89,7 +74,7 @@ class LogFlow:
                 logs, self.idle_seconds * 1_000_000, hot_rows=self.hot_rows
             )
         return batching.assign_batches(
-            self.screened(logs),
+            self.kept(logs),
             F.col("batch_size"),
             self.idle_seconds,
             hot_cells=hot,
@@ -97,15 +82,18 @@ class LogFlow:
         )
 
     def collapsed(self, logs: DataFrame) -> DataFrame:
-        lines = self.batched(logs) if self.scope == "batch" else self.screened(logs)
-        return collapse.collapse(lines, self.scope, mode=self.kv_mode)
+        lines = self.batched(logs) if self.scope == "batch" else self.kept(logs)
+        if self.policies is None:
+            key = F.lit(None).cast("string")
+        else:
+            key = collapse.collapse_key("raw", F.col("policy_fields"), self.kv_mode)
+        return collapse.collapse(
+            lines, self.scope, key=key, mode=self.kv_mode, carry=["source_name", "target_type"]
+        )
 
     def run(self, logs: DataFrame, time: Column | None = None) -> DataFrame:
         """Delivery lines with their batch, target and source."""
-        named = routing.with_source_settings(
-            self.collapsed(logs), self.sources, "source_name", "target_type"
-        )
-        return envelope.envelope(named, time)
+        return envelope.envelope(self.collapsed(logs), time)
 
 
 def split_targets(delivered: DataFrame) -> tuple[DataFrame, DataFrame]:

@@ -29,6 +29,8 @@ def local_session(app_name: str = "linefold", cpus: str = "*", partitions: int =
         .config("spark.driver.memory", "8g")
         .config("spark.sql.shuffle.partitions", str(partitions))
         .config("spark.sql.adaptive.enabled", "true")
+        # Small inputs are heavy on expressions, not on bytes: keep all cores busy.
+        .config("spark.sql.adaptive.coalescePartitions.minPartitionSize", "64k")
         .config("spark.sql.execution.arrow.pyspark.enabled", "true")
     )
     spark = configure(builder.getOrCreate())

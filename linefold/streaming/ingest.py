@@ -109,7 +109,7 @@ def collapse_windows(
         .groupBy("source_id", F.window(ts, width), "agg_key")
         .agg(
             F.count("*").alias("n"),
-            F.min_by("raw", F.struct(us, F.col("seq"))).alias("_first"),
+            F.min_by("raw", F.struct(us, F.col("seq"))).alias("raw"),
             F.min(us).alias("first_us"),
             F.max(us).alias("last_us"),
         )
@@ -118,7 +118,7 @@ def collapse_windows(
         "source_id",
         F.col("window.start").alias("window_start"),
         "n",
-        collapse.render(F.col("_first"), F.col("n"), F.col("first_us"), F.col("last_us")).alias("raw"),
+        collapse.render("raw", F.col("n"), F.col("first_us"), F.col("last_us")).alias("raw"),
     )
 
 
