@@ -130,7 +130,8 @@ def float_text(number: Column) -> Column:
         scientific = F.concat(
             mantissa,
             F.when(power < 0, F.lit("e-")).otherwise(F.lit("e+")),
-            F.lpad(F.abs(power).cast("string"), 2, "0"),
+            F.when(F.abs(power) < 10, F.lit("0")).otherwise(F.lit("")),
+            F.abs(power).cast("string"),
         )
         return (
             F.when(java == "NaN", F.lit("nan"))

@@ -88,16 +88,27 @@ def _colons(fields: str) -> str:
     return ", ".join(part.strip().replace(" ", ": ", 1) for part in fields.split(", "))
 
 
-def _single_document(rows: DataFrame, key: str, value: Column, name: str) -> DataFrame:
-    """Registry rows as one map. A registry is configuration: one entry per source."""
-    return rows.select(F.col(key), value.alias("_value")).agg(
-        F.map_from_entries(F.array_sort(F.collect_list(F.struct(key, "_value")))).alias(name)
+def _by_source(entries: Column) -> Column:
+    """Map entries in source order; only the names are compared."""
+    return F.array_sort(
+        entries,
+        lambda a, b: F.when(a["source_id"] < b["source_id"], -1)
+        .when(a["source_id"] > b["source_id"], 1)
+        .otherwise(0),
     )
 
 
+def _single_document(rows: DataFrame, value: Column) -> DataFrame:
+    """Registry rows as one JSON map. A registry is configuration: one entry per source."""
+    entries = rows.select("source_id", value.alias("_value")).agg(
+        F.collect_list(F.struct("source_id", "_value")).alias("entries")
+    )
+    return entries.select(F.to_json(F.map_from_entries(_by_source(F.col("entries")))).alias("value"))
+
+
 def sources_document(sources: DataFrame) -> DataFrame:
     body = F.struct(*[c for c in sources.columns if c != "source_id"])
-    return _single_document(sources, "source_id", body, "doc").select(F.to_json("doc").alias("value"))
+    return _single_document(sources, body)
 
 
 def rules_document(rules: DataFrame) -> DataFrame:
@@ -116,7 +127,7 @@ def rules_document(rules: DataFrame) -> DataFrame:
             r["created"].alias("created"),
         ),
     )
-    return _single_document(lists, "source_id", body, "doc").select(F.to_json("doc").alias("value"))
+    return _single_document(lists, body)
 
 
 def policies_document(policies: DataFrame, templates: DataFrame) -> DataFrame:
@@ -135,9 +146,7 @@ def policies_document(policies: DataFrame, templates: DataFrame) -> DataFrame:
     )
     both = half_policies.unionByName(half_templates, allowMissingColumns=True)
     held = lambda name: F.map_from_entries(
-        F.array_sort(
-            F.collect_list(F.when(F.col(name).isNotNull(), F.struct("source_id", name)))
-        )
+        _by_source(F.collect_list(F.when(F.col(name).isNotNull(), F.struct("source_id", name))))
     )
     return both.agg(held("policy").alias("policies"), held("template").alias("templates")).select(
         F.to_json(F.struct("policies", "templates")).alias("value")
