@@ -35,13 +35,13 @@ def _exists(spark: SparkSession, path: str) -> bool:
 
 def load_sources(spark: SparkSession, path: str) -> DataFrame:
     """``{id: {...}}`` to one row per source."""
-    doc = _document(spark, path, f"MAP<STRING, STRUCT<{_colons(SOURCE_FIELDS)}>>")
+    doc = _document(spark, path, f"MAP<STRING, STRUCT<{SOURCE_FIELDS}>>")
     return doc.select(F.explode("doc").alias("source_id", "s")).select("source_id", "s.*")
 
 
 def load_rules(spark: SparkSession, path: str) -> DataFrame:
     """``{id: [{...}]}`` to one row per rule; ``position`` keeps the list order."""
-    doc = _document(spark, path, f"MAP<STRING, ARRAY<STRUCT<{_colons(RULE_FIELDS)}>>>")
+    doc = _document(spark, path, f"MAP<STRING, ARRAY<STRUCT<{RULE_FIELDS}>>>")
     lists = doc.select(F.explode("doc").alias("source_id", "list"))
     return lists.select("source_id", F.posexplode("list").alias("position", "r")).select(
         "source_id",
@@ -55,7 +55,7 @@ def load_rules(spark: SparkSession, path: str) -> DataFrame:
 
 def load_policies(spark: SparkSession, path: str) -> DataFrame:
     """The policy half of the policy document."""
-    schema = f"STRUCT<policies: MAP<STRING, STRUCT<{_colons(POLICY_FIELDS)}>>>"
+    schema = f"STRUCT<policies: MAP<STRING, STRUCT<{POLICY_FIELDS}>>>"
     doc = _document(spark, path, schema)
     return doc.select(F.explode("doc.policies").alias("source_id", "p")).select(
         "source_id", "p.fields", "p.enabled", "p.created"
@@ -64,7 +64,7 @@ def load_policies(spark: SparkSession, path: str) -> DataFrame:
 
 def load_templates(spark: SparkSession, path: str) -> DataFrame:
     """The template half: ``source_id, raw, fields, learned``."""
-    schema = f"STRUCT<templates: MAP<STRING, STRUCT<{_colons(TEMPLATE_FIELDS)}>>>"
+    schema = f"STRUCT<templates: MAP<STRING, STRUCT<{TEMPLATE_FIELDS}>>>"
     doc = _document(spark, path, schema)
     entries = F.transform(
         F.map_entries("t.fields"),
@@ -83,11 +83,6 @@ def load_templates(spark: SparkSession, path: str) -> DataFrame:
     )
 
 
-def _colons(fields: str) -> str:
-    """``name TYPE, ...`` as the inside of a STRUCT type."""
-    return ", ".join(part.strip().replace(" ", ": ", 1) for part in fields.split(", "))
-
-
 def _by_source(entries: Column) -> Column:
     """Map entries in source order; only the names are compared."""
     return F.array_sort(
