@@ -32,7 +32,11 @@ def main() -> None:
     sf_dir = os.environ.get("BENCH_SF_DIR", "/root/testdata/sf0.1")
     cpus = os.environ.get("BENCH_CPUS", "8")
     spark = local_session("bench", cpus, partitions=int(cpus) if cpus.isdigit() else 8)
-    spark.read.parquet(f"{sf_dir}/events.parquet").count()
+    # One small run loads classes; every timed query below reads its whole tables once.
+    warm_dir = os.environ.get("BENCH_WARM_DIR", "/root/testdata/sf0.001")
+    for name in ("deliver_lines", "collapse_minute", "agg_key_pairs"):
+        if os.path.isdir(warm_dir):
+            QUERIES[name](spark, warm_dir).write.format("noop").mode("overwrite").save()
     seconds = {}
     for name in HEADLINE:
         start = time.time()

@@ -214,7 +214,7 @@ def delimited_placed(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select(
         "doc_id", F.replace("text", F.lit("\n"), F.lit(" ")).alias("raw")
     )
-    fields = docs.select("doc_id", extract.delimited_fields(F.col("raw"), ",").alias("f"))
+    fields = docs.select("doc_id", F.explode(F.array(extract.delimited_fields(F.col("raw"), ","))).alias("f"))
     shown = F.transform("f", lambda f: F.concat(f["field"], F.lit("="), f["example"]))
     return fields.where(F.size("f") > 0).select(
         "doc_id", F.size("f").cast("bigint").alias("fields"), F.md5(F.array_join(shown, "|").cast("binary")).alias("digest")
@@ -271,7 +271,8 @@ SELECT doc_id, count(*) AS fields, md5(string_agg(f, '|' ORDER BY pos)) AS diges
 )
 def free_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
-    fields = docs.select("doc_id", extract.free_fields(F.col("text")).alias("f"))
+    # Generated, so that the filter and the output share one extraction.
+    fields = docs.select("doc_id", F.explode(F.array(extract.free_fields(F.col("text")))).alias("f"))
     shown = F.transform("f", lambda f: F.concat(f["field"], F.lit("="), f["example"]))
     return fields.where(F.size("f") > 0).select(
         "doc_id", F.size("f").cast("bigint").alias("fields"), F.md5(F.array_join(shown, "|").cast("binary")).alias("digest")

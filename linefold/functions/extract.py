@@ -21,6 +21,7 @@ from linefold.functions.values import (
     fixed2,
     float_text,
     is_object,
+    object_fields,
     strip,
     thousands,
     tokens,
@@ -478,6 +479,11 @@ def free_examples(raw: Column) -> Column:
 # -- JSON ---------------------------------------------------------------------------
 
 
+def _is_open(item: Column) -> Column:
+    """Whether a leaf is still an object; its text tells most others apart cheaply."""
+    return F.coalesce(F.startswith(item["text"], F.lit("{")), F.lit(False)) & is_object(item["value"])
+
+
 def _json_levels(raw: Column) -> Column:
     """Leaves of a JSON object as ``array<struct<path, text, value>>`` in document order.
 
@@ -486,24 +492,28 @@ def _json_levels(raw: Column) -> Column:
     """
     frontier_type = "array<struct<path:string,text:string,value:variant>>"
     start = F.array(
-        F.struct(F.lit("").alias("path"), raw.alias("text"), F.try_parse_json(raw).alias("value"))
+        F.struct(
+            F.lit("").alias("path"), strip(raw).alias("text"), F.try_parse_json(raw).alias("value")
+        )
     ).cast(frontier_type)
 
     def children(item: Column) -> Column:
         texts = F.map_entries(
             F.map_from_entries(F.map_entries(F.from_json(item["text"], "map<string,string>")))
         )
-        # Repeated names keep their first place; the value already holds the last content.
-        values = F.try_variant_get(item["value"], "$", "map<string,variant>")
         prefix = F.when(item["path"] == "", F.lit("")).otherwise(
             F.concat(item["path"], F.lit("."))
         )
-        return F.transform(
-            texts,
-            lambda e: F.struct(
-                F.concat(prefix, e["key"]).alias("path"),
-                e["value"].alias("text"),
-                F.try_element_at(values, e["key"]).alias("value"),
+        # Repeated names keep their first place; the value already holds the last content.
+        return bind(
+            F.struct(object_fields(item["value"]).alias("values"), prefix.alias("prefix")),
+            lambda held: F.transform(
+                texts,
+                lambda e: F.struct(
+                    F.concat(held["prefix"], e["key"]).alias("path"),
+                    e["value"].alias("text"),
+                    F.try_element_at(held["values"], e["key"]).alias("value"),
+                ),
             ),
         ).cast(frontier_type)
 
@@ -511,9 +521,7 @@ def _json_levels(raw: Column) -> Column:
         return F.flatten(
             F.transform(
                 items,
-                lambda item: F.when(is_object(item["value"]), children(item)).otherwise(
-                    F.array(item)
-                ),
+                lambda item: F.when(_is_open(item), children(item)).otherwise(F.array(item)),
             )
         )
 
@@ -616,9 +624,7 @@ def list_text(items: Column) -> Column:
 
 def json_fields(raw: Column) -> Column:
     """Fields of a JSON object line, nested objects as dotted names."""
-    leaves = F.filter(
-        _json_levels(raw), lambda leaf: ~is_object(leaf["value"])
-    )
+    leaves = F.filter(_json_levels(raw), lambda leaf: ~_is_open(leaf))
     return last_wins(
         F.transform(leaves, lambda leaf: json_value_field(leaf["path"], leaf["text"], leaf["value"]))
     )
