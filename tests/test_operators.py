@@ -278,3 +278,19 @@ def test_plans_stay_on_the_jvm_and_broadcast_small_tables(spark):
         assert "BroadcastHashJoin" in plan, name
         assert "Python" not in plan and "ArrowEval" not in plan, name
         assert "CartesianProduct" not in plan and "BroadcastNestedLoopJoin" not in plan, name
+
+
+def test_folder_sink_per_source_settings(spark, tmp_path):
+    flow = small_flow(spark)
+    sources = flow.sources.withColumn("target_type", F.lit("FOLDER")).select(
+        "*",
+        F.concat(F.lit(f"{tmp_path}/"), F.col("source_id")).alias("folder_path"),
+        (F.col("source_id") == "s0").alias("compression_enabled"),
+        F.lit(None).cast("int").alias("compression_level"),
+    )
+    folder.deliver_sources(flow.run(small_logs(spark), F.lit(0)), sources, "2024-01-01-00-00-00")
+    assert len(list((tmp_path / "s0" / "gzip-9").rglob("*.txt.gz"))) == 5
+    assert len(list((tmp_path / "s1" / "plain").rglob("*.txt"))) == 5
+    manifest = folder.read_manifest(spark, str(tmp_path / "s1" / "index" / "plain")).collect()
+    assert len(manifest) == 5 and not any(r.compressed for r in manifest)
+    assert all(r.compression_level is None for r in manifest)
