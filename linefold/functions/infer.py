@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from linefold.functions.values import bind, ellipsize, fixed2, strip, thousands
 
-# Number texts the reference semantics accept.
+# Number texts, as Python reads them.
 WHOLE_NUMBER = r"(?U)^[+-]?\d+(?:_\d+)*$"
 DECIMAL_NUMBER = (
     r"(?iU)^[+-]?(?:(?:\d+(?:_\d+)*\.?(?:\d+(?:_\d+)*)?|\.\d+(?:_\d+)*)"
