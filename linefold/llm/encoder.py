@@ -82,17 +82,19 @@ class WordEncoder:
         return out
 
     def _words(self, text: str) -> list[str] | None:
-        """Words if single blanks or line feeds separate them, the first of a line with its feed; else None.
-
-        One line feed is put ahead of the text, so that its first word has no blank.
-        """
-        if not text:
-            return []
         if not self.by_word or any(s in text for s in self.special):
-            return None
-        if " ".join(text.split()) != text.replace("\n", " "):
-            return None
-        return ("\n" + text.replace("\n", " \n")).split(" ")
+            return None if text else []
+        return led_words(text)
+
+
+def led_words(text: str) -> list[str] | None:
+    """Words if single blanks or line feeds separate them, the first of a line with its feed; else None.
+
+    One line feed is put ahead of the text, so that its first word has no blank.
+    """
+    if " ".join(text.split()) != text.replace("\n", " "):
+        return None
+    return ("\n" + text.replace("\n", " \n")).split(" ") if text else []
 
 
 def encoder(path: str) -> WordEncoder:

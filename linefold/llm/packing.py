@@ -32,7 +32,7 @@ from linefold.llm.encoder import encoder
 
 CAPACITY = 1024
 #: Fillings tried at a node, and nodes of the search after the first dive.
-BRANCHES, NODES = 4, 3_000
+BRANCHES, NODES = 4, 1_000
 
 Plan = list[tuple[tuple[int, ...], int]]  # lengths in one sequence, how many such sequences
 

@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from linefold.llm import packing, token_files
+from linefold.llm import packing, repetition, token_files, tree_bpe
 from linefold.llm.common import scratch
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -33,8 +33,19 @@ def op4_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(docs, public_tokenizers.path(BPE_50K), end_id=2, capacity=1024)
 
 
+@query
+def op6_repetition(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return repetition.judge(table(spark, sf_dir, "documents").select("doc_id", "text")).drop("text")
+
+
 @query
 def op7_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     files = token_files.write(docs, scratch(spark, "tokens"), public_tokenizers.path(BPE_50K), end_id=0)
     return token_files.read_digests(spark, files)
+
+
+@query
+def op8_tree_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return tree_bpe.round_trip(docs, public_tokenizers.path(BPE_MULTI), public_tokenizers.PATTERN).drop("text")
