@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from linefold.llm import packing, repetition, token_files, tree_bpe
+from linefold.llm import hamming_join, packing, repetition, token_files, tree_bpe
 from linefold.llm.common import scratch
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -27,6 +27,11 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+@query
+def op2_minhash_hamming(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return hamming_join.cluster(table(spark, sf_dir, "documents"), width=2, percent=80)
+
+
 @query
 def op4_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
