@@ -8,8 +8,8 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from linefold.llm import hamming_join, packing, repetition, token_files, tree_bpe
-from linefold.llm.common import scratch
+from linefold.llm import hamming_join, language_id, packing, repetition, token_files, tree_bpe
+from linefold.llm.common import bucket_of, scratch
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -54,3 +54,11 @@ def op7_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op8_tree_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     return tree_bpe.round_trip(docs, public_tokenizers.path(BPE_MULTI), public_tokenizers.PATTERN).drop("text")
+
+
+@query
+def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
+    docs = docs.withColumn("held_out", bucket_of("doc_id", 4) == 2)
+    model = language_id.train(docs, ~F.col("held_out"))
+    return language_id.identify(docs.drop("lang"), model).drop("text")
