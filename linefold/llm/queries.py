@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from linefold.llm import hamming_join, language_id, packing, repetition, token_files, tree_bpe
+from linefold.llm import hamming_join, language_id, packing, repetition, string_kernel, token_files, tree_bpe
 from linefold.llm.common import bucket_of, scratch
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -32,6 +32,15 @@ def op2_minhash_hamming(spark: SparkSession, sf_dir: str) -> DataFrame:
     return hamming_join.cluster(table(spark, sf_dir, "documents"), width=2, percent=80)
 
 
+@query
+def op3_string_kernel(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    docs = docs.withColumn("held_out", bucket_of("doc_id", 4) == 2)
+    labels = table(spark, sf_dir, "labels").select("doc_id", "toxic")
+    model = string_kernel.train(docs.where("not held_out").join(labels, "doc_id"))
+    return string_kernel.judge(docs, model).drop("text")
+
+
 @query
 def op4_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
