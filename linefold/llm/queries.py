@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from linefold.llm import hamming_join, language_id, packing, repetition, string_kernel, token_files, tree_bpe
+from linefold.llm import hamming_join, language_id, packing, repetition, semi_crf, string_kernel, token_files, tree_bpe
 from linefold.llm.common import bucket_of, scratch
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -65,6 +65,12 @@ def op8_tree_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tree_bpe.round_trip(docs, public_tokenizers.path(BPE_MULTI), public_tokenizers.PATTERN).drop("text")
 
 
+@query
+def op9_semi_crf(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return semi_crf.mark(docs, semi_crf.train(docs)).drop("text")
+
+
 @query
 def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
