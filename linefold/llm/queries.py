@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from linefold.llm import hamming_join, language_id, packing, repetition, semi_crf, string_kernel, token_files, tree_bpe
+from linefold.llm import hamming_join, language_id, packing, repetition, semi_crf, string_kernel, suffix_tree, token_files, tree_bpe
 from linefold.llm.common import bucket_of, scratch
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -27,6 +27,12 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+@query
+def op1_suffix_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return suffix_tree.score(docs.withColumn("held", bucket_of("doc_id", 5) == 1), "held")
+
+
 @query
 def op2_minhash_hamming(spark: SparkSession, sf_dir: str) -> DataFrame:
     return hamming_join.cluster(table(spark, sf_dir, "documents"), width=2, percent=80)
