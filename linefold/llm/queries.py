@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from linefold.llm import hamming_join, language_id, packing, repetition, semi_crf, string_kernel, suffix_tree, token_files, tree_bpe
+from linefold.llm import hamming_join, hash_forest, language_id, packing, repetition, semi_crf, string_kernel, suffix_tree, token_files, tree_bpe
 from linefold.llm.common import bucket_of, scratch
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -53,6 +53,12 @@ def op4_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(docs, public_tokenizers.path(BPE_50K), end_id=2, capacity=1024)
 
 
+@query
+def op5_hash_forest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = table(spark, sf_dir, "embeddings").select("vec_id", "embedding")
+    return hash_forest.search(vectors, F.col("vec_id") % 50 == 0, k=5)
+
+
 @query
 def op6_repetition(spark: SparkSession, sf_dir: str) -> DataFrame:
     return repetition.judge(table(spark, sf_dir, "documents").select("doc_id", "text")).drop("text")
