@@ -14,7 +14,7 @@ per letter and gap pattern and a sliding sum, in time linear in its length. A te
 most toxic window; a logistic curve fitted to margins gives the score.
 
 Any text gets a score; one that is null, empty or without enough letters gets the score of a text without
-features. With labels of one kind only, or none, all scores are that share of toxic rows, or 0. Rows with
+features. With labels of one kind only all scores are close to 0 or to 1, with none to 0. Rows with
 a null label teach nothing. Other columns pass; columns of the names made here are replaced.
 """
 
