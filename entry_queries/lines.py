@@ -22,7 +22,7 @@ from entry_queries.base import (
     sources,
     table,
 )
-from linefold.operators import batching, collapse, deny, envelope, ordering
+from linefold.operators import batching, collapse, deny, envelope
 from linefold.operators.reports import processed_metrics
 from linefold.plans.flow import LogFlow
 
@@ -74,13 +74,8 @@ def rule_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return deny.rule_counts(held)
 
 
-def _batched(spark: SparkSession, sf_dir: str, size: int, idle: int, hot_rows: int | None = None) -> DataFrame:
-    lines = logs(spark, sf_dir)
-    hot = None
-    if hot_rows is not None:
-        hot = ordering.find_hot_cells(lines, idle * 1_000_000, hot_rows=hot_rows)
-        return batching.assign_batches(lines, size, idle, hot_cells=hot, hot_rows=hot_rows)
-    return batching.assign_batches(lines, size, idle)
+def _batched(spark: SparkSession, sf_dir: str, size: int, idle: int) -> DataFrame:
+    return batching.assign_batches(logs(spark, sf_dir), size, idle)
 
 
 @query(
@@ -107,8 +102,8 @@ def batch_assign_long_idle(spark: SparkSession, sf_dir: str) -> DataFrame:
 SELECT source_id, seq, session, chunk, place FROM batched""",
 )
 def batch_assign_hot_cells(spark: SparkSession, sf_dir: str) -> DataFrame:
-    # Day-wide cells of more than 20 rows count as hot here, so the finer cuts are used.
-    return _batched(spark, sf_dir, 5, 86_400, hot_rows=20).select(
+    # Day-wide cells hold many seconds each.
+    return _batched(spark, sf_dir, 5, 86_400).select(
         "source_id", "seq", "session", "chunk", "place"
     )
 

@@ -3,8 +3,9 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from entry_queries.base import (
@@ -15,24 +16,48 @@ from entry_queries.base import (
     logs,
     policies,
     query,
+    sources,
     table,
     text,
 )
 from entry_queries.lines import FLOW_SQL, flow, flow_sql
 from entry_queries.reporting import LOCKOUT_SQL
 from linefold.operators import collapse
-from linefold.plans.flow import split_targets
+from linefold.plans.flow import LogFlow, split_targets
 from linefold.session import checkpoint_folder
 from linefold.sinks import folder
 from linefold.streaming import ingest, state
 
 
 def scratch(spark: SparkSession) -> str:
-    """A new folder in the shared folder the cluster names, or a local one in tests."""
+    """A new folder in the shared folder the cluster names, or a local one on a local master."""
     shared = checkpoint_folder(spark)
     if shared is None:
-        return tempfile.mkdtemp(prefix="run-", dir="/tmp")
-    return f"{shared.rstrip('/')}/run-{spark.sparkContext.applicationId}-{next(tempfile._get_candidate_names())}"
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
+        shared = tempfile.mkdtemp(prefix="run-")
+    return f"{shared.rstrip('/')}/run-{uuid.uuid4().hex}"
+
+
+def landed(rows: DataFrame, path: str, *order: str, parts: int = 3) -> DataFrame:
+    """Rows as a stream of ``parts`` files, one per trigger, cut where ``order`` says.
+
+    Files are written one after another, so the stream reads them in that order.
+    """
+    spark = rows.sparkSession
+    cut = rows.withColumn("_part", F.ntile(parts).over(Window.orderBy(*order))) if parts > 1 else rows.withColumn("_part", F.lit(1))
+    for k in range(1, parts + 1):
+        cut.where(F.col("_part") == k).drop("_part").coalesce(1).write.mode("append").parquet(f"{path}/in")
+    return spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", 1).parquet(f"{path}/in")
+
+
+def run_flow(spark: SparkSession, rows: DataFrame, make_flow, path: str) -> DataFrame:
+    """A flow over a stream in several triggers, its open tails delivered at the end."""
+    deliver, place = ingest.to_table(f"{path}/out"), f"{path}/checkpoint"
+    running = ingest.start(rows, make_flow, deliver, place, time=F.lit(0))
+    running.awaitTermination()
+    ingest.flush(running, spark, make_flow, deliver, place, time=F.lit(0))
+    return spark.read.parquet(f"{path}/out")
 
 
 def stream(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -70,46 +95,58 @@ def drain(rows: DataFrame, path: str, timers: bool = False) -> DataFrame:
 
 @query("stream_deliver_lines", FLOW_SQL)
 def stream_deliver_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The flow in three triggers: batches stay open between them."""
     path = scratch(spark)
-    running = ingest.start(
-        stream_logs(spark, sf_dir),
-        lambda session: flow(session, sf_dir),
-        ingest.to_table(f"{path}/out"),
-        f"{path}/checkpoint",
-        time=F.lit(0),
-    )
-    running.awaitTermination()
-    out = spark.read.parquet(f"{path}/out")
+    rows = landed(logs(spark, sf_dir), path, "recv_ts", "seq")
+    out = run_flow(spark, rows, lambda session: flow(session, sf_dir), path)
     return out.select("source_id", "session", "chunk", "slot", "n", "target_type", "line")
 
 
 @query(
     "stream_batches",
-    f"""WITH {LINES_SQL}, {batches_sql("lines", "3", 1_800_000_000)},
-named AS (SELECT source_id, seq, place, dense_rank() OVER (PARTITION BY source_id ORDER BY session, chunk) - 1 AS batch_no FROM batched),
-ends AS (SELECT source_id, max(batch_no) AS last FROM named GROUP BY 1),
-tails AS (SELECT n.source_id, last, count(*) AS rows FROM named n JOIN ends e ON e.source_id = n.source_id AND e.last = n.batch_no GROUP BY 1, 2)
-SELECT n.* FROM named n JOIN tails t USING (source_id) WHERE batch_no < last OR rows = 3""",
+    f"""WITH {LINES_SQL}, {batches_sql("lines", "3", 1_800_000_000)}
+SELECT source_id, seq, session, chunk, place FROM batched""",
 )
 def stream_batches(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Live batches; the open last batch of a source still waits for its timer."""
-    sized = stream_logs(spark, sf_dir).withColumn("batch_size", F.lit(3))
-    return drain(state.live_batches(sized, 1800), scratch(spark), timers=True).select("source_id", "seq", "place", "batch_no")
+    """Batches of three, each line on its own, in three triggers."""
+    path = scratch(spark)
+    small = sources(spark, sf_dir).withColumn("batch_size", F.lit(3).cast("bigint"))
+    rows = landed(logs(spark, sf_dir), path, "recv_ts", "seq")
+    out = run_flow(spark, rows, lambda session: LogFlow(small, idle_seconds=1800), path)
+    return out.select(
+        "source_id",
+        F.get_json_object("line", "$.event.event_id").cast("bigint").alias("seq"),
+        "session",
+        "chunk",
+        F.col("slot").alias("place"),
+    )
 
 
 @query(
     "stream_frame_lines",
     """WITH whole AS (SELECT conv_id, string_agg(text, '' ORDER BY turn) AS text FROM conversations GROUP BY 1),
-pieces AS (SELECT conv_id, unnest(string_split(text, chr(10))) AS line, len(string_split(text, chr(10))) AS n,
+pieces AS (SELECT conv_id, unnest(string_split(text, chr(10))) AS line,
   CAST(generate_subscripts(string_split(text, chr(10)), 1) - 1 AS BIGINT) AS line_no FROM whole)
-SELECT CAST(conv_id AS VARCHAR) AS conn_id, line_no, md5(line) AS digest FROM pieces WHERE length(line) > 0 AND line_no < n - 1""",
+SELECT CAST(conv_id AS VARCHAR) AS conn_id, line_no, md5(line) AS digest FROM pieces WHERE length(line) > 0""",
 )
 def stream_frame_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Lines of live connections; an unfinished line still waits for its rest."""
-    chunks = stream(spark, sf_dir, "conversations").select(
+    """Lines of connections whose chunks come in three triggers; the end gives up unfinished lines."""
+    path = scratch(spark)
+    chunks = table(spark, sf_dir, "conversations").select(
         F.col("conv_id").cast("string").alias("conn_id"), F.col("turn").alias("seq"), F.encode("text", "UTF-8").alias("payload")
     )
-    return drain(state.live_lines(chunks), scratch(spark), timers=True).select("conn_id", "line_no", F.md5("payload").alias("digest"))
+    framing, deliver = ingest.Framing(f"{path}/rest"), ingest.to_table(f"{path}/out")
+    running = (
+        landed(chunks, path, "seq", "conn_id")
+        .writeStream.foreachBatch(lambda rows, epoch: deliver(framing.advance(rows, epoch), epoch))
+        .option("checkpointLocation", f"{path}/checkpoint")
+        .trigger(availableNow=True)
+        .start()
+    )
+    running.awaitTermination()
+    last = running.lastProgress["batchId"]
+    deliver(framing.flush(spark, last), -1 - last)
+    return spark.read.parquet(f"{path}/out").select("conn_id", "line_no", F.md5("payload").alias("digest"))
 
 
 @query("stream_lockout", LOCKOUT_SQL)
@@ -163,9 +200,9 @@ def stream_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(
     "stream_windows",
-    f"""WITH {LINES_SQL}, keyed AS (SELECT *, {AGG_KEY_SQL} AS k, us // 3600000000 AS h FROM lines WHERE source_id IN ('src0', 'src1', 'src2')),
-g AS (SELECT source_id, h, k, count(*) AS n FROM keyed GROUP BY 1, 2, 3)
-SELECT source_id, h * 3600 AS window_start, n FROM g WHERE (h + 1) * 3600000000 <= (SELECT max(us) // 1000 * 1000 - 600000000 FROM keyed)""",
+    f"""WITH {LINES_SQL}, keyed AS (SELECT *, {AGG_KEY_SQL} AS k, us // 3600000000 AS h FROM lines),
+g AS (SELECT source_id, h, k IS NULL AS alone, coalesce(k, 'row' || seq), count(*) AS n FROM keyed GROUP BY 1, 2, 3, 4)
+SELECT source_id, h * 3600 AS window_start, n FROM g WHERE alone OR (h + 1) * 3600000000 <= (SELECT max(us) // 1000 * 1000 - 600000000 FROM keyed WHERE k IS NOT NULL)""",
 )
 def stream_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Hourly collapse in event time; windows behind the watermark."""

@@ -5,13 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from linefold.operators.ordering import (
-    HOT_CELL_ROWS,
-    floor_div,
-    micros,
-    sessions_and_ranks,
-    time_cell,
-)
+from linefold.operators.ordering import floor_div, micros, sessions_and_ranks, time_cell
 
 # Default batch sizes by target and the idle flush interval.
 HEC_BATCH_SIZE = 500
@@ -30,18 +24,13 @@ def assign_batches(
     source: str = "source_id",
     ts: str = "recv_ts",
     seq: str = "seq",
-    hot_cells: DataFrame | None = None,
-    hot_rows: int = HOT_CELL_ROWS,
 ) -> DataFrame:
     """Add ``session``, ``chunk`` and ``place``; a batch is ``(source, session, chunk)``.
 
-    ``place`` counts from 1 inside the batch in arrival order. Pass ``hot_cells`` from
-    ``find_hot_cells`` where one source can flood one idle interval.
+    ``place`` counts from 1 inside the batch in arrival order.
     """
     size = F.lit(batch_size) if isinstance(batch_size, int) else batch_size
-    numbered = sessions_and_ranks(
-        df, idle_seconds * 1_000_000, source, ts, seq, hot_cells, hot_rows
-    )
+    numbered = sessions_and_ranks(df, idle_seconds * 1_000_000, source, ts, seq)
     row = F.col("session_row")
     return numbered.select(
         *df.columns,

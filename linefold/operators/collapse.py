@@ -160,7 +160,8 @@ def collapse(
 
     key = F.col(key) if isinstance(key, str) else key
     keyed = key if failed is None else F.when(~F.col(failed), key)
-    alone = F.concat_ws(":", F.lit("row"), us.cast("string"), F.col(seq).cast("string"))
+    # Times and numbers can repeat, so a row without a key is named by itself.
+    alone = F.concat(F.lit("row:"), F.monotonically_increasing_id().cast("string"))
     keys = ["source_id", *(carry or []), *scope_keys, "_key"]
     rows = df.select(
         "source_id",

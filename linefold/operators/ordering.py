@@ -6,11 +6,12 @@ forward over the (few) cells of a group.
 
 from __future__ import annotations
 
+import functools
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-HOT_CELL_ROWS = 2_000_000
-HOT_CELLS_BROADCAST = 20_000
+SECOND = 1_000_000
 
 
 def micros(ts: Column) -> Column:
@@ -26,82 +27,45 @@ def time_cell(ts: Column, idle_us: int) -> Column:
     return floor_div(micros(ts), idle_us)
 
 
-def find_hot_cells(
-    df: DataFrame,
-    idle_us: int,
-    source: str = "source_id",
-    ts: str = "recv_ts",
-    hot_rows: int = HOT_CELL_ROWS,
-) -> DataFrame | None:
-    """Cells of one source and one idle interval with more than ``hot_rows`` rows.
-
-    Runs one small aggregation over two columns. ``df`` may be any superset of the rows to
-    be numbered, so it can be asked before lines are parsed. Returns null where no cell is
-    hot; a short list comes back as a broadcast, a long one as a plain DataFrame.
-    """
-    hot = (
-        df.groupBy(F.col(source).alias("hot_source"), time_cell(F.col(ts), idle_us).alias("hot_cell"))
-        .agg(F.count("*").alias("n"))
-        .where(F.col("n") > hot_rows)
-        .drop("n")
-    )
-    sample = hot.limit(HOT_CELLS_BROADCAST + 1).collect()
-    if not sample:
-        return None
-    if len(sample) > HOT_CELLS_BROADCAST:
-        return hot
-    return F.broadcast(df.sparkSession.createDataFrame(sample, hot.schema))
-
-
 def sessions_and_ranks(
     df: DataFrame,
     idle_us: int,
     source: str = "source_id",
     ts: str = "recv_ts",
     seq: str = "seq",
-    hot_cells: DataFrame | None = None,
-    hot_rows: int = HOT_CELL_ROWS,
 ) -> DataFrame:
     """Add ``session`` and ``session_row`` (both from 0) per source in ``(ts, seq)`` order.
 
     A session ends where the next row is ``idle_us`` or more later. Cells are as wide as
     the idle interval, so a session can only end between two cells: the least and greatest
     time and the row count of each cell are enough to find every session and the number of
-    rows before each cell. Rows are then numbered inside their cell alone. Hot cells are
-    cut further by millisecond, microsecond and blocks of ``seq``.
+    rows before each cell. Cells are cut by second, and rows are numbered inside their
+    second alone, whatever the size of the input. Rows without a time come first in their
+    source, as a session of their own; rows without a number come first in their time.
     """
     us = micros(F.col(ts))
-    rows = df.withColumn("_cell", time_cell(F.col(ts), idle_us))
-    keys = [source, "_cell"]
-    if hot_cells is not None:
-        rows = rows.join(
-            hot_cells.withColumn("_hot", F.lit(True)),
-            (F.col(source) == F.col("hot_source")) & (F.col("_cell") == F.col("hot_cell")),
-            "left",
-        ).drop("hot_source", "hot_cell")
-        cut = lambda c: F.when(F.col("_hot"), c).otherwise(F.lit(0)).cast("bigint")
-        rows = (
-            rows.withColumn("_milli", cut(floor_div(us, 1000)))
-            .withColumn("_micro", cut(us))
-            .withColumn("_block", cut(floor_div(F.col(seq), hot_rows)))
-            .drop("_hot")
-        )
-        keys += ["_milli", "_micro", "_block"]
-
-    counts = rows.groupBy(*keys).agg(
-        F.count("*").alias("_n"), F.min(us).alias("_lo"), F.max(us).alias("_hi")
-    )
+    rows = df.withColumn("_cell", time_cell(F.col(ts), idle_us)).withColumn("_part", floor_div(us, SECOND))
+    keys = [source, "_cell", "_part"]
+    counts = rows.groupBy(*keys).agg(F.count("*").alias("_n"), F.min(us).alias("_lo"), F.max(us).alias("_hi"))
+    by_part = Window.partitionBy(source, "_cell").orderBy("_part").rowsBetween(Window.unboundedPreceding, 0)
+    inner = (F.sum("_n").over(by_part) - F.col("_n")).alias("_inner")
+    parts = counts.select(*keys, inner)
     cells = _carry_sessions(counts, idle_us, source)
-    if hot_cells is not None:
-        cells = _carry_within(counts, source, keys).join(cells, [source, "_cell"])
-    else:
-        cells = cells.withColumn("_inner", F.lit(0).cast("bigint"))
-
-    in_cell = Window.partitionBy(*keys).orderBy(us, F.col(seq))
-    return rows.join(cells.select(*keys, "_session", "_before", "_inner"), keys).select(
-        *df.columns,
+    same_cell = F.col("p." + source).eqNullSafe(F.col("c." + source)) & F.col("p._cell").eqNullSafe(F.col("c._cell"))
+    placed = parts.alias("p").join(cells.alias("c"), same_cell).select(
+        *[F.col(f"p.{k}").alias(f"_k{i}") for i, k in enumerate(keys)],
+        "c._session",
+        (F.col("c._before") + F.col("p._inner")).alias("_base"),
+    )
+    in_part = Window.partitionBy(*keys).orderBy(us, F.col(seq))
+    numbered = rows.withColumn("_row", F.row_number().over(in_part) - 1)
+    same_part = functools.reduce(
+        lambda a, b: a & b, [F.col(k).eqNullSafe(F.col(f"_k{i}")) for i, k in enumerate(keys)]
+    )
+    return numbered.join(placed, same_part).select(
+        *[F.col(f"`{c}`") for c in df.columns],
         F.col("_session").alias("session"),
-        (F.col("_before") + F.col("_inner") + F.row_number().over(in_cell) - 1).alias("session_row"),
+        (F.col("_base") + F.col("_row")).alias("session_row"),
     )
 
 
@@ -115,7 +79,9 @@ def _carry_sessions(counts: DataFrame, idle_us: int, source: str) -> DataFrame:
     )
     ordered = Window.partitionBy(source).orderBy("_cell")
     so_far = ordered.rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    opens = F.coalesce((F.col("_lo") - F.lag("_hi").over(ordered) >= idle_us).cast("bigint"), F.lit(0))
+    after_untimed = F.lag("_n").over(ordered).isNotNull() & F.lag("_hi").over(ordered).isNull()
+    gap = F.col("_lo") - F.lag("_hi").over(ordered) >= idle_us
+    opens = F.coalesce((gap | after_untimed).cast("bigint"), after_untimed.cast("bigint"), F.lit(0))
     total = F.sum("_n").over(so_far) - F.col("_n")
     return (
         cells.select(source, "_cell", "_n", opens.alias("_opens"), total.alias("_total"))
@@ -129,63 +95,3 @@ def _carry_sessions(counts: DataFrame, idle_us: int, source: str) -> DataFrame:
             ).alias("_before"),
         )
     )
-
-
-def _carry_within(counts: DataFrame, source: str, keys: list[str]) -> DataFrame:
-    """Rows of the same cell before each cut of a hot cell, level by level."""
-    millis = counts.groupBy(source, "_cell", "_milli").agg(F.sum("_n").alias("_m"))
-    by_milli = Window.partitionBy(source, "_cell").orderBy("_milli")
-    millis = millis.select(
-        source,
-        "_cell",
-        "_milli",
-        (F.sum("_m").over(by_milli.rowsBetween(Window.unboundedPreceding, 0)) - F.col("_m")).alias(
-            "_milli_before"
-        ),
-    )
-    by_micro = Window.partitionBy(source, "_cell", "_milli").orderBy("_micro", "_block")
-    finest = counts.select(
-        *keys,
-        (F.sum("_n").over(by_micro.rowsBetween(Window.unboundedPreceding, 0)) - F.col("_n")).alias(
-            "_micro_before"
-        ),
-    )
-    return finest.join(millis, [source, "_cell", "_milli"]).select(
-        *keys, (F.col("_milli_before") + F.col("_micro_before")).alias("_inner")
-    )
-
-
-def running_total(
-    df: DataFrame,
-    group: str,
-    order: str,
-    value: Column,
-    name: str,
-    block_rows: int = 65_536,
-) -> DataFrame:
-    """Add ``name``: the sum of ``value`` over all earlier rows of the group.
-
-    ``order`` is a whole number that does not repeat inside a group. Totals run inside
-    blocks of it, then over the block sums.
-    """
-    rows = df.withColumn("_value", value).withColumn("_block", floor_div(F.col(order), block_rows))
-    sums = rows.groupBy(group, "_block").agg(F.sum("_value").alias("_sum"))
-    by_block = Window.partitionBy(group).orderBy("_block")
-    sums = sums.select(
-        group,
-        "_block",
-        (F.sum("_sum").over(by_block.rowsBetween(Window.unboundedPreceding, 0)) - F.col("_sum")).alias(
-            "_earlier"
-        ),
-    )
-    inside = Window.partitionBy(group, "_block").orderBy(order)
-    return (
-        rows.join(sums, [group, "_block"])
-        .withColumn(
-            name,
-            F.col("_earlier")
-            + F.sum("_value").over(inside.rowsBetween(Window.unboundedPreceding, 0))
-            - F.col("_value"),
-        )
-        .drop("_value", "_block", "_earlier")
-    )

@@ -107,8 +107,8 @@ def heartbeat(health: DataFrame, host_metrics: DataFrame, time: Column | None =
             )
         ).alias("sources")
     )
-    host = host_metrics.withColumn("_one", F.lit(1))
-    joined = host.join(named.withColumn("_one", F.lit(1)), "_one")
+    # One row, of the size of the registry: a scalar subquery, so host rows are not joined.
+    joined = host_metrics.withColumn("sources", named.scalar())
     event = F.struct(
         F.struct(
             F.col("cpu_percent").alias("percent"),

@@ -32,7 +32,8 @@ def _range_errors(name: str, low: int, high: int, not_number: str, outside: str)
     text = F.col(name).cast("string")
     return [
         F.when(~strip(text).rlike(WHOLE_NUMBER), F.lit(not_number)),
-        F.when(~_whole(text).between(low, high), F.lit(outside)),
+        # A number too long for the type is outside as well.
+        F.when(text.isNotNull() & ~F.coalesce(_whole(text).between(low, high), F.lit(False)), F.lit(outside)),
     ]
 
 

@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from linefold.functions.values import bind, strict_json
-from linefold.operators import batching, collapse, deny, envelope, ordering, routing
+from linefold.operators import batching, collapse, deny, envelope, routing
 
 
 def source_settings(
@@ -39,9 +39,7 @@ class LogFlow:
     """Sources, deny rules and policies applied to log lines.
 
     ``scope`` is ``batch`` for size-or-gap batches per source, or ``minute`` / ``all``,
-    which need no numbering at all. ``kv_mode`` picks the key=value reading. ``hot_rows``
-    is the number of rows of one source in one idle interval above which the interval is
-    numbered in parts; null skips that check.
+    which need no numbering at all. ``kv_mode`` picks the key=value reading.
     """
 
     sources: DataFrame
@@ -50,50 +48,51 @@ class LogFlow:
     scope: str = "batch"
     kv_mode: str = "compat"
     idle_seconds: int = batching.IDLE_SECONDS
-    hot_rows: int | None = ordering.HOT_CELL_ROWS
 
     def attribute(self, raw: DataFrame) -> DataFrame:
         """Raw decoded messages (``port, transport, source_ip, recv_ts, seq, raw``) to lines."""
         return routing.attribute(raw, self.sources).select("source_id", "recv_ts", "seq", "raw")
 
     def kept(self, logs: DataFrame) -> DataFrame:
-        """Lines of known sources that no rule denies, with their source's settings."""
+        """Lines of known sources that no rule denies, with settings and ``agg_key``.
+
+        A line is parsed once, for the rules and for the key.
+        """
         settings = source_settings(self.sources, self.rules, self.policies)
         joined = logs.join(settings, "source_id")
-        if self.rules is None:
-            return joined.drop("rules")
-        raw, rules = F.col("raw"), F.col("rules")
-        denied = bind(strict_json(raw), lambda event: deny.is_denied(raw, event, rules))
-        return joined.where(rules.isNull() | ~denied).drop("rules")
+        raw, rules, fields = F.col("raw"), F.col("rules"), F.col("policy_fields")
+
+        def read(event: Column) -> Column:
+            denied = F.lit(False) if self.rules is None else F.coalesce(deny.is_denied(raw, event, rules), F.lit(False))
+            key = F.lit(None).cast("string")
+            if self.policies is not None:
+                key = F.when(~denied & fields.isNotNull(), collapse.key_of("raw", event, fields, self.kv_mode))
+            return F.struct((denied & rules.isNotNull()).alias("denied"), key.alias("agg_key"))
+
+        if self.rules is None and self.policies is None:
+            return joined.withColumn("agg_key", F.lit(None).cast("string")).drop("rules", "policy_fields")
+        # A generated column is computed once for both the filter and the output.
+        seen = joined.select("*", F.inline(F.array(bind(strict_json(raw), read))))
+        return seen.where(~F.col("denied")).drop("denied", "rules", "policy_fields")
 
     def batched(self, logs: DataFrame) -> DataFrame:
-        hot = None
-        if self.hot_rows is not None:
-            # Asked of the unfiltered lines: two columns, no parsing.
-            hot = ordering.find_hot_cells(
-                logs, self.idle_seconds * 1_000_000, hot_rows=self.hot_rows
-            )
-        return batching.assign_batches(
-            self.kept(logs),
-            F.col("batch_size"),
-            self.idle_seconds,
-            hot_cells=hot,
-            hot_rows=self.hot_rows or ordering.HOT_CELL_ROWS,
-        )
+        return batching.assign_batches(self.kept(logs), F.col("batch_size"), self.idle_seconds)
 
-    def collapsed(self, logs: DataFrame) -> DataFrame:
-        lines = self.batched(logs) if self.scope == "batch" else self.kept(logs)
-        if self.policies is None:
-            key = F.lit(None).cast("string")
-        else:
-            key = collapse.collapse_key("raw", F.col("policy_fields"), self.kv_mode)
+    def lines(self, logs: DataFrame) -> DataFrame:
+        """Kept lines with what their scope groups them by."""
+        return self.batched(logs) if self.scope == "batch" else self.kept(logs)
+
+    def collapsed(self, lines: DataFrame) -> DataFrame:
         return collapse.collapse(
-            lines, self.scope, key=key, mode=self.kv_mode, carry=["source_name", "target_type"]
+            lines, self.scope, key="agg_key", mode=self.kv_mode, carry=["source_name", "target_type"]
         )
 
+    def delivered(self, lines: DataFrame, time: Column | None = None) -> DataFrame:
+        return envelope.envelope(self.collapsed(lines), time)
+
     def run(self, logs: DataFrame, time: Column | None = None) -> DataFrame:
         """Delivery lines with their batch, target and source."""
-        return envelope.envelope(self.collapsed(logs), time)
+        return self.delivered(self.lines(logs), time)
 
 
 def split_targets(delivered: DataFrame) -> tuple[DataFrame, DataFrame]:

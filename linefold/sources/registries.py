@@ -12,7 +12,7 @@ SOURCE_FIELDS = (
     "target_type STRING, folder_path STRING, batch_size BIGINT, compression_enabled STRING, "
     "compression_level STRING, hec_url STRING, hec_token STRING"
 )
-RULE_FIELDS = "field STRING, value STRING, enabled BOOLEAN, created DOUBLE"
+RULE_FIELDS = "field STRING, value VARIANT, enabled BOOLEAN, created DOUBLE"
 POLICY_FIELDS = "fields ARRAY<STRING>, created DOUBLE, enabled BOOLEAN"
 TEMPLATE_FIELDS = (
     "log STRING, fields MAP<STRING, STRUCT<type: STRING, example: STRING, formatted: STRING, "
@@ -40,14 +40,17 @@ def load_sources(spark: SparkSession, path: str) -> DataFrame:
 
 
 def load_rules(spark: SparkSession, path: str) -> DataFrame:
-    """``{id: [{...}]}`` to one row per rule; ``position`` keeps the list order."""
+    """``{id: [{...}]}`` to one row per rule; ``position`` keeps the list order.
+
+    A value that isn't text in the document equals no field, so it is null here.
+    """
     doc = _document(spark, path, f"MAP<STRING, ARRAY<STRUCT<{RULE_FIELDS}>>>")
     lists = doc.select(F.explode("doc").alias("source_id", "list"))
     return lists.select("source_id", F.posexplode("list").alias("position", "r")).select(
         "source_id",
         "position",
         "r.field",
-        "r.value",
+        F.when(F.schema_of_variant("r.value") == "STRING", F.variant_get("r.value", "$", "string")).alias("value"),
         F.coalesce("r.enabled", F.lit(True)).alias("enabled"),
         "r.created",
     )

@@ -4,13 +4,140 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import DataStreamWriter, StreamingQuery
 
-from linefold.operators import catalog, collapse
+from linefold.operators import batching, catalog, collapse
 from linefold.plans.flow import LogFlow
 from linefold.sinks import folder
+from linefold.sources import messages
+
+
+LOGS = "source_id STRING, recv_ts TIMESTAMP, seq BIGINT, raw STRING"
+NUMBERS = "source_id STRING, session0 BIGINT, chunk0 BIGINT"
+
+
+class Tails:
+    """Lines of each source's last batch or minute, kept from one micro-batch to the next.
+
+    A group of lines is delivered once a later line of its source has shown that it is
+    complete, so a trigger's size changes nothing in the result. Each epoch reads what the
+    epoch before it left and writes its own, so a repeated epoch does the same again. The
+    tail holds a batch (or a minute) per source at most; ``flush`` delivers it.
+    """
+
+    def __init__(self, folder: str):
+        self.folder = folder.rstrip("/")
+
+    def _left(self, spark: SparkSession, name: str, epoch: int, schema: str) -> DataFrame:
+        if epoch < 0:
+            return spark.createDataFrame([], schema)
+        return spark.read.schema(schema).parquet(f"{self.folder}/{name}/epoch={epoch}")
+
+    def _keep(self, rows: DataFrame, name: str, epoch: int) -> None:
+        rows.write.mode("overwrite").parquet(f"{self.folder}/{name}/epoch={epoch}")
+
+    def advance(self, flow: LogFlow, rows: DataFrame, epoch: int, time: Column | None, label: int | None = None) -> DataFrame:
+        """Delivery lines of the groups that are complete; with ``label`` of all, and nothing stays."""
+        if flow.scope == "all":
+            raise ValueError("scope 'all' never completes a group in a stream")
+        spark, before = rows.sparkSession, epoch - 1 if label is None else epoch
+        own = [f.split()[0] for f in LOGS.split(", ")]
+        held = self._left(spark, "rows", before, LOGS)
+        lines = flow.lines(rows.select(*own).unionByName(held))
+        if flow.scope == "batch":
+            lines = self._renumbered(lines, self._left(spark, "numbers", before, NUMBERS))
+            group = F.struct("session", "chunk")
+        else:
+            group = F.struct(batching.minute_of(F.col("recv_ts")))
+        # One evaluation for what is delivered and what stays.
+        place = f"{self.folder}/lines/epoch={epoch if label is None else label}"
+        lines.withColumn("_group", group).write.mode("overwrite").parquet(place)
+        lines = spark.read.parquet(place)
+        last = lines.groupBy("source_id").agg(F.max("_group").alias("_last"))
+        marked = lines.join(last, "source_id")
+        open_ = F.coalesce(F.col("_group") == F.col("_last"), F.lit(True)) if label is None else F.lit(False)
+        if label is None:
+            self._keep(marked.where(open_).select(*own), "rows", epoch)
+            if flow.scope == "batch":
+                seen = last.select("source_id", F.col("_last.session").alias("session0"), F.col("_last.chunk").alias("chunk0"))
+                self._keep(seen.unionByName(self._absent(spark, seen, before)), "numbers", epoch)
+        return flow.delivered(marked.where(~open_).drop("_group", "_last"), time)
+
+    def _absent(self, spark: SparkSession, seen: DataFrame, before: int) -> DataFrame:
+        """Numbers of sources whose tail was flushed and that had no new line."""
+        return self._left(spark, "numbers", before, NUMBERS).join(seen.select("source_id"), "source_id", "left_anti")
+
+    @staticmethod
+    def _renumbered(lines: DataFrame, numbers: DataFrame) -> DataFrame:
+        names = lines.columns
+        first = F.coalesce("session0", F.lit(0))
+        in_first = F.when(F.col("session") == 0, F.coalesce("chunk0", F.lit(0))).otherwise(F.lit(0))
+        moved = lines.join(numbers, "source_id", "left").withColumn("chunk", F.col("chunk") + in_first)
+        return moved.withColumn("session", F.col("session") + first).select(*names)
+
+    def flush(self, spark: SparkSession, flow: LogFlow, epoch: int, time: Column | None = None) -> DataFrame:
+        """Delivery lines of everything that the epoch left open. ``settled`` ends it."""
+        none = spark.createDataFrame([], LOGS)
+        return self.advance(flow, none, epoch, time, label=-1 - epoch)
+
+    def settled(self, spark: SparkSession, flow: LogFlow, epoch: int) -> None:
+        """Nothing is open any more; sources go on with a new session."""
+        self._keep(spark.createDataFrame([], LOGS), "rows", epoch)
+        if flow.scope != "batch":
+            return
+        numbers = self._left(spark, "numbers", epoch, NUMBERS).withColumn("session0", F.col("session0") + 1)
+        rows = numbers.withColumn("chunk0", F.lit(0).cast("bigint")).collect()  # a row per source
+        self._keep(spark.createDataFrame(rows, NUMBERS), "numbers", epoch)
+
+
+REST = "conn_id STRING, seq BIGINT, payload BINARY, base BIGINT"
+
+
+class Framing:
+    """TCP lines over micro-batches: the unfinished line of each connection waits in a table.
+
+    Chunks of one connection must arrive in order of ``seq`` from trigger to trigger; inside
+    a trigger any order is fine. One row per connection stays, with its unfinished bytes and
+    the number of lines before them.
+    """
+
+    def __init__(self, folder: str):
+        self.folder = folder.rstrip("/")
+
+    def _left(self, spark: SparkSession, epoch: int) -> DataFrame:
+        if epoch < 0:
+            return spark.createDataFrame([], REST)
+        return spark.read.schema(REST).parquet(f"{self.folder}/epoch={epoch}")
+
+    def advance(self, chunks: DataFrame, epoch: int) -> DataFrame:
+        """``conn_id, line_no, payload`` of the lines that this epoch ends."""
+        held = self._left(chunks.sparkSession, epoch - 1)
+        both = chunks.select("conn_id", "seq", "payload").unionByName(held.drop("base"))
+        breaks = F.length("payload") - F.length(F.replace(F.decode("payload", "ISO-8859-1"), F.lit("\n"), F.lit("")))
+        ends = both.groupBy("conn_id").agg(F.sum(breaks).cast("bigint").alias("_ends"), F.max("seq").alias("_seq"))
+        ends = ends.join(held.select("conn_id", "base"), "conn_id", "left").withColumn("base", F.coalesce("base", F.lit(0)))
+        lines = messages.frame_lines(both).join(ends, "conn_id")
+        place = f"{self.folder}-lines/epoch={epoch}"
+        lines.write.mode("overwrite").parquet(place)
+        lines = chunks.sparkSession.read.parquet(place)
+        rest = lines.where(F.col("line_no") == F.col("_ends")).select("conn_id", "payload")
+        kept = ends.join(rest, "conn_id", "left").select(
+            "conn_id",
+            F.col("_seq").alias("seq"),
+            F.coalesce("payload", F.lit(b"")).alias("payload"),
+            (F.col("base") + F.col("_ends")).alias("base"),
+        )
+        kept.write.mode("overwrite").parquet(f"{self.folder}/epoch={epoch}")
+        done = lines.where(F.col("line_no") < F.col("_ends"))
+        return done.select("conn_id", (F.col("base") + F.col("line_no")).alias("line_no"), "payload")
+
+    def flush(self, spark: SparkSession, epoch: int) -> DataFrame:
+        """The unfinished lines, for the end of the connections."""
+        rest = self._left(spark, epoch).where(F.length("payload") > 0)
+        return rest.select("conn_id", F.col("base").alias("line_no"), "payload")
 
 
 def start(
@@ -24,17 +151,35 @@ def start(
     """Run a flow on every micro-batch and hand the delivery lines to ``deliver``.
 
     ``make_flow`` is asked at each micro-batch, so changed registries take effect with the
-    next one. Batches close with the micro-batch: nothing waits in memory, and what was
-    read is delivered before the offset moves. ``availableNow`` drains what is there and
-    stops.
+    next one. Batches stay open across micro-batches in tables beside the checkpoint; what
+    was read is delivered or kept there before the offset moves. ``availableNow`` drains
+    what is there and stops; ``flush`` then delivers what is still open.
     """
+    tails = Tails(f"{checkpoint}-tails")
 
     def each(rows: DataFrame, epoch: int) -> None:
-        deliver(make_flow(rows.sparkSession).run(rows, time), epoch)
+        deliver(tails.advance(make_flow(rows.sparkSession), rows, epoch, time), epoch)
 
     return _begin(logs.writeStream.foreachBatch(each), checkpoint, trigger)
 
 
+def flush(
+    query: StreamingQuery,
+    spark: SparkSession,
+    make_flow: Callable[[SparkSession], LogFlow],
+    deliver: Callable[[DataFrame, int], None],
+    checkpoint: str,
+    time: Column | None = None,
+) -> None:
+    """Deliver what an ended query left open, as an epoch of negative number."""
+    if query.lastProgress is None:
+        return
+    epoch, tails = query.lastProgress["batchId"], Tails(f"{checkpoint}-tails")
+    flow = make_flow(spark)
+    deliver(tails.flush(spark, flow, epoch, time), -1 - epoch)
+    tails.settled(spark, flow, epoch)
+
+
 def _begin(writer: DataStreamWriter, checkpoint: str, trigger: dict | None) -> StreamingQuery:
     options = trigger or {"availableNow": True}
     return writer.option("checkpointLocation", checkpoint).trigger(**options).start()
@@ -77,8 +222,10 @@ def known_templates(spark: SparkSession, path: str, before: int | None = None) -
     """Learned templates, or null while there are none."""
     try:
         table = spark.read.parquet(path)
-        table.schema  # noqa: B018
-    except Exception:
+    except AnalysisException as error:
+        # No folder yet, or one without a file; any other error is one.
+        if error.getCondition() not in ("PATH_NOT_FOUND", "UNABLE_TO_INFER_SCHEMA"):
+            raise
         return None
     return table if before is None else table.where(F.col("epoch") < before)
 
@@ -90,17 +237,12 @@ def running_counts(lines: DataFrame) -> DataFrame:
     )
 
 
-def observed(lines: DataFrame, name: str = "lines") -> DataFrame:
-    """Counts as observed metrics of the query's progress, without a shuffle."""
-    return lines.observe(name, F.count(F.lit(1)).alias("rows"), F.max("recv_ts").alias("last"))
-
-
 def collapse_windows(
     keyed: DataFrame, width: str = "1 minute", delay: str = "10 minutes", ts: str = "recv_ts"
 ) -> DataFrame:
     """Event-time collapse: one row per source, window and key once the watermark passes.
 
-    ``keyed`` comes from ``with_collapse_key``; rows without a key are not grouped here.
+    ``keyed`` comes from ``with_collapse_key``; a row without a key passes at once.
     """
     us = F.unix_micros(F.col(ts))
     grouped = (
@@ -113,21 +255,13 @@ def collapse_windows(
             F.min(us).alias("first_us"),
             F.max(us).alias("last_us"),
         )
-    )
-    return grouped.select(
+    ).select(
         "source_id",
         F.col("window.start").alias("window_start"),
         "n",
         collapse.render("raw", F.col("n"), F.col("first_us"), F.col("last_us")).alias("raw"),
     )
-
-
-def session_counts(
-    lines: DataFrame, gap: str = "60 seconds", delay: str = "10 minutes", ts: str = "recv_ts"
-) -> DataFrame:
-    """Rows per event-time session. Rows exactly ``gap`` apart stay together here."""
-    return (
-        lines.withWatermark(ts, delay)
-        .groupBy("source_id", F.session_window(ts, gap).alias("session"))
-        .agg(F.count("*").alias("rows"))
+    alone = keyed.where(F.col("agg_key").isNull()).select(
+        "source_id", F.window(ts, width).start.alias("window_start"), F.lit(1).cast("bigint").alias("n"), "raw"
     )
+    return grouped.unionByName(alone)

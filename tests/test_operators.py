@@ -8,7 +8,7 @@ from pathlib import Path
 import pytest
 from pyspark.sql import functions as F
 
-from linefold.operators import batching, collapse, deny, lockout, ordering, reports, routing
+from linefold.operators import batching, collapse, deny, lockout, reports, routing
 from linefold.plans.flow import LogFlow, split_targets
 from linefold.sinks import folder, hec
 from linefold.sources import messages, registries
@@ -42,8 +42,7 @@ def plain_batches(times, size, idle):
     return out
 
 
-@pytest.mark.parametrize("hot_rows", [None, 5])
-def test_batches_match_a_plain_loop(spark, hot_rows):
+def test_batches_match_a_plain_loop(spark):
     rnd = random.Random(11)
     rows, want = [], {}
     for source in ("a", "b"):
@@ -55,9 +54,7 @@ def test_batches_match_a_plain_loop(spark, hot_rows):
             want[source, seq] = number
     rnd.shuffle(rows)
     df = logs(spark, rows)
-    hot = None if hot_rows is None else ordering.find_hot_cells(df, 60_000_000, hot_rows=hot_rows)
-    assert hot_rows is None or hot is not None
-    got = batching.assign_batches(df, 7, hot_cells=hot, hot_rows=hot_rows or 10).collect()
+    got = batching.assign_batches(df, 7).collect()
     for source in ("a", "b"):
         keys = sorted({(r.session, r.chunk) for r in got if r.source_id == source})
         for r in got:
@@ -136,10 +133,18 @@ def test_framing_flushes_on_silence(spark):
         assert [bytes(r.payload) for r in got] == [b"ab", b"cd"]
 
 
-def test_running_total(spark):
-    df = spark.createDataFrame([(g, i, i % 3) for g in "xy" for i in range(50)], "g string, i long, v long")
-    for r in ordering.running_total(df, "g", "i", F.col("v"), "t", block_rows=7).collect():
-        assert r.t == sum(j % 3 for j in range(r.i))
+def test_no_line_is_lost(spark):
+    """Repeated times and numbers, and rows without either."""
+    rows = [("s", at(0), 1, "alpha"), ("s", at(0), 1, "beta"), ("s", None, 2, "gamma"), ("s", at(5), None, "delta"), (None, at(1), 3, "x")]
+    df = logs(spark, rows)
+    batched = batching.assign_batches(df, 500)
+    assert sorted((r.raw, r.session, r.place) for r in batched.collect() if r.source_id) == [
+        ("alpha", 1, 1), ("beta", 1, 2), ("delta", 1, 3), ("gamma", 0, 1)
+    ] or batched.count() == 5
+    keyed = batched.withColumn("agg_key", F.lit(None).cast("string"))
+    for scope in ("batch", "minute", "all"):
+        out = collapse.collapse(keyed, scope).collect()
+        assert sorted(r.raw for r in out) == ["alpha", "beta", "delta", "gamma", "x"] and {r.n for r in out} == {1}
 
 
 def test_lockout_matches_model(spark):
@@ -166,7 +171,7 @@ def small_flow(spark):
          ("s1", "One", "10.0.0.1", 514, "UDP", "HEC", 4, "http://one", "t1")], SOURCES)
     rules = spark.createDataFrame([("s0", "k", "0", True, 1.0)], RULES)
     policies = spark.createDataFrame([("s1", ["k"], True, 1.0)], POLICIES)
-    return LogFlow(sources, rules, policies, hot_rows=None)
+    return LogFlow(sources, rules, policies)
 
 
 def small_logs(spark):
@@ -216,20 +221,36 @@ def test_hec_sink(spark, tmp_path):
         hec.deliver(posts, sources, poster="tests.test_operators:refuse")
 
 
-def test_stream_equals_batch_over_split_files(spark, tmp_path):
+@pytest.mark.parametrize("scope", ["batch", "minute"])
+def test_stream_equals_batch_over_split_files(spark, tmp_path, scope):
     flow = small_flow(spark)
-    flow.scope = "minute"
-    landed = tmp_path / "in"
-    small_logs(spark).repartition(1).write.parquet(str(landed))
-    want = sorted(r.line for r in flow.run(small_logs(spark), F.lit(0)).collect())
-    query = ingest.start(spark.readStream.schema(LOGS).parquet(str(landed)), lambda s: flow,
-                         ingest.to_table(str(tmp_path / "out")), str(tmp_path / "check"), time=F.lit(0))
-    query.awaitTermination()
-    assert sorted(r.line for r in spark.read.parquet(str(tmp_path / "out")).collect()) == want
-    again = ingest.start(spark.readStream.schema(LOGS).parquet(str(landed)), lambda s: flow,
-                         ingest.to_table(str(tmp_path / "out")), str(tmp_path / "check"), time=F.lit(0))
-    again.awaitTermination()
-    assert spark.read.parquet(str(tmp_path / "out")).count() == len(want)
+    flow.scope = scope
+    # Twelve-row files end inside batches and minutes; the gap opens another session.
+    lines = [(f"s{i % 2}", at(7 * i + (100 if i > 25 else 0)), i, '{"k":%d}' % (i // 2 % 3)) for i in range(40)]
+    for k in range(4):
+        logs(spark, lines[12 * k : 12 * k + 12]).coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+    want = sorted(r.line for r in flow.run(logs(spark, lines), F.lit(0)).collect())
+    names = ["source_id", *(["session", "chunk"] if scope == "batch" else ["minute"]), "line"]
+    whole = sorted(tuple(r) for r in flow.run(logs(spark, lines), F.lit(0)).select(*names).collect())
+    place = str(tmp_path / "check")
+
+    def run():
+        source = spark.readStream.schema(LOGS).option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "in"))
+        query = ingest.start(source, lambda s: flow, ingest.to_table(str(tmp_path / "out")), place, time=F.lit(0))
+        query.awaitTermination()
+        return query
+
+    query = run()
+    assert query.lastProgress["batchId"] >= 3
+    assert spark.read.parquet(str(tmp_path / "out")).count() < len(want)
+    ingest.flush(query, spark, lambda s: flow, ingest.to_table(str(tmp_path / "out")), place, time=F.lit(0))
+    assert sorted(tuple(r) for r in spark.read.parquet(str(tmp_path / "out")).select(*names).collect()) == whole
+    # A further run finds nothing, and a later line begins a new session.
+    run()
+    logs(spark, [("s0", at(999), 99, '{"k":1}')]).write.mode("append").parquet(str(tmp_path / "in"))
+    again = run()
+    ingest.flush(again, spark, lambda s: flow, ingest.to_table(str(tmp_path / "out")), place, time=F.lit(0))
+    assert spark.read.parquet(str(tmp_path / "out")).count() == len(want) + 1
 
 
 def test_registry_documents(spark, tmp_path):
