@@ -189,16 +189,22 @@ def fit(toxic: list[str], clean: list[str]) -> Model:
         # Kernel values: dense over the landmarks' subsequences only.
         support = sorted({c for i in chosen for c in strings[i]})
         column = {c: k for k, c in enumerate(support)}
-        dense = np.zeros((len(strings), len(support)), dtype=np.float32)
-        for i, s in enumerate(strings):
-            for c, v in s.items():
-                if c in column:
-                    dense[i, column[c]] = v
-        marks = dense[chosen]
+
+        def dense(some: list[int]) -> np.ndarray:
+            out = np.zeros((len(some), len(support)), dtype=np.float32)
+            for r, i in enumerate(some):
+                for c, v in strings[i].items():
+                    if c in column:
+                        out[r, column[c]] = v
+            return out
+
+        marks = dense(chosen)
         values, vectors = np.linalg.eigh((marks @ marks.T).astype(np.float64))
         keep = values > 1e-3 * values.max()
         root = vectors[:, keep] / np.sqrt(values[keep])
-        x = (dense @ marks.T) @ root
+        # A thousand windows at a time bound the memory.
+        kernel = [dense(list(range(a, min(a + 1000, len(strings))))) @ marks.T for a in range(0, len(strings), 1000)]
+        x = np.concatenate(kernel) @ root
         cost = np.where(y > 0, 2.0, 2.0 * len(positive) / len(negative))
         w, _ = _machine(x, y, cost)
         weights = np.zeros(CODES)
