@@ -1,87 +1,6 @@
-"""Plain Python model of the text readings, written from the survey's description."""
+"""Plain Python models of JSON strictness, numbers, simple pairs and lockout."""
 
 import json
-import re
-
-STAMPS = [
-    r"\b(\d{4}-\d{2}-\d{2}T\d{2}:\d{2}:\d{2}(?:\.\d+)?(?:[+-]\d{2}:?\d{2})?)\b",
-    r"\b(\d{4}-\d{2}-\d{2}\s+\d{2}:\d{2}:\d{2}(?:\.\d+)?)\b",
-    r"\b(\d{2}/\d{2}/\d{4}\s+\d{2}:\d{2}:\d{2})\b",
-    r"\b(\w{3}\s+\d{1,2}\s+\d{2}:\d{2}:\d{2})\b",
-    r"\b(\d{2}-\w{3}-\d{4}\s+\d{2}:\d{2}:\d{2}(?:\.\d+)?)\b",
-]
-LEVEL = re.compile(r"\b(DEBUG|INFO|WARN(?:ING)?|ERROR|CRITICAL|FATAL|TRACE)\b", re.I)
-
-
-def pairs(line):
-    out = {}
-    for pattern in STAMPS:
-        hit = re.search(pattern, line)
-        if hit:
-            out["timestamp"] = hit.group(1)
-            break
-    hit = LEVEL.search(line)
-    if hit:
-        out["log_level"] = hit.group(1).upper()
-    wrote = False
-    order = sorted([" ", ",", ";", "|", "\t", " = "], key=lambda d: -line.count(d))
-    for mark in order:
-        if mark == " = ":
-            first, *rest = line.split(" = ")
-            if not rest:
-                continue
-            key = first.strip()
-            for piece in rest:
-                value, _, tail = piece.strip().partition(" ")
-                name, _, text = f"{key}={value}".partition("=")
-                out[name.strip()] = text.strip()
-                if " " in piece.strip():
-                    key = tail
-            return out
-        for sep in ["=", ":", "->", "=>", " - "]:
-            for part in line.split(mark):
-                k, found, v = part.strip().partition(sep)
-                if found and k.strip() and v.strip():
-                    out[k.strip()] = v.strip()
-                    wrote = True
-    if not wrote:
-        for k, v in re.findall(r"^([A-Za-z][A-Za-z0-9_\-\.]*)\s*[:=]\s*(.+?)$", line, re.M):
-            if v.strip():
-                out[k] = v.strip()
-                wrote = True
-    if not wrote:
-        for k, a, b in re.findall(r'([A-Za-z][A-Za-z0-9_\-\.]*)=(?:"([^"]*)"|([^,;\s]*))', line):
-            if (a or b).strip():
-                out[k] = (a or b).strip()
-    return out
-
-
-def free(line):
-    out = {}
-    stamp = None
-    for pattern in [r"^\d{4}-\d{2}-\d{2}", r"^\d{2}:\d{2}:\d{2}", r"^\w{3}\s+\d{1,2}\s+\d{2}:\d{2}:\d{2}", r"^\d{2}/\d{2}/\d{4}"]:
-        hit = re.search(pattern, line)
-        if hit:
-            stamp = out["timestamp"] = hit.group(0)
-            break
-    level = None
-    for word in ["DEBUG", "INFO", "WARNING", "ERROR", "CRITICAL", "WARN", "TRACE", "FATAL"]:
-        if f" {word} " in f" {line} ":
-            level = out["log_level"] = word
-            break
-    hit = re.search(r":\s*(.+)$", line)
-    if hit:
-        out["message"] = hit.group(1).strip()
-    hit = re.search(r"\b\d{1,3}\.\d{1,3}\.\d{1,3}\.\d{1,3}\b", line)
-    if hit:
-        out["ip_address"] = hit.group(0)
-    start = len(stamp.split()) if stamp else 0
-    for place, word in enumerate(line.split()):
-        if place < start or word == level or word in out.values():
-            continue
-        out[f"field_{place + 1}"] = word
-    return out
-
 
 def simple(line):
     out = {}

@@ -2,6 +2,7 @@
 
 import json
 import random
+from pathlib import Path
 
 import pytest
 from pyspark.sql import functions as F
@@ -72,24 +73,34 @@ def test_numbers(spark):
     assert run(spark, [repr(x) for x in plain], bind(F.col("raw").cast("double"), float_text)) == [repr(x) for x in plain]
 
 
-@pytest.mark.parametrize("column,reading", [
-    ("pairs", model.pairs),
-    ("free", model.free),
-    ("simple", model.simple),
-])
-def test_readings(spark, column, reading):
-    columns = {"pairs": extract.pair_examples, "free": extract.free_examples, "simple": extract.simple_pairs}
-    lines = [line for line in LINES if column != "free" or "=" not in line]
-    got = run(spark, lines, columns[column](F.col("raw")))
-    for line, found in zip(lines, got):
-        assert found == reading(line), repr(line)
-
-
-def test_field_order(spark):
-    lines = [line for line in LINES if "=" in line]
-    got = run(spark, lines, F.transform(extract.pair_fields(F.col("raw")), lambda f: f["field"]))
-    for line, found in zip(lines, got):
-        assert found == list(model.pairs(line)), repr(line)
+# Expected fields of lines of every form, in order for pairs.
+GOLDEN = json.loads(Path(__file__).with_name("golden_readings.json").read_text(encoding="utf-8"))
+
+
+def test_golden_readings(spark):
+    lines = [g["line"] for g in GOLDEN]
+    got = run(spark, lines, extract.pair_examples(F.col("raw")))
+    order = run(spark, lines, F.transform(extract.pair_fields(F.col("raw")), lambda f: f["field"]))
+    for g, found, names in zip(GOLDEN, got, order):
+        assert found == dict(g["pairs"]), g["line"]
+        assert names == [name for name, _ in g["pairs"]], g["line"]
+    prose = [g for g in GOLDEN if "free" in g]
+    for g, found in zip(prose, run(spark, [g["line"] for g in prose], extract.free_examples(F.col("raw")))):
+        assert found == g["free"], g["line"]
+
+
+def test_reading_properties(spark):
+    for line, found in zip(LINES, run(spark, LINES, extract.simple_pairs(F.col("raw")))):
+        assert found == model.simple(line), repr(line)
+    for line, found in zip(LINES, run(spark, LINES, extract.pair_examples(F.col("raw")))):
+        # Spaced equals signs join values to the names before them.
+        assert " = " in line or all(v in line for k, v in found.items() if k != "log_level"), repr(line)
+    prose = [line for line in LINES if "=" not in line]
+    for line, found in zip(prose, run(spark, prose, extract.free_examples(F.col("raw")))):
+        words = [v for k, v in found.items() if k.startswith("field_")]
+        # A word counts once, at its place in the line.
+        assert len(set(words)) == len(words), repr(line)
+        assert all(line.split()[int(k[6:]) - 1] == v for k, v in found.items() if k.startswith("field_")), repr(line)
 
 
 def test_types(spark):
