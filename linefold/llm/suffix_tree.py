@@ -34,8 +34,8 @@ from pyspark.sql import functions as F
 
 from linefold.llm.common import hash_words, word_bytes, written
 
-DEPTH, P_MIN, MIN_COUNT = 6, 3e-6, 50
-BLOCK_BYTES, BUCKETS, STEP_BYTES = 8 << 20, 64, 2 << 20
+DEPTH, P_MIN, MIN_COUNT = 6, 1e-5, 50
+BLOCK_BYTES, BUCKETS, STEP_BYTES = 4 << 20, 64, 1 << 20
 END = 10
 NULL_KEY = np.iinfo(np.int64).min
 
@@ -126,8 +126,13 @@ class Block:
 
     def words(self) -> tuple[np.ndarray, np.ndarray]:
         """Hashes of all words, and the number of words of each document."""
-        body, ends = self.stream.tobytes(), np.cumsum(self.sizes)
-        return hash_words([body[b - n : b - 1] for b, n in zip(ends.tolist(), self.sizes.tolist())])
+        hashes, counts = [], []
+        for docs, span in self.steps():
+            body, ends = self.stream[span].tobytes(), np.cumsum(self.sizes[docs])
+            made = hash_words([body[b - n : b - 1] for b, n in zip(ends.tolist(), self.sizes[docs].tolist())])
+            hashes.append(made[0])
+            counts.append(made[1])
+        return np.concatenate(hashes), np.concatenate(counts)
 
     def distinct(self) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
         """All words, documents' numbers of words, distinct words by bucket, where each bucket starts."""
@@ -272,20 +277,20 @@ def grow(levels: list[pd.DataFrame], total: int) -> Tree:
     width = len(seen) + 1
     first = np.zeros(width)
     first[symbol[root.window.to_numpy(np.int64) & 0xFF]] = root.n
-    p = [((first + 0.5) / (total + 0.5 * 257))[None, :]]
+    p = [((first + 0.5) / (total + 0.5 * 257))[None, :].astype(np.float32)]
     contexts, parents, gains = [np.array([0])], [np.array([-1])], [np.array([0.0])]
     for k in range(1, DEPTH + 1):
         window, n = levels[k].window.to_numpy(np.int64), levels[k].n.to_numpy(np.float64)
         names, row = np.unique(window >> 8, return_inverse=True)
         mask = ((1 << (8 * (k - 1))) - 1) << (8 * (DEPTH - k + 1))
         above = np.searchsorted(contexts[-1], names & mask)
-        counts = np.zeros((len(names), width))
-        counts[row, symbol[window & 0xFF]] = n
-        kinds, size = (counts > 0).sum(axis=1), counts.sum(axis=1)
-        old = p[-1][above] if len(names) else np.empty((0, width))
-        new = (counts + kinds[:, None] * old) / (size + kinds)[:, None]
-        with np.errstate(divide="ignore", invalid="ignore"):
-            gain = np.where(counts > 0, counts * np.log(counts / size[:, None] / old), 0).sum(axis=1)
+        column = symbol[window & 0xFF]
+        kinds, size = np.bincount(row, minlength=len(names)), np.bincount(row, weights=n, minlength=len(names))
+        # Smoothed towards the suffix; only the counted cells are above that.
+        new = p[-1][above] if len(names) else np.empty((0, width), dtype=np.float32)
+        gain = np.bincount(row, weights=n * np.log(n / size[row] / new[row, column]), minlength=len(names))
+        new *= (kinds / (size + kinds))[:, None].astype(np.float32)
+        new[row, column] += n / (size + kinds)[row]
         contexts.append(names)
         parents.append(above)
         gains.append(gain - 0.5 * kinds * np.log(np.maximum(size, 2)))
@@ -304,7 +309,7 @@ def grow(levels: list[pd.DataFrame], total: int) -> Tree:
         back = (contexts[k][on] >> (8 * (DEPTH - k))) & 0xFF
         child[number[k - 1][parents[k][on]], symbol[back]] = number[k][on]
     child[:, 0] = 0
-    log10 = np.concatenate([np.log10(x[k]) for x, k in zip(p, keep)]).astype(np.float32)
+    log10 = np.concatenate([np.log10(x[k]) for x, k in zip(p, keep)])
     return Tree(symbol, child, log10)
 
 
