@@ -6,12 +6,14 @@ so every chunk is indexed once per symbol left out: all pairs under that distanc
 well beyond mostly none. At a similarity of 0.8 a pair shares no key with a probability of 3e-6.
 
 Documents with equal shingle sets are one node from the start, so copies cost nothing further. Members of
-a key are not paired with each other: each is first held against one centre per key (two rounds, with
-different centres), links are confirmed on full sets, and components are formed. Only what is left in keys
-of three or more with more than one component is compared pair by pair, in blocks, and there a pair is
-tried only across components, only under its first shared key, and only if its distances to a common centre
-allow a link (one minus the similarity is a metric). So no link is lost, and a group of thousands of near
-copies costs about a link per copy.
+a key are not paired with each other: each is first held against one centre per key (two rounds: the least
+node, then, for what is not yet together, a node of the key's own drawing), links are confirmed on full
+sets, and components are formed. What is left are keys of three or more with several components. A member
+of no or a smaller component is then held against the big component's members as one block after another, set
+by set, and yields one link per block at most. Pairs outside big components are tried one by one, under their
+first shared key only, and only if their distances to a common centre allow a link (one minus the similarity
+is a metric) and so do the items that one of the two has alone. So no link is lost, and a group of thousands
+of near copies costs about a link per copy.
 
 Keys, links and components stay in tables in the shared folder; nothing of theirs goes to the driver but
 counts. Hot groups meet only in partial aggregates, joins that Spark may split, and blocks.
@@ -39,6 +41,10 @@ SYMBOLS = CHUNKS * ROWS
 LEAST_EQUAL = 40
 #: Members of a key compared with each other in one block of the last round.
 BLOCK = 512
+#: A component of so many members is met by others as a whole, in parts of PART members.
+BIG, PART = 64, 256
+#: Size of the bitmap that tells which texts are read again: 8 MB.
+BITS = 1 << 26
 
 _FACTORS = np.random.default_rng(11).integers(1, 2**62, SYMBOLS, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 _DROPPED = np.array([[i for i in range(ROWS) if i != d] for d in range(ROWS)])
@@ -77,13 +83,17 @@ def signatures(sets: list[np.ndarray]) -> list[bytes | None]:
     return [next(rows).tobytes() if len(s) else None for s in sets]
 
 
+def _digest(values: np.ndarray) -> int:
+    return int(np.sum(mix(values + np.uint64(1)), dtype=np.uint64).astype(np.int64))
+
+
 def describe(docs: DataFrame, key: str, text: str, width: int) -> DataFrame:
     """id, n_shingles, two digests of the set, signature."""
 
     def make():
         def compute(texts: list[str | None]) -> list[list]:
             sets = shingle_sets(texts, width)
-            one = [int(np.sum(mix(s + np.uint64(1)), dtype=np.uint64).astype(np.int64)) for s in sets]
+            one = [_digest(s) for s in sets]
             two = [int(np.sum(mix(s ^ np.uint64(0x5851F42D4C957F2D)), dtype=np.uint64).astype(np.int64)) for s in sets]
             return [[len(s) for s in sets], one, two, signatures(sets)]
 
@@ -114,7 +124,7 @@ def chunk_keys(nodes: DataFrame) -> DataFrame:
     return nodes.where("n > 0").select("node", "sig").mapInPandas(run, "key long, node long, slot int")
 
 
-def likely(pairs: DataFrame, nodes: DataFrame) -> DataFrame:
+def likely(pairs: DataFrame, nodes: DataFrame, percent: int) -> DataFrame:
     """Pairs a, b whose set sizes and signatures allow a link, with those of their sizes."""
     one = nodes.select(F.col("node").alias("a"), F.col("n").alias("n_a"), F.col("sig").alias("sig_a"))
     two = nodes.select(F.col("node").alias("b"), F.col("n").alias("n_b"), F.col("sig").alias("sig_b"))
@@ -126,35 +136,55 @@ def likely(pairs: DataFrame, nodes: DataFrame) -> DataFrame:
                 right = np.frombuffer(b"".join(frame.sig_b), dtype=np.uint16).reshape(-1, SYMBOLS)
                 yield frame[["a", "b"]][(left == right).sum(axis=1) >= LEAST_EQUAL]
 
-    sized = pairs.join(one, "a").join(two, "b").where("100 * least(n_a, n_b) >= 80 * greatest(n_a, n_b)")
+    sized = pairs.join(one, "a").join(two, "b").where(f"100 * least(n_a, n_b) >= {percent} * greatest(n_a, n_b)")
     return sized.select("a", "b", "sig_a", "sig_b").mapInPandas(run, "a long, b long")
 
 
-def confirm(pairs: DataFrame, nodes: DataFrame, docs: DataFrame, key: str, text: str, width: int, percent: int) -> DataFrame:
-    """Pairs with the similarity of their full sets and whether it reaches the threshold."""
-    wanted = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct()
-    wanted = written(wanted.join(nodes.select("node", "lo", "d1", "d2"), "node"), "wanted")
+def full_sets(wanted: DataFrame, docs: DataFrame, key: str, text: str, width: int) -> DataFrame:
+    """node and items (its whole set) of the nodes asked for, from the texts.
+
+    A bitmap of fixed size over hashed ids lets other texts go where they are read; it errs only towards
+    keeping one, and the join that follows is exact.
+    """
+    slot = F.pmod(F.xxhash64("lo"), F.lit(BITS))
+    # At most BITS / 32768 rows of 4 KB.
+    filled = (
+        wanted.groupBy(F.bitmap_bucket_number(slot + 1).alias("part"))
+        .agg(F.bitmap_construct_agg(F.bitmap_bit_position(slot + 1)).alias("bits"))
+        .collect()
+    )
+    bits = np.zeros(BITS // 8, dtype=np.uint8)
+    for row in filled:
+        bits[(row.part - 1) * 4096 : row.part * 4096] = np.frombuffer(row.bits, dtype=np.uint8)
+    shared = docs.sparkSession.sparkContext.broadcast(bits)
 
     def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            sizes = pa.compute.fill_null(pa.compute.binary_length(batch.column(3)), 0).to_pylist()
+            at = batch.column(2).to_numpy(zero_copy_only=False)
+            batch = batch.filter(pa.array((shared.value[at >> 3] >> (at & 7).astype(np.uint8) & 1).astype(bool)))
+            sizes = pa.compute.fill_null(pa.compute.binary_length(batch.column(1)), 0).to_pylist()
             for a, b in slices(sizes):
                 part = batch.slice(a, b - a)
-                keys, out = part.column(0).to_pylist(), ([], [])
-                made = shingle_sets(part.column(3).to_pylist(), width)
-                for node, d1, s in zip(keys, part.column(1).to_pylist(), made):
-                    # A repeated id may stand for another text.
-                    if int(np.sum(mix(s + np.uint64(1)), dtype=np.uint64).astype(np.int64)) == d1:
-                        out[0].append(node)
-                        out[1].append(s.tobytes())
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(out[0], pa.int64()), pa.array(out[1], pa.binary())], names=["node", "items"]
-                )
+                made = shingle_sets(part.column(1).to_pylist(), width)
+                arrays = [
+                    part.column(0),
+                    pa.array([_digest(s) for s in made], pa.int64()),
+                    pa.array([s.tobytes() for s in made], pa.binary()),
+                ]
+                yield pa.RecordBatch.from_arrays(arrays, names=["lo", "d1", "items"])
 
     bodies = docs.select(F.col(key).cast("long").alias("lo"), F.col(text).cast("string").alias("body"))
-    found = wanted.join(bodies, "lo").select("node", "d1", "d2", "body").mapInArrow(sets, "node long, items binary")
-    found = written(found, "sets").dropDuplicates(["node"])
-    found = written(found, "sets")
+    read = bodies.where("lo is not null").withColumn("slot", slot).mapInArrow(sets, "lo long, d1 long, items binary")
+    # A repeated id may stand for other texts too, and repeated rows for the same.
+    found = wanted.join(read, ["lo", "d1"]).groupBy("node").agg(F.first("items").alias("items"))
+    return written(found, "sets")
+
+
+def confirm(pairs: DataFrame, nodes: DataFrame, docs: DataFrame, key: str, text: str, width: int, percent: int) -> DataFrame:
+    """Pairs with the similarity of their full sets and whether it reaches the threshold."""
+    wanted = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct()
+    wanted = written(wanted.join(nodes.select("node", "lo", "d1"), "node"), "wanted")
+    found = full_sets(wanted, docs, key, text, width)
 
     def compare(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in frames:
@@ -197,12 +227,78 @@ def _left_over(keyed: DataFrame, labels: DataFrame) -> DataFrame:
     """Members of keys of three or more that still belong to several components, with their labels."""
     named = keyed.where("members > 2").join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
     named = written(named, "named")
-    open_ = named.groupBy("key").agg(F.min("label").alias("low"), F.max("label").alias("high"), F.max("node").alias("centre"))
+    open_ = named.groupBy("key").agg(F.min("label").alias("low"), F.max("label").alias("high"), F.max_by("node", F.xxhash64("node", "key")).alias("centre"))
     open_ = written(open_.where("low <> high").select("key", "centre"), "open")
     return named.drop("centre").join(open_, "key")
 
 
-def _across(rows: DataFrame) -> DataFrame:
+def _met(
+    marked: DataFrame, nodes: DataFrame, docs: DataFrame, key: str, text: str, width: int, percent: int
+) -> DataFrame:
+    """Links a, b between members of big components and what shares a key with them and isn't in them.
+
+    Each such node is held against all members of the component that are under open keys, part by part and
+    set by set, and gives one link per part at most; so the rows grow with the nodes, not with the pairs.
+    """
+    big = marked.where("size is not null")
+    groups = big.select("key", F.col("label").alias("big"), F.col("size").alias("big_size")).distinct()
+    smaller = "label <> big and (coalesce(size, 0) < big_size or size = big_size and label < big)"
+    asks = marked.select("key", "node", "label", "size").join(groups, "key").where(smaller)
+    asks = asks.select("node", "big", "big_size").distinct()
+    parts = F.ceil(F.col("big_size") / PART).cast("int")
+    asks = asks.withColumn("part", F.explode(F.sequence(F.lit(0), parts - 1))).withColumn("asks", F.lit(True))
+    held = big.select("node", F.col("label").alias("big"), F.col("size").alias("big_size")).distinct()
+    held = held.withColumn("part", F.pmod(F.xxhash64("node"), parts).cast("int")).withColumn("asks", F.lit(False))
+    both = written(held.unionByName(asks).drop("big_size"), "met")
+    wanted = both.select("node").distinct().join(nodes.select("node", "lo", "d1"), "node")
+    found = full_sets(written(wanted, "wanted"), docs, key, text, width)
+    dealt = both.join(found, "node").repartition("big", "part").sortWithinPartitions("big", "part", "asks")
+
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        now, names, sets, index = None, [], [], None
+        for frame in frames:
+            out = []
+            for big_, part, node, ask, raw in zip(frame.big, frame.part, frame.node, frame.asks, frame["items"]):
+                if (big_, part) != now:
+                    now, names, sets, index = (big_, part), [], [], None
+                items = np.frombuffer(raw, dtype=np.uint64)
+                if not ask:
+                    names.append(node)
+                    sets.append(items)
+                    continue
+                if not names:
+                    continue
+                if index is None:
+                    # The members' items in one array, and where each member begins.
+                    sizes = np.array([len(x) for x in sets])
+                    index = np.concatenate(sets), np.cumsum(sizes) - sizes, sizes
+                pool, starts, sizes = index
+                at = np.minimum(np.searchsorted(items, pool), len(items) - 1)
+                common = np.add.reduceat((items[at] == pool).astype(np.int64), starts)
+                linked = np.flatnonzero(100 * common >= percent * (sizes + len(items) - common))
+                if len(linked):
+                    out.append((node, names[linked[0]]))
+            yield pd.DataFrame(out, columns=["a", "b"])
+
+    return dealt.select("big", "part", "node", "asks", "items").mapInPandas(run, "a long, b long")
+
+
+def _alone(rows: DataFrame, nodes: DataFrame, docs: DataFrame, key: str, text: str, width: int) -> DataFrame:
+    """How many items of each of these nodes no other of them has."""
+    wanted = rows.select("node").distinct().join(nodes.select("node", "lo", "d1"), "node")
+    found = full_sets(written(wanted, "wanted"), docs, key, text, width)
+
+    def spread(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for frame in frames:
+            for node, items in zip(frame.node, frame["items"]):
+                yield pd.DataFrame({"item": np.frombuffer(items, dtype=np.int64), "node": node})
+
+    items = found.mapInPandas(spread, "item long, node long")
+    one = items.groupBy("item").agg(F.count(F.lit(1)).alias("nodes"), F.min("node").alias("node")).where("nodes = 1")
+    return written(one.groupBy("node").agg(F.count(F.lit(1)).alias("alone")), "alone")
+
+
+def _across(rows: DataFrame, percent: int) -> DataFrame:
     """Pairs across components inside each key, compared in blocks."""
     parts = F.ceil(F.col("members") / BLOCK).cast("int")
     own = F.pmod(F.xxhash64("node"), F.col("parts")).cast("int")
@@ -212,21 +308,24 @@ def _across(rows: DataFrame) -> DataFrame:
         .withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
         .withColumn("i", F.least("own", "other"))
         .withColumn("j", F.greatest("own", "other"))
-        .select("key", "i", "j", "own", "node", "label", "slot", "n", "sig", "near", "far")
+        .select("key", "i", "j", "own", "node", "label", "slot", "n", "alone", "sig", "near", "far")
     )
     dealt = spread.repartition("key", "i", "j").sortWithinPartitions("key", "i", "j")
 
     def block(frame: pd.DataFrame) -> tuple[np.ndarray, np.ndarray]:
-        own, label, n = (frame[c].to_numpy() for c in ("own", "label", "n"))
+        own, label, n, alone = (frame[c].to_numpy() for c in ("own", "label", "n", "alone"))
         node, near, far = (frame[c].to_numpy() for c in ("node", "near", "far"))
         i, j, slot = int(frame.i.iloc[0]), int(frame.j.iloc[0]), int(frame.slot.iloc[0])
         sig = np.frombuffer(b"".join(frame.sig), dtype=np.uint16).reshape(-1, SYMBOLS)
         out = []
         for x in range(len(frame)):
             ok = (label != label[x]) & (own == j) & ((own[x] == i) if i != j else (node > node[x]))
-            ok &= 100 * np.minimum(n, n[x]) >= 80 * np.maximum(n, n[x])
+            # What one set has alone it shares with none.
+            both = np.minimum(n - alone, n[x] - alone[x])
+            ok &= 100 * both >= percent * (n + n[x] - both)
             # Not known (nan) never excludes; 1e-9 is for rounding.
-            ok &= ~(np.abs(near - near[x]) > 0.2 + 1e-9) & ~(np.abs(far - far[x]) > 0.2 + 1e-9)
+            most = 1 - percent / 100 + 1e-9
+            ok &= ~(np.abs(near - near[x]) > most) & ~(np.abs(far - far[x]) > most)
             at = np.flatnonzero(ok)
             if len(at):
                 equal = sig[at] == sig[x]
@@ -268,7 +367,7 @@ def cluster(docs: DataFrame, key: str = "doc_id", text: str = "text", width: int
     keyed = written(keys.join(shared, "key"), "keyed")
 
     def tried(pairs: DataFrame) -> DataFrame:
-        found = written(likely(pairs.distinct(), nodes), "likely")
+        found = written(likely(pairs.distinct(), nodes, percent), "likely")
         return written(confirm(found, nodes, docs, key, text, width, percent), "tried")
 
     near = tried(keyed.where("node <> centre").select(F.col("node").alias("a"), F.col("centre").alias("b")))
@@ -286,6 +385,12 @@ def cluster(docs: DataFrame, key: str = "doc_id", text: str = "text", width: int
         labels = components(links)
 
         rows = written(_left_over(keyed.withColumn("first", F.col("centre")), labels), "rows")
+        big = labels.groupBy("label").agg(F.count(F.lit(1)).alias("size")).where(F.col("size") >= BIG)
+        marked = written(rows.join(big, "label", "left"), "marked")
+        met = written(_met(marked, nodes, docs, key, text, width, percent), "links")
+        links = links.union(met)
+        # Every pair with a member of a big component is settled.
+        rows = marked.where("size is null")
         if not rows.isEmpty():
             def distance(tried_: DataFrame, centre: str, name: str) -> DataFrame:
                 return tried_.select(F.col("a").alias("node"), F.col("b").alias(centre), (1 - F.col("similarity")).alias(name))
@@ -294,12 +399,15 @@ def cluster(docs: DataFrame, key: str = "doc_id", text: str = "text", width: int
             rows = rows.withColumn("near", F.when(F.col("node") == F.col("first"), 0.0).otherwise(F.col("near")))
             rows = rows.join(distance(far, "centre", "far"), ["node", "centre"], "left")
             rows = rows.withColumn("far", F.when(F.col("node") == F.col("centre"), 0.0).otherwise(F.col("far")))
-            rows = rows.join(nodes.select("node", "n", "sig"), "node")
-            pairs = written(_across(rows), "across")
+            rows = written(rows.join(nodes.select("node", "n", "sig"), "node"), "rows")
+            alone = _alone(rows, nodes, docs, key, text, width)
+            rows = rows.join(alone, "node", "left").withColumn("alone", F.coalesce("alone", F.lit(0)))
+            pairs = written(_across(rows, percent), "across")
             done = near.select("a", "b").union(far.select("a", "b"))
             done = done.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
             rest = written(confirm(pairs.join(done, ["a", "b"], "left_anti"), nodes, docs, key, text, width, percent), "tried")
-            labels = components(links.union(rest.where("linked").select("a", "b")))
+            links = links.union(rest.where("linked").select("a", "b"))
+        labels = components(links)
 
     named = nodes.select("node", "lo", "d1", "d2", "n").join(labels, "node", "left")
     named = written(named.withColumn("label", F.coalesce("label", "node")), "named")

@@ -52,9 +52,11 @@ def near_copies():
     return texts
 
 
-@pytest.mark.parametrize("width", [2, 5])
-def test_near_duplicates(spark, corpus, width, monkeypatch):
+@pytest.mark.parametrize("width, big", [(2, 3), (5, 64)])
+def test_near_duplicates(spark, corpus, width, big, monkeypatch):
     monkeypatch.setattr(hamming_join, "BLOCK", 4)
+    monkeypatch.setattr(hamming_join, "BIG", big)
+    monkeypatch.setattr(hamming_join, "PART", 4)
     texts = {10_000 + i: t for i, t, _ in corpus} | near_copies() | {1: "one", 2: "One", 3: None, 4: "", 5: "one two"}
     docs = spark.createDataFrame(list(texts.items()), "doc_id long, text string").repartition(3)
     got = {r.doc_id: (r.n_shingles, r.component_id) for r in hamming_join.cluster(docs, width=width).collect()}
