@@ -124,8 +124,8 @@ def heartbeat(health: DataFrame, host_metrics: DataFrame, time: Column | None =
 
 
 def tail(lines: DataFrame, count: int = 100, order: list[str] | None = None) -> DataFrame:
-    """Last ``count`` lines in order."""
-    keys = order or ["ord"]
+    """Last ``count`` lines in order: by file and place in it where the lines have those."""
+    keys = order or [c for c in ("file", "block", "ord") if c in lines.columns]
     last = lines.orderBy(*[F.desc(k) for k in keys]).limit(count)
     return last.orderBy(*keys)
 
