@@ -2,18 +2,21 @@
 
 A text is its lower-cased words, one blank between them and a line feed at the end; the tree predicts each
 byte from the bytes before it, back to the start of the text (read as line feeds). Contexts have up to DEPTH
-bytes. A context is a candidate if it makes up at least P_MIN of all training bytes (and MIN_COUNT of them);
-it is retained if its next-byte distribution diverges from that of its longest proper suffix by more than its
-size of counts warrants (the likelihood gained, less half the logarithm of its count per next byte), or if it
-is the suffix of one that is retained. Distributions are smoothed towards those of the suffix, with as much
-weight as there are different next bytes; the root is smoothed evenly. A byte is scored in the state of the
-longest retained suffix of what stands before it.
+bytes. A context is a candidate if training has it MIN_COUNT times, however large the corpus; it is retained
+if its next-byte distribution diverges from that of its longest proper suffix by more than its size of counts
+warrants (the likelihood gained, less half the logarithm of its count per next byte), or if it is the suffix
+of one that is retained. Distributions are smoothed towards those of the suffix, with as much weight as there
+are different next bytes; the root is smoothed evenly. A byte is scored in the state of the longest retained
+suffix of what stands before it.
 
 Texts are gathered in blocks of about BLOCK_BYTES, written once. Each block sends its distinct words and its
-distinct byte windows with their counts, dealt by hash over BUCKETS tables, so frequent ones are added up
-before the shuffle and no table grows with a frequent word. Tables answer each block with the counts of its
-words in the whole training corpus; the counts of windows are added by order in Spark, and only contexts
-above P_MIN reach the driver, at most DEPTH / P_MIN of them however large the corpus.
+distinct byte windows with their counts, dealt by hash over BUCKETS tables, or one per BLOCKS_A_BUCKET blocks
+where that is more, so frequent ones are added up before the shuffle and no table grows with a frequent word
+or with the corpus. Tables answer each block with the counts of its words in the whole training corpus. The
+counts of windows are added by order in Spark, and the tree is one table per length: probabilities go from
+short to long contexts by joins, what is retained from long to short. Blocks get the value of each of their
+windows as they get the counts of their words. Nothing of the tree is on the driver. `grow` makes the same
+tree in memory, for small corpora.
 
 A null or empty text is its end alone. Rows with a null id are training rows. Without training rows both
 scores come from even distributions. Repeated ids are scored row by row. Other columns are ignored.
@@ -29,13 +32,13 @@ import pandas as pd
 import pyarrow as pa
 import zstandard
 from pyspark import TaskContext
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from linefold.llm.common import hash_words, word_bytes, written
 
-DEPTH, P_MIN, MIN_COUNT = 6, 1e-5, 50
-BLOCK_BYTES, BUCKETS, STEP_BYTES = 4 << 20, 64, 1 << 20
+DEPTH, MIN_COUNT = 6, 50
+BLOCK_BYTES, BUCKETS, BLOCKS_A_BUCKET, STEP_BYTES = 4 << 20, 64, 4, 1 << 20
 END = 10
 NULL_KEY = np.iinfo(np.int64).min
 
@@ -134,13 +137,23 @@ class Block:
             counts.append(made[1])
         return np.concatenate(hashes), np.concatenate(counts)
 
-    def distinct(self) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    def distinct(self, buckets: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
         """All words, documents' numbers of words, distinct words by bucket, where each bucket starts."""
         words, counts = self.words()
         keys, _ = counted(words)
-        order = np.argsort(keys % np.uint64(BUCKETS), kind="stable")
-        keys = keys[order]
-        return words, counts, keys, np.searchsorted(keys % np.uint64(BUCKETS), np.arange(BUCKETS + 1))
+        return words, counts, *dealt(keys, keys % np.uint64(buckets), buckets)
+
+    def distinct_windows(self) -> tuple[np.ndarray, np.ndarray]:
+        """Distinct windows of all texts in ascending order, and how often training texts have each."""
+        found = []
+        for docs, span in self.steps():
+            made = windows(self.stream[span], self.sizes[docs])
+            keys, _ = counted(made)
+            seen, n = counted(made[np.repeat(~self.held[docs], self.sizes[docs])])
+            trained = np.zeros(len(keys), dtype=np.int64)
+            trained[np.searchsorted(keys, seen)] = n
+            found.append((keys, trained))
+        return counted(np.concatenate([f[0] for f in found]), np.concatenate([f[1] for f in found]))
 
     def steps(self) -> Iterator[tuple[slice, slice]]:
         """Runs of documents of about STEP_BYTES, and where they stand in the stream."""
@@ -171,15 +184,25 @@ def windows(stream: np.ndarray, sizes: np.ndarray) -> np.ndarray:
     return out
 
 
-def _gather(table: DataFrame) -> DataFrame:
-    """What each block sends: its distinct words, and windows of its training texts, by bucket."""
+def dealt(keys: np.ndarray, bucket: np.ndarray, buckets: int) -> tuple[np.ndarray, np.ndarray]:
+    """Keys by bucket, in the given order inside each, and where each bucket starts."""
+    order = np.argsort(bucket, kind="stable")
+    return keys[order], np.searchsorted(bucket[order], np.arange(buckets + 1))
+
+
+def _window_bucket(keys: np.ndarray, buckets: int) -> np.ndarray:
+    return (keys * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(40)) % np.uint64(buckets)
+
+
+def _gather(table: DataFrame, buckets: int = BUCKETS) -> DataFrame:
+    """What each block sends: its distinct words and windows by bucket, with their counts in training texts."""
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in frames:
             for row in frame.itertuples(index=False):
                 block = Block.of(row.ids, row.held, row.sizes, row.body)
                 rows = []
-                words, counts, keys, cuts = block.distinct()
+                words, counts, keys, cuts = block.distinct(buckets)
                 seen, n = counted(words[np.repeat(~block.held, counts)])
                 trained = np.zeros(len(keys), dtype=np.uint32)
                 by_key = np.argsort(keys)
@@ -187,15 +210,11 @@ def _gather(table: DataFrame) -> DataFrame:
                 for b, (i, j) in enumerate(zip(cuts[:-1], cuts[1:])):
                     if i < j:
                         rows.append(("words", b, row.block, _pack_keys(keys[i:j]), _pack(trained[i:j])))
-                found = []
-                for docs, span in block.steps():
-                    mask = np.repeat(~block.held[docs], block.sizes[docs])
-                    found.append(counted(windows(block.stream[span], block.sizes[docs])[mask]))
-                grams, n = counted(np.concatenate([f[0] for f in found]), np.concatenate([f[1] for f in found]))
-                bucket = (grams * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(40)) % np.uint64(BUCKETS)
-                for b in range(BUCKETS):
-                    at = np.flatnonzero(bucket == b)
-                    if len(at):
+                grams, n = block.distinct_windows()
+                order, cuts = dealt(np.arange(len(grams)), _window_bucket(grams, buckets), buckets)
+                for b, (i, j) in enumerate(zip(cuts[:-1], cuts[1:])):
+                    if i < j:
+                        at = order[i:j]
                         rows.append(("windows", b, row.block, _pack_keys(grams[at]), _pack(n[at].astype(np.uint32))))
                 out = pd.DataFrame(rows, columns=["kind", "bucket", "block", "keys", "counts"])
                 yield out.assign(total=0, distinct=0)
@@ -203,6 +222,20 @@ def _gather(table: DataFrame) -> DataFrame:
     return table.select("block", "ids", "held", "sizes", "body").mapInPandas(run, _PACKED)
 
 
+def _asks(table: DataFrame, buckets: int) -> DataFrame:
+    """The distinct windows of each block by bucket."""
+
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for frame in frames:
+            for row in frame.itertuples(index=False):
+                grams, _ = Block.of(row.ids, row.held, row.sizes, row.body).distinct_windows()
+                grams, cuts = dealt(grams, _window_bucket(grams, buckets), buckets)
+                rows = [(b, row.block, _pack_keys(grams[i:j])) for b, (i, j) in enumerate(zip(cuts[:-1], cuts[1:])) if i < j]
+                yield pd.DataFrame(rows, columns=["bucket", "block", "keys"])
+
+    return table.select("block", "ids", "held", "sizes", "body").mapInPandas(run, "bucket int, block long, keys binary")
+
+
 def _add_up(key: tuple, frame: pd.DataFrame) -> pd.DataFrame:
     """One bucket of all blocks: answers to blocks for words, sums for windows."""
     kind, bucket = key
@@ -240,32 +273,84 @@ class Tree:
         return np.add.reduceat(each, np.cumsum(sizes) - sizes)
 
 
-def _levels(windows_: DataFrame) -> tuple[list[pd.DataFrame], int]:
-    """Counts of candidate contexts with each next byte, by length from 0, and the number of training bytes."""
+def _mask(k: int) -> int:
+    """Of a window: its byte and the k bytes before that."""
+    return (((1 << (8 * k)) - 1) << (8 * (DEPTH + 1 - k))) | 0xFF
+
+
+def _shorter(column: str, k: int) -> Column:
+    return F.col(column).bitwiseAND(F.lit(_mask(k)))
+
+
+def _orders(windows_: DataFrame) -> list[DataFrame]:
+    """How often training has each window, by length of the context from 0; zero for those of other texts alone."""
 
     def spread(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in frames:
-            for k, c in zip(frame["keys"], frame["counts"]):
-                yield pd.DataFrame({"window": _unpack_keys(k).view(np.int64), "n": _unpack(c, np.int64)})
-
-    rows = windows_.select("keys", "counts").mapInPandas(spread, "window long, n long")
-    per_order, held = [], rows
-    for k in range(DEPTH, -1, -1):
-        mask = (((1 << (8 * k)) - 1) << (8 * (DEPTH + 1 - k))) | 0xFF
-        level = held.groupBy(F.col("window").bitwiseAND(F.lit(mask)).alias("window")).agg(F.sum("n").alias("n"))
-        held = written(level, f"order{k}")
-        per_order.append(held)
-    per_order.reverse()
-    total = per_order[0].agg(F.sum("n")).first()[0] or 0
-    least = max(MIN_COUNT, P_MIN * total)
-    levels = [per_order[0].toPandas()]
+            for b, k, c in zip(frame["bucket"], frame["keys"], frame["counts"]):
+                yield pd.DataFrame({"bucket": np.int32(b), "window": _unpack_keys(k).view(np.int64), "n": _unpack(c, np.int64)})
+
+    rows = windows_.select("bucket", "keys", "counts").mapInPandas(spread, "bucket int, window long, n long")
+    orders = [written(rows, f"order{DEPTH}")]  # a window is in one bucket, so it is whole
+    for k in range(DEPTH - 1, -1, -1):
+        level = orders[-1].groupBy(_shorter("window", k).alias("window")).agg(F.sum("n").alias("n"))
+        orders.append(written(level, f"order{k}"))
+    return orders[::-1]
+
+
+def _candidates(order: DataFrame) -> DataFrame:
+    """Rows of contexts that training has MIN_COUNT times, with size and different next bytes of the context."""
+    rows = order.select("window", "n", F.col("window").bitwiseAND(F.lit(~0xFF)).alias("context"))
+    often = rows.groupBy("context").agg(F.sum("n").alias("size"), F.count(F.when(F.col("n") > 0, 1)).alias("kinds"))
+    return rows.join(often.where(F.col("size") >= MIN_COUNT), "context")
+
+
+def _values(orders: list[DataFrame]) -> DataFrame:
+    """bucket, window, value: log10 of the probability of every window's byte in the tree."""
+    total = orders[0].agg(F.sum("n")).first()[0] or 0
+    p = [orders[0].select("window", ((F.col("n") + 0.5) / (total + 0.5 * 257)).alias("p"))]
+    gains = [None]
     for k in range(1, DEPTH + 1):
-        context = F.col("window").bitwiseAND(F.lit(~0xFF))
-        rows = per_order[k].withColumn("context", context)
-        # At most 1 / P_MIN contexts of each length pass.
-        often = rows.groupBy("context").agg(F.sum("n").alias("all")).where(F.col("all") >= least).select("context")
-        levels.append(rows.join(often, "context").select("window", "n").toPandas())
-    return levels, int(total)
+        above = p[-1].select(F.col("window").alias("short"), F.col("p").alias("above"))
+        cells = _candidates(orders[k]).withColumn("short", _shorter("window", k - 1)).join(above, "short")
+        # Smoothed towards the suffix.
+        smooth = (F.col("n") + F.col("kinds") * F.col("above")) / (F.col("size") + F.col("kinds"))
+        cells = written(cells.select("window", "context", "n", "size", "kinds", "above", smooth.alias("p")), f"cells{k}")
+        p.append(cells.select("window", "context", "p"))
+        gain = F.sum(F.when(F.col("n") > 0, F.col("n") * F.log(F.col("n") / F.col("size") / F.col("above"))))
+        by_context = cells.groupBy("context", "size", "kinds").agg(gain.alias("gain"))
+        worth = F.col("gain") > 0.5 * F.col("kinds") * F.log(F.greatest("size", F.lit(2)))
+        gains.append(by_context.where(worth).select("context"))
+    keep = [None] * DEPTH + [written(gains[DEPTH], f"kept{DEPTH}")]
+    for k in range(DEPTH - 1, 0, -1):
+        # A suffix of what is retained is retained.
+        suffixes = keep[k + 1].select(F.col("context").bitwiseAND(F.lit(_mask(k) & ~0xFF)).alias("context"))
+        keep[k] = written(gains[k].union(suffixes).distinct(), f"kept{k}")
+    value = p[0].select("window", F.log10("p").alias("value"))
+    for k in range(1, DEPTH + 1):
+        above = value.select(F.col("window").alias("short"), F.col("value").alias("above"))
+        state = p[k].join(keep[k], "context", "left_semi").select("window", F.log10("p").alias("own"))
+        every = orders[k].withColumn("short", _shorter("window", k - 1)).join(above, "short").join(state, "window", "left")
+        held = ["bucket"] if k == DEPTH else []
+        value = written(every.select(*held, "window", F.coalesce("own", "above").alias("value")), f"values{k}")
+    return value
+
+
+def _answer(key: tuple, asks: pd.DataFrame, values: pd.DataFrame) -> pd.DataFrame:
+    """One bucket: answers to blocks with the values of their windows."""
+    order = np.argsort(values["window"].to_numpy())
+    known, value = values["window"].to_numpy()[order].view(np.uint64), values["value"].to_numpy()[order].astype(np.float32)
+    rows = []
+    for block, k in zip(asks["block"], asks["keys"]):
+        rows.append(("windows", key[0], block, b"", _pack(value[np.searchsorted(known, _unpack_keys(k))]), 0, 0))
+    return pd.DataFrame(rows, columns=["kind", "bucket", "block", "keys", "counts", "total", "distinct"])
+
+
+def _levels(windows_: DataFrame) -> tuple[list[pd.DataFrame], int]:
+    """Counts of candidate contexts with each next byte, by length from 0, and the number of training bytes."""
+    orders = [o.where("n > 0") for o in _orders(windows_)]
+    total = orders[0].agg(F.sum("n")).first()[0] or 0
+    return [orders[0].toPandas(), *[_candidates(o).select("window", "n").toPandas() for o in orders[1:]]], int(total)
 
 
 def grow(levels: list[pd.DataFrame], total: int) -> Tree:
@@ -318,10 +403,12 @@ def score(docs: DataFrame, held: str, key: str = "doc_id", text: str = "text") -
 
     Learns from rows where the boolean column `held` is false; `base_score` is that of single tokens.
     """
-    spark = docs.sparkSession
     table = blocks(docs, key, text, held)
-    sums = written(_gather(table).groupBy("kind", "bucket").applyInPandas(_add_up, _PACKED), "sums")
-    tree = grow(*_levels(sums.where("kind = 'windows'")))
+    buckets = max(BUCKETS, -(-table.count() // BLOCKS_A_BUCKET))
+    sums = written(_gather(table, buckets).groupBy("kind", "bucket").applyInPandas(_add_up, _PACKED), "sums")
+    values = _values(_orders(sums.where("kind = 'windows'")))
+    asks = _asks(table, buckets)
+    found = asks.groupBy("bucket").cogroup(values.groupBy("bucket")).applyInPandas(_answer, _PACKED)
     totals = sums.where("kind = 'totals'").agg(F.sum("total"), F.sum("distinct")).first()
 
     def ends(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -331,15 +418,17 @@ def score(docs: DataFrame, held: str, key: str = "doc_id", text: str = "text") -
     trained = table.select("held").mapInPandas(ends, "n long").agg(F.sum("n")).first()[0] or 0
     n_train = (totals[0] or 0) + trained
     n_kinds = (totals[1] or 0) + (trained > 0)
-    shared = spark.sparkContext.broadcast(tree)
 
     def one(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
         out = []
-        answers = {b: _unpack(c, np.int64) for b, c in zip(right["bucket"], right["counts"])}
+        answers: dict[str, dict] = {"words": {}, "windows": {}}
+        for kind, bucket, packed in zip(right["kind"], right["bucket"], right["counts"]):
+            answers[kind][bucket] = _unpack(packed, np.int64 if kind == "words" else np.float32)
+        told = {k: np.concatenate([a[b] for b in sorted(a)]) if a else np.empty(0, dtype=np.int64) for k, a in answers.items()}
         for row in left.itertuples(index=False):
             block = Block.of(row.ids, row.held, row.sizes, row.body)
-            words, counts, keys, _ = block.distinct()
-            c = np.concatenate([answers[b] for b in sorted(answers)]) if answers else np.empty(0, dtype=np.int64)
+            words, counts, keys, _ = block.distinct(buckets)
+            c = told["words"]
             by_key = np.argsort(keys)
             in_order = c[by_key]
             keys = keys[by_key]
@@ -350,7 +439,17 @@ def score(docs: DataFrame, held: str, key: str = "doc_id", text: str = "text") -
             known = np.concatenate([[0], np.cumsum(tokens > 0)])
             stop = np.cumsum(counts)
             start = stop - counts
-            scores = [shared.value.score(block.stream[span], block.sizes[docs]) for docs, span in block.steps()]
+            grams, _ = block.distinct_windows()
+            order, _ = dealt(np.arange(len(grams)), _window_bucket(grams, buckets), buckets)
+            value = np.empty(len(grams), dtype=np.float32)
+            value[order] = told["windows"]
+            scores = []
+            for docs, span in block.steps():
+                made = windows(block.stream[span], block.sizes[docs])
+                order = np.argsort(made)
+                each = np.empty(len(made))
+                each[order] = value[np.searchsorted(grams, made[order])]
+                scores.append(np.add.reduceat(each, np.cumsum(block.sizes[docs]) - block.sizes[docs]))
             ids = pd.Series(block.ids).astype("Int64")
             out.append(
                 pd.DataFrame(
@@ -367,7 +466,7 @@ def score(docs: DataFrame, held: str, key: str = "doc_id", text: str = "text") -
             )
         return pd.concat(out) if out else pd.DataFrame(columns=[c.split()[0] for c in _SCORES.split(", ")])
 
-    replies = sums.where("kind = 'words'").select("block", "bucket", "counts")
+    replies = sums.where("kind = 'words'").unionByName(found).select("kind", "block", "bucket", "counts")
     return table.groupBy("block").cogroup(replies.groupBy("block")).applyInPandas(one, _SCORES)
 
 

@@ -237,6 +237,30 @@ def test_tree_by_definition(spark):
         assert got == pytest.approx(direct_score(tree, body), abs=1e-4)
 
 
+def test_scores_equal_the_tree_in_memory(spark, corpus):
+    """The tables of contexts score as `grow` does."""
+    rows = [(i, t, zlib.crc32(str(i).encode()) % 5 == 1) for i, t, _ in corpus]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, held boolean").repartition(3)
+    got = {r.doc_id: r for r in suffix_tree.score(docs, "held").collect()}
+    table = suffix_tree.blocks(docs, "doc_id", "text", "held")
+    sums = suffix_tree._gather(table).groupBy("kind", "bucket").applyInPandas(suffix_tree._add_up, suffix_tree._PACKED)
+    tree = suffix_tree.grow(*suffix_tree._levels(sums.where("kind = 'windows'")))
+    for i, t, _ in rows:
+        body = b" ".join(t.encode().lower().split()) + b"\n"
+        want = tree.score(np.frombuffer(body, np.uint8), np.array([len(body)]))[0]
+        assert got[i].score == pytest.approx(want, rel=1e-4, abs=1e-3)
+
+
+def test_rare_contexts_are_kept_in_a_large_corpus(spark):
+    """Sixty times in 12 MB: over MIN_COUNT, less than 1e-5 of all bytes."""
+    rows = [(i, "the cat sat on the mat " * 20_000, False) for i in range(26)]
+    rows += [(100 + i, "qzjxkv", False) for i in range(60)] + [(200, "qzjxkv", True)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, held boolean").repartition(2)
+    got = suffix_tree.score(docs, "held").where("held_out").first()
+    # One byte of many training texts' first, then five and the end that are nearly certain.
+    assert got.score > -3 and got.score > got.base_score
+
+
 def test_score_rows(odd_rows, no_rows):
     rows = suffix_tree.score(odd_rows.withColumn("held", F.col("doc_id") == 4), "held").collect()
     assert len(rows) == 10 and {r.n_tokens for r in rows if r.doc_id in (1, 2, 3)} == {1}
