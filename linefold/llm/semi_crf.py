@@ -36,6 +36,8 @@ from linefold.llm.common import add_columns
 KINDS = ("email", "ip", "card", "phone")
 NONE = "none"
 MAX_TOKENS, MAX_REGION = 24, 96
+#: Characters of a run of numbers, and of what a pattern span leaves of a region.
+MIN_PIECE = 7
 #: Texts brought to the driver for training, and examples made from them.
 FIT_ROWS, EXAMPLES = 400, 900
 EPOCHS, RATE, DECAY = 4, 0.3, 1e-3
@@ -134,24 +136,30 @@ class Region:
 
 
 def regions(text: str, taken: list[Span]) -> list[Region]:
-    """Candidate regions outside the spans already taken."""
-    found = [(m.start(), m.end()) for m in _NUMBERS.finditer(text) if m.end() - m.start() >= 7] if _DIGIT.search(text) else []
+    """Candidate regions without the spans already taken; what is left on both sides of a span is kept."""
+    found = [(m.start(), m.end()) for m in _NUMBERS.finditer(text) if m.end() - m.start() >= MIN_PIECE] if _DIGIT.search(text) else []
     if _SPELT_HINT.search(text):
         found += [(m.start(), m.end()) for m in _SPELT.finditer(text)]
     blocked = sorted((a, b) for _, a, b in taken)
     out, end, k = [], 0, 0
     for a, b in sorted(found):
-        a = max(a, end)
+        pieces, a, cut = [], max(a, end), False
         while k < len(blocked) and blocked[k][1] <= a:
             k += 1
-        if b <= a or (k < len(blocked) and blocked[k][0] < b):
-            continue
-        end = b
-        bounds = [(m.start(), m.end()) for m in _TOKEN.finditer(text, a, b)]
-        for i in range(0, len(bounds), MAX_REGION - MAX_TOKENS):
-            out.append(Region(text, bounds[i : i + MAX_REGION]))
-            if i + MAX_REGION >= len(bounds):
-                break
+        at = k
+        while a < b and at < len(blocked) and blocked[at][0] < b:
+            pieces.append((a, blocked[at][0]))
+            a, at, cut = max(a, blocked[at][1]), at + 1, True
+        pieces.append((a, b))
+        for start, stop in pieces:
+            if stop - start < (MIN_PIECE if cut else 1):
+                continue
+            end = stop
+            bounds = [(m.start(), m.end()) for m in _TOKEN.finditer(text, start, stop)]
+            for i in range(0, len(bounds), MAX_REGION - MAX_TOKENS):
+                out.append(Region(text, bounds[i : i + MAX_REGION]))
+                if i + MAX_REGION >= len(bounds):
+                    break
     return out
 
 

@@ -169,6 +169,20 @@ def test_field_decoding_is_optimal(crf):
         assert crf.decode(region) == spans
 
 
+@pytest.mark.parametrize("text", ["10.0.0.1 (415) 555-0199", "4111111111111111 (415) 555-0199", "+1 (988) 555-2485 / 415-555-0199", "(415) 555-0199 10.0.0.1"])
+def test_numbers_next_to_a_pattern_span(crf, text):
+    base, added = semi_crf.find(text, crf)
+    assert len(base) == 1
+    assert [(k, "".join(c for c in text[a:b] if c.isdigit())) for k, a, b in added] == [("phone", "4155550199")]
+
+
+def test_regions_leave_out_taken_spans():
+    text = "1234567 99.99 7654321 88 22 1112223"
+    taken = [("x", 8, 13), ("x", 22, 24), ("x", 22, 27)]
+    pieces = [text[r.bounds[0][0] : r.bounds[-1][1]].strip() for r in semi_crf.regions(text, taken)]
+    assert pieces == ["1234567", "7654321", "1112223"]
+
+
 def test_field_gradient(crf):
     """Against finite differences of the log likelihood."""
     text = "x (988) 555-2485 y"
