@@ -68,7 +68,8 @@ _SPELT = re.compile(
     r"(?: ?(?:\.|[(\[{] ?dot ?[)\]}]| dot ) ?[A-Za-z0-9-]{1,63})+",
     re.IGNORECASE,
 )
-_SPELT_HINT = re.compile(r"[(\[{] ?(?:at|dot) ?[)\]}]| dot |@ | @|＠", re.IGNORECASE)
+#: What every match of _SPELT has.
+_SPELT_HINT = re.compile(r"[@＠]|[(\[{] ?at ?[)\]}]| at ", re.IGNORECASE)
 #: Words before a span that tell its kind.
 CUES = {
     "email": ("mail", "email", "contact", "write"),
@@ -202,6 +203,8 @@ def segment_features(region: Region, i: int, j: int, kind: str, cue: str) -> lis
         out.append(f"at={int('at' in words[1:] or '@' in signs or '＠' in signs)}")
         out.append(f"dot={int('dot' in words[2:])}{int('.' in signs)}")
         out.append(f"last={min(len(words[-1]), 7)}")
+        # A full stop before a blank ends a sentence.
+        out.append(f"stop={int(any(t == '.' and n.isspace() for t, n in zip(tokens, tokens[1:])))}{int('at' in words[1:])}")
     if "(" in signs or ")" in signs:
         out.append(f"paren={int(signs.count('(') == signs.count(')'))}{int('[' in signs)}")
     return [f"{kind}|{f}" for f in out]
@@ -319,6 +322,7 @@ def _look_alike(draw: random.Random) -> str:
             f"{r(10**6, 10**8)}", f"{r(10**10, 10**14)}", wrong, "-".join(wrong[k : k + 4] for k in range(0, 16, 4)),
             f"{r(300, 999)}.{r(300, 999)}.{r(1, 99)}.{r(1, 99)}", f"{r(100, 999)} {r(100, 999)} {r(100, 999)} {r(100, 999)} {r(100, 999)}",
             f"{r(10000, 99999)}-{r(1000, 9999)}", f"look at the dot product", f"at dot {r(10, 99)}", f"{r(1, 99)} - {r(100, 999)} - {r(1, 99)}",
+            f"{draw.choice(['look', 'stay', 'Is', 'met', 'arrive', 'for'])} at {draw.choice(['home', 'noon', 'and', 'school', 'once'])}. {draw.choice(['The', 'Then', 'We', 'See'])}",
             f"978-{r(0, 9)}-{r(100, 999)}-{r(10000, 99999)}-{r(0, 9)}", f"{r(1, 9)} ({r(1900, 2020)}) {r(10, 99)}-{r(100, 999)}",
         ]
     )

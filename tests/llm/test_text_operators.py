@@ -176,6 +176,17 @@ def test_numbers_next_to_a_pattern_span(crf, text):
     assert [(k, "".join(c for c in text[a:b] if c.isdigit())) for k, a, b in added] == [("phone", "4155550199")]
 
 
+@pytest.mark.parametrize("text, want", [("write jane.doe at example.com", "jane.doe at example.com"), ("they arrive at school. See you", None)])
+def test_spelt_address_alone(crf, text, want):
+    """Nothing else in the text hints at an address."""
+    assert [(k, text[a:b]) for k, a, b in semi_crf.find(text, crf)[1]] == ([("email", want)] if want else [])
+
+
+def test_every_spelt_match_is_a_region():
+    for text in ("jane.doe@example .com", "jane at example.com", "jane (at) example.com", "jane＠example.com"):
+        assert [r.text[r.bounds[0][0] : r.bounds[-1][1]] for r in semi_crf.regions(text, [])] == [text]
+
+
 def test_regions_leave_out_taken_spans():
     text = "1234567 99.99 7654321 88 22 1112223"
     taken = [("x", 8, 13), ("x", 22, 24), ("x", 22, 27)]
