@@ -332,5 +332,6 @@ def deliver_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
 SELECT source_id, count(*) AS processed, max(last_us) AS last_us FROM g GROUP BY 1""",
 )
 def processed(spark: SparkSession, sf_dir: str) -> DataFrame:
-    delivered = flow(spark, sf_dir, scope="minute").collapsed(logs(spark, sf_dir))
+    by_minute = flow(spark, sf_dir, scope="minute")
+    delivered = by_minute.collapsed(by_minute.lines(logs(spark, sf_dir)))
     return processed_metrics(delivered, "last_us").withColumnRenamed("last_processed", "last_us")
