@@ -8,7 +8,21 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from linefold.llm import hamming_join, hash_forest, language_id, packing, repetition, semi_crf, string_kernel, suffix_tree, token_files, tree_bpe
+from linefold.llm import (
+    conversation_repair,
+    hamming_join,
+    hash_forest,
+    kd_search,
+    language_id,
+    packing,
+    periodic_runs,
+    repetition,
+    semi_crf,
+    string_kernel,
+    suffix_tree,
+    token_files,
+    tree_bpe,
+)
 from linefold.llm.common import bucket_of, scratch
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -89,3 +103,34 @@ def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = docs.withColumn("held_out", bucket_of("doc_id", 4) == 2)
     model = language_id.train(docs, ~F.col("held_out"))
     return language_id.identify(docs.drop("lang"), model).drop("text")
+
+
+@query
+def op11_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    talks = table(spark, sf_dir, "conversations")
+    return conversation_repair.repair(conversation_repair.damaged(talks), talks)
+
+
+@query
+def op12_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return periodic_runs.judge(periodic_runs.planted(docs)).drop("text")
+
+
+@query
+def op13_kd_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = table(spark, sf_dir, "embeddings").select("vec_id", "embedding")
+    return kd_search.search(vectors, F.col("vec_id") % 20 == 0, k=20)
+
+
+ORACLES["op13_kd_search"] = """
+WITH whole AS (
+  SELECT vec_id, list_transform(embedding, lambda x: floor(64 * CAST(x AS DOUBLE))) AS v FROM embeddings
+  WHERE vec_id IS NOT NULL AND embedding IS NOT NULL
+    AND len(list_filter(embedding, lambda x: x IS NULL OR isnan(x) OR isinf(x))) = 0),
+scored AS (
+  SELECT q.vec_id AS query_id, c.vec_id, CAST(list_dot_product(q.v, c.v) AS BIGINT) AS score
+  FROM whole q JOIN whole c ON c.vec_id <> q.vec_id AND len(c.v) = len(q.v) WHERE q.vec_id % 20 = 0),
+ranked AS (
+  SELECT *, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS INTEGER) AS rank FROM scored)
+SELECT query_id, rank, vec_id, score FROM ranked WHERE rank <= 20"""
