@@ -12,6 +12,9 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 SECOND = 1_000_000
+#: One row in CUT_RATE is looked at for cut points, and a second is cut at every CUT_EVERY-th of them.
+CUT_RATE, CUT_EVERY = 4_096, 16
+MOST_BROADCAST_CUTS = 100_000
 
 
 def micros(ts: Column) -> Column:
@@ -33,21 +36,25 @@ def sessions_and_ranks(
     source: str = "source_id",
     ts: str = "recv_ts",
     seq: str = "seq",
+    cuts_from: DataFrame | None = None,
 ) -> DataFrame:
     """Add ``session`` and ``session_row`` (both from 0) per source in ``(ts, seq)`` order.
 
     A session ends where the next row is ``idle_us`` or more later. Cells are as wide as
     the idle interval, so a session can only end between two cells: the least and greatest
     time and the row count of each cell are enough to find every session and the number of
-    rows before each cell. Cells are cut by second, and rows are numbered inside their
-    second alone, whatever the size of the input. Rows without a time come first in their
-    source, as a session of their own; rows without a number come first in their time.
+    rows before each cell. Cells are cut by second, and seconds with a flood of rows once
+    more (see ``hot_cuts``); rows are numbered inside these parts alone, whatever the size
+    of the input. Rows without a time are session -1 of their source; rows without a number
+    come first in their time. ``cuts_from`` has at least the rows of ``df``, without columns
+    that are expensive to make; the cuts are looked for there.
     """
     us = micros(F.col(ts))
     rows = df.withColumn("_cell", time_cell(F.col(ts), idle_us)).withColumn("_part", floor_div(us, SECOND))
-    keys = [source, "_cell", "_part"]
+    rows = add_slices(rows, hot_cuts(df if cuts_from is None else cuts_from, source, ts, seq), source, us, seq)
+    keys = [source, "_cell", "_part", "_slice"]
     counts = rows.groupBy(*keys).agg(F.count("*").alias("_n"), F.min(us).alias("_lo"), F.max(us).alias("_hi"))
-    by_part = Window.partitionBy(source, "_cell").orderBy("_part").rowsBetween(Window.unboundedPreceding, 0)
+    by_part = Window.partitionBy(source, "_cell").orderBy("_part", "_slice").rowsBetween(Window.unboundedPreceding, 0)
     inner = (F.sum("_n").over(by_part) - F.col("_n")).alias("_inner")
     parts = counts.select(*keys, inner)
     cells = _carry_sessions(counts, idle_us, source)
@@ -69,6 +76,40 @@ def sessions_and_ranks(
     )
 
 
+def hot_cuts(
+    df: DataFrame, source: str = "source_id", ts: str = "recv_ts", seq: str = "seq", width: int = SECOND
+) -> DataFrame | None:
+    """``source, _part, _cuts``: cut points ``(us, seq)`` of spans with many rows, None if there are none.
+
+    Spans are as wide as ``width``, a second unless given. One row in CUT_RATE is picked by a hash of its place, so
+    the cuts are the same whenever they are made. Spans (or untimed rows) of which ``2 * CUT_EVERY`` or more are picked get a cut at every ``CUT_EVERY``-th, which leaves
+    slices of about ``CUT_RATE * CUT_EVERY`` rows, even where all rows share one time.
+    """
+    us = micros(F.col(ts))
+    places = df.select(F.col(source), us.alias("_us"), F.col(seq).cast("bigint").alias("_seq"))
+    picked = places.where(F.pmod(F.xxhash64(source, "_us", "_seq"), F.lit(CUT_RATE)) == 0)
+    held = picked.groupBy(source, floor_div(F.col("_us"), width).alias("_part")).agg(
+        F.array_sort(F.collect_list(F.struct("_us", "_seq"))).alias("_all")
+    )
+    every = F.filter("_all", lambda _, i: (i > 0) & (i % CUT_EVERY == 0))
+    cuts = held.where(F.size("_all") >= 2 * CUT_EVERY).select(source, "_part", F.array_distinct(every).alias("_cuts"))
+    size = cuts.agg(F.sum(F.size("_cuts"))).first()[0]
+    if not size:
+        return None
+    return F.broadcast(cuts) if size <= MOST_BROADCAST_CUTS else cuts
+
+
+def add_slices(rows: DataFrame, cuts: DataFrame | None, source: str, us: Column, seq: str) -> DataFrame:
+    """Add ``_slice``, the number of cut points of the row's second that are not behind the row."""
+    if cuts is None:
+        return rows.withColumn("_slice", F.lit(0))
+    c = cuts.select(F.col(source).alias("_cs"), F.col("_part").alias("_cp"), "_cuts")
+    same = F.col(source).eqNullSafe(F.col("_cs")) & F.col("_part").eqNullSafe(F.col("_cp"))
+    here = F.struct(us.alias("_us"), F.col(seq).cast("bigint").alias("_seq"))
+    slice_ = F.coalesce(F.size(F.filter("_cuts", lambda cut: cut <= here)), F.lit(0))
+    return rows.join(c, same, "left").withColumn("_slice", slice_).drop("_cs", "_cp", "_cuts")
+
+
 def _carry_sessions(counts: DataFrame, idle_us: int, source: str) -> DataFrame:
     """Session number and rows-before per (source, cell).
 
@@ -77,21 +118,15 @@ def _carry_sessions(counts: DataFrame, idle_us: int, source: str) -> DataFrame:
     cells = counts.groupBy(source, "_cell").agg(
         F.sum("_n").alias("_n"), F.min("_lo").alias("_lo"), F.max("_hi").alias("_hi")
     )
-    ordered = Window.partitionBy(source).orderBy("_cell")
+    untimed = F.col("_cell").isNull()
+    ordered = Window.partitionBy(source, untimed).orderBy("_cell")
     so_far = ordered.rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    after_untimed = F.lag("_n").over(ordered).isNotNull() & F.lag("_hi").over(ordered).isNull()
-    gap = F.col("_lo") - F.lag("_hi").over(ordered) >= idle_us
-    opens = F.coalesce((gap | after_untimed).cast("bigint"), after_untimed.cast("bigint"), F.lit(0))
+    opens = F.coalesce((F.col("_lo") - F.lag("_hi").over(ordered) >= idle_us).cast("bigint"), F.lit(0))
     total = F.sum("_n").over(so_far) - F.col("_n")
-    return (
-        cells.select(source, "_cell", "_n", opens.alias("_opens"), total.alias("_total"))
-        .select(
-            source,
-            "_cell",
-            F.sum("_opens").over(so_far).alias("_session"),
-            (
-                F.col("_total")
-                - F.max(F.when(F.col("_opens") == 1, F.col("_total")).otherwise(F.lit(0))).over(so_far)
-            ).alias("_before"),
-        )
+    opened = F.max(F.when(F.col("_opens") == 1, F.col("_total")).otherwise(F.lit(0))).over(so_far)
+    return cells.select(source, "_cell", "_n", opens.alias("_opens"), total.alias("_total")).select(
+        source,
+        "_cell",
+        F.when(untimed, F.lit(-1)).otherwise(F.sum("_opens").over(so_far)).cast("bigint").alias("_session"),
+        (F.col("_total") - opened).alias("_before"),
     )

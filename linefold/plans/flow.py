@@ -76,7 +76,7 @@ class LogFlow:
         return seen.where(~F.col("denied")).drop("denied", "rules", "policy_fields")
 
     def batched(self, logs: DataFrame) -> DataFrame:
-        return batching.assign_batches(self.kept(logs), F.col("batch_size"), self.idle_seconds)
+        return batching.assign_batches(self.kept(logs), F.col("batch_size"), self.idle_seconds, cuts_from=logs)
 
     def lines(self, logs: DataFrame) -> DataFrame:
         """Kept lines with what their scope groups them by."""

@@ -93,41 +93,3 @@ def deliver(
     write_lines(lines, folder, epoch, compress, level, layout)
     entries = manifest_entries(lines.sparkSession, folder, epoch, stamp, compress, level)
     append_manifest(entries, manifest, epoch)
-
-
-def deliver_sources(
-    lines: DataFrame, sources: DataFrame, stamp: str, epoch: int = 0, layout: str = "batch"
-) -> None:
-    """Deliver every folder source with its own folder and compression settings.
-
-    Compression is on at level 9 unless the source says otherwise. Sources that share their
-    settings are written together; the manifest lies in ``index`` beside the files. The
-    lines are kept while the settings are gone through, so the plan runs once.
-    """
-    settings = sources.where(F.col("target_type") == "FOLDER").select(
-        "source_id",
-        "folder_path",
-        F.coalesce(F.col("compression_enabled").cast("boolean"), F.lit(True)).alias("compress"),
-        F.coalesce(F.col("compression_level").cast("int"), F.lit(DEFAULT_LEVEL)).alias("level"),
-    )
-    placed = lines.join(settings, "source_id").persist()
-    try:
-        for one in settings.drop("source_id").distinct().collect():
-            chosen = placed.where(
-                (F.col("folder_path") == one.folder_path)
-                & (F.col("compress") == one.compress)
-                & (F.col("level") == one.level)
-            )
-            name = f"gzip-{one.level}" if one.compress else "plain"
-            deliver(
-                chosen,
-                f"{one.folder_path}/{name}",
-                f"{one.folder_path}/index/{name}",
-                stamp,
-                epoch,
-                one.compress,
-                one.level,
-                layout,
-            )
-    finally:
-        placed.unpersist()

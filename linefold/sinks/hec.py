@@ -16,11 +16,13 @@ from pyspark.sql.datasource import (
     WriterCommitMessage,
 )
 
+from linefold.sinks import ledger
+
 # Request settings.
 TIMEOUT_SECONDS = 30
 CONTENT_TYPE = "text/plain; charset=utf-8"
 
-BODY_SCHEMA = "hec_url STRING, hec_token STRING, body STRING, events LONG"
+BODY_SCHEMA = "source_id STRING, hec_url STRING, hec_token STRING, body STRING, events LONG, request_id STRING"
 
 
 def post(url: str, token: str, body: str) -> int:
@@ -36,18 +38,18 @@ def post(url: str, token: str, body: str) -> int:
 
 
 def batch_bodies(lines: DataFrame, sources: DataFrame) -> DataFrame:
-    """One row per batch: address, token and the joined lines in order.
+    """One row per batch: address, token, the joined lines in order, and an id of the request.
 
     A batch holds at most the batch size of its source, so its lines fit one row.
     """
-    bodies = lines.groupBy("source_id", "session", "chunk").agg(
-        F.array_sort(F.collect_list(F.struct("slot", "line"))).alias("_lines")
-    )
-    return bodies.join(sources.select("source_id", "hec_url", "hec_token"), "source_id").select(
-        "hec_url",
-        "hec_token",
-        F.array_join(F.transform("_lines", lambda p: p["line"]), "\n").alias("body"),
-        F.size("_lines").cast("bigint").alias("events"),
+    keys = ["source_id", "session", "chunk"]
+    bodies = lines.groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct("slot", "line"))).alias("_lines"))
+    body = F.array_join(F.transform("_lines", lambda p: p["line"]), "\n")
+    return (
+        bodies.join(sources.select("source_id", "hec_url", "hec_token"), "source_id")
+        .select(*keys, "hec_url", "hec_token", body.alias("body"), F.size("_lines").cast("bigint").alias("events"))
+        .withColumn("request_id", ledger.request_id(F.col("hec_url"), *[F.col(k) for k in keys], F.col("body")))
+        .select("source_id", "hec_url", "hec_token", "body", "events", "request_id")
     )
 
 
@@ -62,37 +64,44 @@ def _load(name: str) -> Callable[[str, str, str], int]:
     return getattr(importlib.import_module(module), attribute)
 
 
-def _post_all(rows: Iterator, poster_name: str) -> Posted:
-    poster = _load(poster_name)
-    requests = events = 0
-    for row in rows:
-        status = poster(row.hec_url, row.hec_token, row.body)
-        if status != 200:
-            # A failed task is run again, so a batch is delivered at least once.
-            raise RuntimeError(f"HEC request failed with status {status}")
-        requests += 1
-        events += row.events
-    return Posted(requests, events)
-
+@dataclass
+class Sender:
+    """Posts rows one by one; with a folder for records, leaves out what has one."""
 
-class HecWriter(DataSourceWriter):
-    def __init__(self, poster_name: str):
-        self.poster_name = poster_name
+    poster_name: str
+    records: str | None
 
     def write(self, iterator: Iterator) -> Posted:
-        return _post_all(iterator, self.poster_name)
+        poster = _load(self.poster_name)
+        requests = events = 0
+        for row in iterator:
+            if self.records and ledger.recorded(self.records, row.request_id):
+                continue
+            status = poster(row.hec_url, row.hec_token, row.body)
+            if status != 200:
+                # A failed task is run again, from the first row without a record.
+                raise RuntimeError(f"HEC request failed with status {status}")
+            if self.records:
+                ledger.record(self.records, row.request_id, row.source_id, row.events, status)
+            requests += 1
+            events += row.events
+        return Posted(requests, events)
 
 
-class HecStreamWriter(DataSourceStreamWriter):
-    def __init__(self, poster_name: str):
-        self.poster_name = poster_name
+class HecWriter(Sender, DataSourceWriter):
+    pass
 
-    def write(self, iterator: Iterator) -> Posted:
-        return _post_all(iterator, self.poster_name)
+
+class HecStreamWriter(Sender, DataSourceStreamWriter):
+    pass
 
 
 class HecDataSource(DataSource):
-    """``format("hec")``; option ``poster`` names the sending function as ``module:name``."""
+    """``format("hec")`` for batch and streaming writes of request rows.
+
+    Option ``poster`` names the sending function as ``module:name``; ``records`` is a shared folder in which each
+    accepted request leaves a record and is not sent again.
+    """
 
     @classmethod
     def name(cls) -> str:
@@ -101,24 +110,34 @@ class HecDataSource(DataSource):
     def schema(self) -> str:
         return BODY_SCHEMA
 
-    def _poster(self) -> str:
-        return self.options.get("poster", "linefold.sinks.hec:post")
+    def _settings(self) -> tuple[str, str | None]:
+        return self.options.get("poster", "linefold.sinks.hec:post"), self.options.get("records")
 
     def writer(self, schema, overwrite: bool) -> DataSourceWriter:
-        return HecWriter(self._poster())
+        return HecWriter(*self._settings())
 
     def streamWriter(self, schema, overwrite: bool) -> DataSourceStreamWriter:
-        return HecStreamWriter(self._poster())
+        return HecStreamWriter(*self._settings())
 
 
 def register(spark: SparkSession) -> None:
     spark.dataSource.register(HecDataSource)
 
 
-def deliver(lines: DataFrame, sources: DataFrame, poster: str | None = None) -> None:
-    """Post every batch of the HEC sources."""
-    register(lines.sparkSession)
-    writer = batch_bodies(lines, sources).write.format("hec").mode("append")
+def deliver(
+    lines: DataFrame, sources: DataFrame, poster: str | None = None, book: ledger.Ledger | None = None, epoch: int = 0
+) -> None:
+    """Post every batch of the HEC sources; with a ledger, none that it holds as sent."""
+    spark = lines.sparkSession
+    register(spark)
+    bodies = batch_bodies(lines, sources.where(F.col("target_type") == "HEC"))
+    if book:
+        bodies = bodies.join(book.sent(spark).select("request_id"), "request_id", "left_anti").select(*bodies.columns)
+    writer = bodies.write.format("hec").mode("append")
     if poster:
         writer = writer.option("poster", poster)
+    if book:
+        writer = writer.option("records", book.open_folder(epoch))
     writer.save()
+    if book:
+        book.settle(spark, epoch)

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from datetime import datetime
 
 from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -11,21 +12,23 @@ from pyspark.sql.streaming import DataStreamWriter, StreamingQuery
 
 from linefold.operators import batching, catalog, collapse
 from linefold.plans.flow import LogFlow
-from linefold.sinks import folder
+from linefold.sinks import folder, store
 from linefold.sources import messages
 
 
 LOGS = "source_id STRING, recv_ts TIMESTAMP, seq BIGINT, raw STRING"
-NUMBERS = "source_id STRING, session0 BIGINT, chunk0 BIGINT"
+OPEN = "source_id STRING, untimed BOOLEAN, session0 BIGINT, chunk0 BIGINT, seen TIMESTAMP"
 
 
 class Tails:
     """Lines of each source's last batch or minute, kept from one micro-batch to the next.
 
-    A group of lines is delivered once a later line of its source has shown that it is
-    complete, so a trigger's size changes nothing in the result. Each epoch reads what the
-    epoch before it left and writes its own, so a repeated epoch does the same again. The
-    tail holds a batch (or a minute) per source at most; ``flush`` delivers it.
+    A group of lines is delivered once a later line of its source has shown that it is complete, or, where the stream
+    has a clock, once the source has been silent for the idle time of the flow: the table of open groups holds the
+    clock's time at which each source last had a line. So a trigger's size changes nothing in the result. Lines
+    without a time are a group of their own beside the timed ones, as in a batch run. Each epoch reads what the epoch
+    before it left and writes its own, so a repeated epoch does the same again. The tail holds a batch (or a minute)
+    per source at most; ``flush`` delivers it.
     """
 
     def __init__(self, folder: str):
@@ -34,63 +37,104 @@ class Tails:
     def _left(self, spark: SparkSession, name: str, epoch: int, schema: str) -> DataFrame:
         if epoch < 0:
             return spark.createDataFrame([], schema)
-        return spark.read.schema(schema).parquet(f"{self.folder}/{name}/epoch={epoch}")
-
-    def _keep(self, rows: DataFrame, name: str, epoch: int) -> None:
-        rows.write.mode("overwrite").parquet(f"{self.folder}/{name}/epoch={epoch}")
-
-    def advance(self, flow: LogFlow, rows: DataFrame, epoch: int, time: Column | None, label: int | None = None) -> DataFrame:
-        """Delivery lines of the groups that are complete; with ``label`` of all, and nothing stays."""
+        for place in (f"{self.folder}/{name}/settled={epoch}", f"{self.folder}/{name}/epoch={epoch}"):
+            if store.complete(spark, place):
+                return spark.read.schema(schema).parquet(place)
+        raise RuntimeError(f"what epoch {epoch} left of {name} is missing")
+
+    def _keep(self, rows: DataFrame, name: str, epoch: int, label: str = "epoch") -> None:
+        rows.write.mode("overwrite").parquet(f"{self.folder}/{name}/{label}={epoch}")
+
+    def clock_of(self, spark: SparkSession, epoch: int) -> datetime | None:
+        """The clock's time as of an epoch; it never goes back."""
+        return self._left(spark, "clock", epoch, "now TIMESTAMP").agg(F.max("now")).first()[0]
+
+    def advance(
+        self, flow: LogFlow, rows: DataFrame, epoch: int, time: Column | None, now: datetime | None = None, last: bool = False
+    ) -> DataFrame:
+        """Delivery lines of the groups that are complete by now; of all that is open, if nothing comes after."""
         if flow.scope == "all":
             raise ValueError("scope 'all' never completes a group in a stream")
-        spark, before = rows.sparkSession, epoch - 1 if label is None else epoch
+        spark, before = rows.sparkSession, epoch if last else epoch - 1
         own = [f.split()[0] for f in LOGS.split(", ")]
         held = self._left(spark, "rows", before, LOGS)
-        lines = flow.lines(rows.select(*own).unionByName(held))
+        open_before = self._left(spark, "open", before, OPEN)
+        both = rows.select(*own, F.lit(True).alias("_new")).unionByName(held.withColumn("_new", F.lit(False)))
+        lines = flow.lines(both).withColumn("_untimed", F.col("recv_ts").isNull())
         if flow.scope == "batch":
-            lines = self._renumbered(lines, self._left(spark, "numbers", before, NUMBERS))
+            lines = self._renumbered(lines, open_before)
             group = F.struct("session", "chunk")
         else:
             group = F.struct(batching.minute_of(F.col("recv_ts")))
         # One evaluation for what is delivered and what stays.
-        place = f"{self.folder}/lines/epoch={epoch if label is None else label}"
+        place = f"{self.folder}/lines/{'last' if last else 'epoch'}={epoch}"
         lines.withColumn("_group", group).write.mode("overwrite").parquet(place)
         lines = spark.read.parquet(place)
-        last = lines.groupBy("source_id").agg(F.max("_group").alias("_last"))
-        marked = lines.join(last, "source_id")
-        open_ = F.coalesce(F.col("_group") == F.col("_last"), F.lit(True)) if label is None else F.lit(False)
-        if label is None:
-            self._keep(marked.where(open_).select(*own), "rows", epoch)
-            if flow.scope == "batch":
-                seen = last.select("source_id", F.col("_last.session").alias("session0"), F.col("_last.chunk").alias("chunk0"))
-                self._keep(seen.unionByName(self._absent(spark, seen, before)), "numbers", epoch)
-        return flow.delivered(marked.where(~open_).drop("_group", "_last"), time)
-
-    def _absent(self, spark: SparkSession, seen: DataFrame, before: int) -> DataFrame:
-        """Numbers of sources whose tail was flushed and that had no new line."""
-        return self._left(spark, "numbers", before, NUMBERS).join(seen.select("source_id"), "source_id", "left_anti")
+        if last:
+            return flow.delivered(lines.drop("_group", "_new", "_untimed"), time)
+        earlier = None if before < 0 else self.clock_of(spark, before)
+        now = max(filter(None, (now, earlier)), default=None)
+        state = self._state(flow, lines, open_before, now)
+        marked = lines.join(state, ["source_id", "_untimed"])
+        open_ = F.col("_group").eqNullSafe(F.col("_last")) & ~F.col("_due")
+        self._keep(marked.where(open_).select(*own), "rows", epoch)
+        self._keep(self._next(flow, state, open_before), "open", epoch)
+        self._keep(spark.createDataFrame([(now,)], "now TIMESTAMP"), "clock", epoch)
+        return flow.delivered(marked.where(~open_).drop("_group", "_last", "_due", "_seen", "_new", "_untimed"), time)
+
+    @staticmethod
+    def _state(flow: LogFlow, lines: DataFrame, open_before: DataFrame, now: datetime | None) -> DataFrame:
+        """The last group of each source, when a line of it was last seen, and whether it has waited long enough."""
+        clock = F.lit(now).cast("timestamp")
+        last = lines.groupBy("source_id", "_untimed").agg(F.max("_group").alias("_last"), F.bool_or("_new").alias("_fresh"))
+        seen_before = open_before.select("source_id", F.col("untimed").alias("_untimed"), "seen")
+        seen = F.when(F.col("_fresh"), clock).otherwise(F.coalesce("seen", clock))
+        silent = F.unix_micros(clock) - F.unix_micros(seen) >= flow.idle_seconds * 1_000_000
+        return last.join(seen_before, ["source_id", "_untimed"], "left").select(
+            "source_id", "_untimed", "_last", seen.alias("_seen"), F.coalesce(silent, F.lit(False)).alias("_due")
+        )
+
+    @staticmethod
+    def _next(flow: LogFlow, state: DataFrame, open_before: DataFrame) -> DataFrame:
+        """What is open after an epoch. A group closed by the clock is followed by a new session."""
+        numbers = [F.lit(None).cast("bigint").alias(c) for c in ("session0", "chunk0")]
+        if flow.scope == "batch":
+            session, chunk, due = F.col("_last.session"), F.col("_last.chunk"), F.col("_due")
+            closed = F.when(F.col("_untimed"), session).otherwise(session + 1)
+            first = F.when(F.col("_untimed"), chunk + 1).otherwise(0)
+            numbers = [F.when(due, closed).otherwise(session).alias("session0"), F.when(due, first).otherwise(chunk).cast("bigint").alias("chunk0")]
+        now_open = state.select("source_id", F.col("_untimed").alias("untimed"), *numbers, F.col("_seen").alias("seen"))
+        # Sources without an open line and without a new one keep their numbers.
+        return now_open.unionByName(open_before.join(now_open, ["source_id", "untimed"], "left_anti").select(*now_open.columns))
 
     @staticmethod
-    def _renumbered(lines: DataFrame, numbers: DataFrame) -> DataFrame:
+    def _renumbered(lines: DataFrame, open_before: DataFrame) -> DataFrame:
+        """Numbers that go on from what is open: held lines come first, so the first session is the open one."""
         names = lines.columns
-        first = F.coalesce("session0", F.lit(0))
-        in_first = F.when(F.col("session") == 0, F.coalesce("chunk0", F.lit(0))).otherwise(F.lit(0))
-        moved = lines.join(numbers, "source_id", "left").withColumn("chunk", F.col("chunk") + in_first)
-        return moved.withColumn("session", F.col("session") + first).select(*names)
+        numbers = open_before.select("source_id", F.col("untimed").alias("_untimed"), "session0", "chunk0")
+        first = (F.col("session") == 0) | F.col("_untimed")
+        chunk = F.col("chunk") + F.when(first, F.coalesce("chunk0", F.lit(0))).otherwise(0)
+        session = F.col("session") + F.when(F.col("_untimed"), 0).otherwise(F.coalesce("session0", F.lit(0)))
+        moved = lines.join(numbers, ["source_id", "_untimed"], "left")
+        return moved.withColumns({"chunk": chunk, "session": session}).select(*names)
 
     def flush(self, spark: SparkSession, flow: LogFlow, epoch: int, time: Column | None = None) -> DataFrame:
         """Delivery lines of everything that the epoch left open. ``settled`` ends it."""
-        none = spark.createDataFrame([], LOGS)
-        return self.advance(flow, none, epoch, time, label=-1 - epoch)
+        return self.advance(flow, spark.createDataFrame([], LOGS), epoch, time, last=True)
 
     def settled(self, spark: SparkSession, flow: LogFlow, epoch: int) -> None:
         """Nothing is open any more; sources go on with a new session."""
-        self._keep(spark.createDataFrame([], LOGS), "rows", epoch)
-        if flow.scope != "batch":
-            return
-        numbers = self._left(spark, "numbers", epoch, NUMBERS).withColumn("session0", F.col("session0") + 1)
-        rows = numbers.withColumn("chunk0", F.lit(0).cast("bigint")).collect()  # a row per source
-        self._keep(spark.createDataFrame(rows, NUMBERS), "numbers", epoch)
+        left = self._left(spark, "open", epoch, OPEN)
+        if flow.scope == "batch":
+            untimed = F.col("untimed")
+            session = F.when(untimed, F.col("session0")).otherwise(F.col("session0") + 1)
+            chunk = F.when(untimed, F.col("chunk0") + 1).otherwise(0).cast("bigint")
+            left = left.select("source_id", "untimed", session.alias("session0"), chunk.alias("chunk0"), "seen")
+        self._keep(left, "open", epoch, "settled")
+        self._keep(spark.createDataFrame([], LOGS), "rows", epoch, "settled")
+
+    def is_settled(self, spark: SparkSession, epoch: int) -> bool:
+        return store.complete(spark, f"{self.folder}/rows/settled={epoch}")
 
 
 REST = "conn_id STRING, seq BIGINT, payload BINARY, base BIGINT"
@@ -140,6 +184,12 @@ class Framing:
         return rest.select("conn_id", F.col("base").alias("line_no"), "payload")
 
 
+def clock(spark: SparkSession, rows_per_second: int = 1) -> DataFrame:
+    """A stream of ``tick TIMESTAMP`` that goes on while nothing else comes."""
+    ticks = spark.readStream.format("rate").option("rowsPerSecond", rows_per_second).load()
+    return ticks.select(F.col("timestamp").alias("tick"))
+
+
 def start(
     logs: DataFrame,
     make_flow: Callable[[SparkSession], LogFlow],
@@ -147,20 +197,31 @@ def start(
     checkpoint: str,
     trigger: dict | None = None,
     time: Column | None = None,
+    ticks: DataFrame | None = None,
 ) -> StreamingQuery:
     """Run a flow on every micro-batch and hand the delivery lines to ``deliver``.
 
-    ``make_flow`` is asked at each micro-batch, so changed registries take effect with the
-    next one. Batches stay open across micro-batches in tables beside the checkpoint; what
-    was read is delivered or kept there before the offset moves. ``availableNow`` drains
-    what is there and stops; ``flush`` then delivers what is still open.
+    ``make_flow`` is asked at each micro-batch, so changed registries take effect with the next one. Batches stay open
+    across micro-batches in tables beside the checkpoint; what was read is delivered or kept there before the offset
+    moves. With ``ticks``, a stream of times such as ``clock`` gives, a batch is also delivered once its source has
+    had no line for the idle time, though no later line comes; the ticks are part of the offsets, so a repeated
+    epoch sees the same time. ``availableNow`` drains what is there and stops; ``flush`` then delivers what is open.
     """
     tails = Tails(f"{checkpoint}-tails")
+    own = [f.split()[0] for f in LOGS.split(", ")]
+    rows = logs.select(*own)
+    if ticks is not None:
+        empty = [F.lit(None).cast(f.split()[1]).alias(f.split()[0]) for f in LOGS.split(", ")]
+        rows = rows.withColumn("_tick", F.lit(None).cast("timestamp")).unionByName(ticks.select(*empty, F.col("tick").alias("_tick")))
 
     def each(rows: DataFrame, epoch: int) -> None:
-        deliver(tails.advance(make_flow(rows.sparkSession), rows, epoch, time), epoch)
+        now = None
+        if ticks is not None:
+            now = rows.agg(F.max("_tick")).first()[0]
+            rows = rows.where("_tick is null").drop("_tick")
+        deliver(tails.advance(make_flow(rows.sparkSession), rows, epoch, time, now), epoch)
 
-    return _begin(logs.writeStream.foreachBatch(each), checkpoint, trigger)
+    return _begin(rows.writeStream.foreachBatch(each), checkpoint, trigger)
 
 
 def flush(
@@ -175,6 +236,8 @@ def flush(
     if query.lastProgress is None:
         return
     epoch, tails = query.lastProgress["batchId"], Tails(f"{checkpoint}-tails")
+    if tails.is_settled(spark, epoch):
+        return
     flow = make_flow(spark)
     deliver(tails.flush(spark, flow, epoch, time), -1 - epoch)
     tails.settled(spark, flow, epoch)
