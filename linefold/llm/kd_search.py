@@ -36,7 +36,7 @@ from pyspark.sql import functions as F
 
 from linefold.llm.common import local_path, scratch, write_bytes, written
 
-SHARD_ROWS, LEAF_ROWS, BLOCK_ROWS = 8_192, 64, 512
+SHARD_ROWS, LEAF_ROWS, BLOCK_ROWS = 8_192, 256, 512
 #: Shards that one task searches one after the other with the same block.
 RUN_SHARDS = 8
 #: Tasks of the second round; above it, a task takes several cells one after the other.
