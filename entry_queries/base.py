@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from linefold.session import configure
+from linefold.session import configure, spread
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -34,6 +34,11 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def lines_of(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    """A table whose rows take long to read."""
+    return spread(table(spark, sf_dir, name))
+
+
 def text(*parts: Column | str) -> Column:
     """Concatenation of text parts; plain strings are literals."""
     return F.concat(*[F.lit(p) if isinstance(p, str) else p.cast("string") for p in parts])
@@ -52,7 +57,7 @@ def pair_line() -> Column:
 
 def logs(spark: SparkSession, sf_dir: str, raw: Column | None = None) -> DataFrame:
     """Events as attributed lines: ``source_id, recv_ts, seq, raw``."""
-    return table(spark, sf_dir, "events").select(
+    return lines_of(spark, sf_dir, "events").select(
         text("src", F.col("user_id") % 5).alias("source_id"),
         F.col("ts").cast("timestamp").alias("recv_ts"),
         F.col("event_id").alias("seq"),

@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from entry_queries.base import LINES_SQL, logs, pair_line, query, table
+from entry_queries.base import LINES_SQL, lines_of, logs, pair_line, query, table
 from linefold.functions import extract
 from linefold.functions.infer import typed_field
 from linefold.functions.values import bind, ellipsize, fixed2, float_text, strict_json
@@ -26,27 +26,32 @@ texts AS (
     || ' ' || event_type || ' from 10.0.' || (user_id % 300) || '.' || user_id FROM events)"""
 
 
-def texts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Every kind of line the tables can give: ``kind, id, raw``."""
-    events = table(spark, sf_dir, "events").withColumn("t", F.col("ts").cast("timestamp"))
+def stamped_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every event as a line with one of five kinds of stamps: ``id, raw``."""
+    events = lines_of(spark, sf_dir, "events").withColumn("t", F.col("ts").cast("timestamp"))
     stamp = lambda pattern: F.date_format("t", pattern)
     case = F.col("event_id") % 5
-    stamped = F.concat(
+    lead = (
         F.when(case == 0, F.concat(stamp("yyyy-MM-dd'T'HH:mm:ss"), F.lit("x "), stamp("yyyy-MM-dd HH:mm:ss")))
         .when(case == 1, stamp("yyyy-MM-dd HH:mm:ss.SSSSSS"))
         .when(case == 2, F.concat(F.lit("at "), stamp("MM/dd/yyyy HH:mm:ss")))
         .when(case == 3, F.concat(stamp("MMM dd HH:mm:ss"), F.lit(" host")))
-        .otherwise(stamp("dd-MMM-yyyy HH:mm:ss")),
-        F.lit(" "),
-        F.col("event_type"),
-        F.lit(" from 10.0."),
-        (F.col("user_id") % 300).cast("string"),
-        F.lit("."),
-        F.col("user_id").cast("string"),
+        .otherwise(stamp("dd-MMM-yyyy HH:mm:ss"))
     )
+    return events.select(F.col("event_id").cast("string").alias("id"), F.concat(lead, *origin()).alias("raw"))
+
+
+def origin() -> list[Column]:
+    address = (F.col("user_id") % 300).cast("string"), F.lit("."), F.col("user_id").cast("string")
+    return [F.lit(" "), F.col("event_type"), F.lit(" from 10.0."), *address]
+
+
+def texts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every kind of line the tables can give: ``kind, id, raw``."""
+    events = lines_of(spark, sf_dir, "events")
     key = F.col("event_id").cast("string").alias("id")
     lanes = [
-        table(spark, sf_dir, "documents").select(
+        lines_of(spark, sf_dir, "documents").select(
             F.lit("doc").alias("kind"), F.col("doc_id").cast("string").alias("id"), F.col("text").alias("raw")
         ),
         table(spark, sf_dir, "conversations").select(
@@ -62,7 +67,7 @@ def texts(spark: SparkSession, sf_dir: str) -> DataFrame:
         events.select(
             F.lit("value").alias("kind"), key, F.concat(F.lit("["), F.col("event_id").cast("string"), F.lit("]")).alias("raw")
         ),
-        events.select(F.lit("stamp").alias("kind"), key, stamped.alias("raw")),
+        stamped_lines(spark, sf_dir).select(F.lit("stamp").alias("kind"), "id", "raw"),
     ]
     out = lanes[0]
     for lane in lanes[1:]:
@@ -132,9 +137,8 @@ SELECT id, CASE CAST(id AS BIGINT) % 5 WHEN 0 THEN 'datetime' WHEN 1 THEN 'datet
 FROM texts WHERE kind = 'stamp'""",
 )
 def stamp_detect(spark: SparkSession, sf_dir: str) -> DataFrame:
-    stamped = texts(spark, sf_dir).where("kind = 'stamp'")
     found = extract.detect_stamp(F.col("raw"))
-    return stamped.select("id", F.explode(F.array(found)).alias("s")).select("id", "s.format", "s.stamp")
+    return stamped_lines(spark, sf_dir).select("id", F.explode(F.array(found)).alias("s")).select("id", "s.format", "s.stamp")
 
 
 # Relational reading of the compatible key=value rules for lines without " = ".
@@ -164,7 +168,7 @@ SELECT id, k AS field, arg_max(v, step) AS value FROM writes GROUP BY 1, 2
 UNION ALL SELECT id, 'log_level', 'ERROR' FROM src WHERE contains(raw, 'error')""",
 )
 def pairs_compat(spark: SparkSession, sf_dir: str) -> DataFrame:
-    lines = table(spark, sf_dir, "events").select(
+    lines = lines_of(spark, sf_dir, "events").select(
         F.col("event_id").alias("id"),
         F.concat(
             F.lit("id="), F.col("event_id").cast("string"), F.lit(" type="), F.col("event_type"), F.lit(",v:"),
@@ -199,7 +203,7 @@ SELECT doc_id, k AS field, arg_max(v, pos) AS value FROM cut GROUP BY 1, 2""",
 )
 def pairs_simple(spark: SparkSession, sf_dir: str) -> DataFrame:
     raw = F.replace(F.replace("text", F.lit(" of "), F.lit(" of=")), F.lit(" de "), F.lit("=de "))
-    docs = table(spark, sf_dir, "documents").select("doc_id", raw.alias("raw"))
+    docs = lines_of(spark, sf_dir, "documents").select("doc_id", raw.alias("raw"))
     return docs.select("doc_id", F.explode(extract.simple_pairs(F.col("raw"))).alias("field", "value"))
 
 
@@ -211,7 +215,7 @@ SELECT doc_id, count(*) AS fields, md5(string_agg('field_' || pos || '=' || v, '
 FROM p WHERE v <> '' GROUP BY 1""",
 )
 def delimited_placed(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents").select(
+    docs = lines_of(spark, sf_dir, "documents").select(
         "doc_id", F.replace("text", F.lit("\n"), F.lit(" ")).alias("raw")
     )
     fields = docs.select("doc_id", F.explode(F.array(extract.delimited_fields(F.col("raw"), ","))).alias("f"))
@@ -270,7 +274,7 @@ kept AS (SELECT doc_id, pos, 'field_' || pos || '=' || w AS f FROM firsts WHERE
 SELECT doc_id, count(*) AS fields, md5(string_agg(f, '|' ORDER BY pos)) AS digest FROM kept GROUP BY 1""",
 )
 def free_text(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents")
+    docs = lines_of(spark, sf_dir, "documents")
     # Generated, so that the filter and the output share one extraction.
     fields = docs.select("doc_id", F.explode(F.array(extract.free_fields(F.col("text")))).alias("f"))
     shown = F.transform("f", lambda f: F.concat(f["field"], F.lit("="), f["example"]))
@@ -281,14 +285,15 @@ def free_text(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(
     "free_text_lines",
-    f"""WITH {TEXTS_SQL}
-SELECT id, regexp_extract(raw, '^[^ ]+ +[0-9]+ [0-9:]+') AS stamp,
-  regexp_extract(raw, ':([0-9]+ .*)$', 1) AS minutes, 'host' AS first_word FROM texts
-WHERE kind = 'stamp' AND CAST(id AS BIGINT) % 5 = 3""",
+    """SELECT CAST(event_id AS VARCHAR) AS id, strftime(ts, '%b %d %H:%M:%S') AS stamp,
+  strftime(ts, '%S') || ' host ' || event_type || ' from 10.0.' || (user_id % 300) || '.' || user_id AS minutes,
+  'host' AS first_word FROM events""",
 )
 def free_text_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Syslog-like lines: leading stamp, message behind the first colon that ends the line."""
-    lines = texts(spark, sf_dir).where((F.col("kind") == "stamp") & (F.col("id").cast("bigint") % 5 == 3))
+    stamp = F.date_format(F.col("ts").cast("timestamp"), "MMM dd HH:mm:ss")
+    line = F.concat(stamp, F.lit(" host"), *origin()).alias("raw")
+    lines = lines_of(spark, sf_dir, "events").select(F.col("event_id").cast("string").alias("id"), line)
     got = lines.select("id", extract.free_examples(F.col("raw")).alias("f"))
     return got.select(
         "id",
@@ -347,14 +352,14 @@ def number_display(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(
     "float_text",
     """SELECT l_orderkey AS k, l_linenumber AS line, CAST(CAST(l_extendedprice AS DOUBLE) AS VARCHAR) AS price,
-  CAST(CAST(l_partkey % 100000000 AS DOUBLE) * 1e7 AS VARCHAR) AS big FROM lineitem""",
+  CAST(CAST(l_partkey AS DOUBLE) * 1e7 AS VARCHAR) AS big FROM lineitem""",
 )
 def float_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "lineitem").select(
         F.col("l_orderkey").alias("k"),
         F.col("l_linenumber").alias("line"),
         float_text(F.col("l_extendedprice").cast("double")).alias("price"),
-        bind((F.col("l_partkey") % 100_000_000).cast("double") * 1e7, float_text).alias("big"),
+        bind(F.col("l_partkey").cast("double") * 1e7, float_text).alias("big"),
     )
 
 
@@ -364,7 +369,7 @@ def float_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
   CASE WHEN length(source || lang) > 5 THEN left(source || lang, 3) || '..' ELSE source || lang END AS short_cut FROM documents""",
 )
 def truncated_text(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "documents").select(
+    return lines_of(spark, sf_dir, "documents").select(
         "doc_id",
         ellipsize(F.col("text"), 100, 97).alias("long_cut"),
         ellipsize(F.concat("source", "lang"), 5, 3, "..").alias("short_cut"),
@@ -440,21 +445,16 @@ def field_coverage(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(
     "field_catalog_free_text",
-    """WITH words AS (SELECT doc_id, source AS source_id, unnest(string_split_regex(trim(replace(text, chr(10), ' ')), '\\s+')) AS w,
-    generate_subscripts(string_split_regex(trim(replace(text, chr(10), ' ')), '\\s+'), 1) AS pos FROM documents
-  WHERE NOT contains(text, '=') AND NOT contains(text, ',') AND NOT contains(text, '|')
-    AND NOT regexp_matches(text, '\\d{1,3}\\.\\d{1,3}\\.\\d{1,3}\\.\\d{1,3}')),
+    """WITH plain AS (SELECT doc_id, source AS source_id, string_split_regex(trim(translate(text, chr(10) || '=,|:.', ' _____')), '\\s+') AS w
+  FROM documents),
+words AS (SELECT doc_id, source_id, unnest(w) AS w, generate_subscripts(w, 1) AS pos FROM plain),
 firsts AS (SELECT doc_id, source_id, w, min(pos) AS pos FROM words WHERE w <> '' GROUP BY 1, 2, 3)
 SELECT source_id, 'field_' || pos AS field, count(*) AS rows, arg_min(w, doc_id) AS example, max(length(w)) AS longest
 FROM firsts GROUP BY 1, 2""",
 )
 def field_catalog_free_text(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents").where(
-        ~F.contains("text", F.lit("="))
-        & ~F.contains("text", F.lit(","))
-        & ~F.contains("text", F.lit("|"))
-        & ~F.col("text").rlike("\\d{1,3}\\.\\d{1,3}\\.\\d{1,3}\\.\\d{1,3}")
-    )
+    # Signs that split lines in other ways become letters of words.
+    docs = lines_of(spark, sf_dir, "documents").withColumn("text", F.translate("text", "=,|:.", "_____"))
     lines = docs.select(
         F.col("source").alias("source_id"),
         F.timestamp_seconds("doc_id").alias("recv_ts"),

@@ -14,6 +14,7 @@ from entry_queries.base import (
     SOURCES_SQL,
     batches_sql,
     json_line,
+    lines_of,
     logs,
     pair_line,
     policies,
@@ -262,7 +263,7 @@ UNION ALL SELECT -1 - doc_id, '{"time": 0, "event": ' || CAST(to_json(text) AS V
 FROM documents""",
 )
 def envelope_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
-    events = table(spark, sf_dir, "events").select(
+    events = lines_of(spark, sf_dir, "events").select(
         F.col("event_id").alias("seq"),
         F.unix_timestamp(F.col("ts").cast("timestamp")).alias("t"),
         json_line().alias("raw"),
@@ -282,7 +283,7 @@ def envelope_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     """SELECT epoch_us(ts) // 1000000 AS time, event_type AS type, user_id, event_type AS source FROM events""",
 )
 def envelope_fields(spark: SparkSession, sf_dir: str) -> DataFrame:
-    events = table(spark, sf_dir, "events").select(
+    events = lines_of(spark, sf_dir, "events").select(
         F.unix_timestamp(F.col("ts").cast("timestamp")).alias("t"),
         json_line().alias("raw"),
         F.col("event_type").alias("source_name"),

@@ -188,7 +188,7 @@ def strip_ansi(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 LOCKOUT_SQL = """WITH RECURSIVE attempts AS (
   SELECT 'u' || (user_id % 10) AS u, epoch_us(ts) // 60 AS us, event_id AS seq, event_type = 'signup' AS ok
-  FROM events WHERE event_type IN ('signup', 'error', 'view')),
+  FROM events),
 steps AS (SELECT *, row_number() OVER (PARTITION BY u ORDER BY us, seq) AS n FROM attempts),
 fold(u, n, us, seq, outcome, c, lim) AS (
   SELECT DISTINCT u, CAST(0 AS BIGINT), CAST(0 AS BIGINT), CAST(0 AS BIGINT), '', CAST(0 AS BIGINT), CAST(0 AS BIGINT) FROM attempts
@@ -203,9 +203,8 @@ SELECT u AS "user", us, seq, outcome, c AS "count", CASE WHEN lim > us THEN lim
 
 def login_events(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Events as login attempts, sixty times closer together so that locks overlap them."""
-    chosen = table(spark, sf_dir, "events").where(F.col("event_type").isin("signup", "error", "view"))
     us = F.unix_micros(F.col("ts").cast("timestamp"))
-    return chosen.select(
+    return table(spark, sf_dir, "events").select(
         text("u", F.col("user_id") % 10).alias("user"),
         F.timestamp_micros(F.floor(us / 60)).alias("ts"),
         F.col("event_id").alias("seq"),

@@ -2,18 +2,20 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
+import functools
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from entry_queries.base import (
     AGG_KEY_SQL,
     LINES_SQL,
+    MESSAGES_SQL,
+    SOURCES_SQL,
     batches_sql,
     json_line,
     logs,
+    messages,
     policies,
     query,
     sources,
@@ -23,39 +25,40 @@ from entry_queries.base import (
 from entry_queries.lines import FLOW_SQL, flow, flow_sql
 from entry_queries.reporting import LOCKOUT_SQL
 from linefold.operators import collapse
+from linefold.plans import dispatch
 from linefold.plans.flow import LogFlow, split_targets
-from linefold.session import checkpoint_folder
-from linefold.sinks import folder
+from linefold.session import scratch
+from linefold.sinks import batch_files, folder, hec
+from linefold.sinks.ledger import Ledger
+from linefold.sources.messages import arrivals
 from linefold.streaming import ingest, state
 
 
-def scratch(spark: SparkSession) -> str:
-    """A new folder in the shared folder the cluster names, or a local one on a local master."""
-    shared = checkpoint_folder(spark)
-    if shared is None:
-        if not spark.sparkContext.master.startswith("local"):
-            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
-        shared = tempfile.mkdtemp(prefix="run-")
-    return f"{shared.rstrip('/')}/run-{uuid.uuid4().hex}"
+def in_ranges(rows: DataFrame, order: Column, parts: int = 3) -> list[DataFrame]:
+    """Rows in ``parts`` ranges of a number; the cut points are percentiles, so no task sees all rows."""
+    shares = [k / parts for k in range(1, parts)]
+    cuts = rows.agg(F.percentile_approx(order, shares)).first()[0] or []
+    edges = [None, *cuts, None]
+    ranges = []
+    for low, high in zip(edges, edges[1:]):
+        above = F.lit(True) if low is None else F.coalesce(order >= low, F.lit(False))
+        below = F.lit(True) if high is None else F.coalesce(order < high, F.lit(low is None))
+        ranges.append(rows.where(above & below))
+    return ranges
 
 
-def landed(rows: DataFrame, path: str, *order: str, parts: int = 3) -> DataFrame:
-    """Rows as a stream of ``parts`` files, one per trigger, cut where ``order`` says.
-
-    Files are written one after another, so the stream reads them in that order.
-    """
-    spark = rows.sparkSession
-    cut = rows.withColumn("_part", F.ntile(parts).over(Window.orderBy(*order))) if parts > 1 else rows.withColumn("_part", F.lit(1))
-    for k in range(1, parts + 1):
-        cut.where(F.col("_part") == k).drop("_part").coalesce(1).write.mode("append").parquet(f"{path}/in")
-    return spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", 1).parquet(f"{path}/in")
+def landing(rows: DataFrame, path: str) -> DataFrame:
+    """The files under ``path/in`` as a stream of rows of this kind."""
+    return rows.sparkSession.readStream.schema(rows.schema).parquet(f"{path}/in")
 
 
-def run_flow(spark: SparkSession, rows: DataFrame, make_flow, path: str) -> DataFrame:
-    """A flow over a stream in several triggers, its open tails delivered at the end."""
+def run_flow(spark: SparkSession, rows: DataFrame, make_flow, path: str, order: Column | None = None) -> DataFrame:
+    """A flow over lines that land in three parts, one trigger each; open tails are delivered at the end."""
     deliver, place = ingest.to_table(f"{path}/out"), f"{path}/checkpoint"
-    running = ingest.start(rows, make_flow, deliver, place, time=F.lit(0))
-    running.awaitTermination()
+    for part in in_ranges(rows, F.unix_micros("recv_ts") if order is None else order):
+        part.write.mode("append").parquet(f"{path}/in")
+        running = ingest.start(landing(rows, path), make_flow, deliver, place, time=F.lit(0))
+        running.awaitTermination()
     ingest.flush(running, spark, make_flow, deliver, place, time=F.lit(0))
     return spark.read.parquet(f"{path}/out")
 
@@ -97,8 +100,7 @@ def drain(rows: DataFrame, path: str, timers: bool = False) -> DataFrame:
 def stream_deliver_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The flow in three triggers: batches stay open between them."""
     path = scratch(spark)
-    rows = landed(logs(spark, sf_dir), path, "recv_ts", "seq")
-    out = run_flow(spark, rows, lambda session: flow(session, sf_dir), path)
+    out = run_flow(spark, logs(spark, sf_dir), lambda session: flow(session, sf_dir), path)
     return out.select("source_id", "session", "chunk", "slot", "n", "target_type", "line")
 
 
@@ -111,8 +113,7 @@ def stream_batches(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Batches of three, each line on its own, in three triggers."""
     path = scratch(spark)
     small = sources(spark, sf_dir).withColumn("batch_size", F.lit(3).cast("bigint"))
-    rows = landed(logs(spark, sf_dir), path, "recv_ts", "seq")
-    out = run_flow(spark, rows, lambda session: LogFlow(small, idle_seconds=1800), path)
+    out = run_flow(spark, logs(spark, sf_dir), lambda session: LogFlow(small, idle_seconds=1800), path)
     return out.select(
         "source_id",
         F.get_json_object("line", "$.event.event_id").cast("bigint").alias("seq"),
@@ -136,14 +137,16 @@ def stream_frame_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.col("conv_id").cast("string").alias("conn_id"), F.col("turn").alias("seq"), F.encode("text", "UTF-8").alias("payload")
     )
     framing, deliver = ingest.Framing(f"{path}/rest"), ingest.to_table(f"{path}/out")
-    running = (
-        landed(chunks, path, "seq", "conn_id")
-        .writeStream.foreachBatch(lambda rows, epoch: deliver(framing.advance(rows, epoch), epoch))
-        .option("checkpointLocation", f"{path}/checkpoint")
-        .trigger(availableNow=True)
-        .start()
-    )
-    running.awaitTermination()
+    for part in in_ranges(chunks, F.col("seq")):
+        part.write.mode("append").parquet(f"{path}/in")
+        running = (
+            landing(chunks, path)
+            .writeStream.foreachBatch(lambda rows, epoch: deliver(framing.advance(rows, epoch), epoch))
+            .option("checkpointLocation", f"{path}/checkpoint")
+            .trigger(availableNow=True)
+            .start()
+        )
+        running.awaitTermination()
     last = running.lastProgress["batchId"]
     deliver(framing.flush(spark, last), -1 - last)
     return spark.read.parquet(f"{path}/out").select("conn_id", "line_no", F.md5("payload").alias("digest"))
@@ -154,7 +157,6 @@ def stream_lockout(spark: SparkSession, sf_dir: str) -> DataFrame:
     us = F.unix_micros(F.col("ts").cast("timestamp"))
     attempts = (
         stream(spark, sf_dir, "events")
-        .where(F.col("event_type").isin("signup", "error", "view"))
         .select(
             text("u", F.col("user_id") % 10).alias("user"),
             F.timestamp_micros(F.floor(us / 60)).alias("ts"),
@@ -233,16 +235,125 @@ def folder_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def settled_sources(spark: SparkSession, sf_dir: str, path: str) -> DataFrame:
+    """The sources with settings for delivery; they differ by source, some are left to the defaults."""
+    number = F.substring("source_id", 4, 1).cast("int")
+    return sources(spark, sf_dir).select(
+        "*",
+        text(f"{path}/files/", F.col("source_id")).alias("folder_path"),
+        F.when(number == 2, F.lit(False)).alias("compression_enabled"),
+        F.when(number == 0, F.lit(3)).alias("compression_level"),
+        F.lit(f"{path}/requests").alias("hec_url"),
+        text("token-", F.col("source_id")).alias("hec_token"),
+    )
+
+
 @query(
     "folder_manifest",
-    f"""SELECT source_id, count(*) AS lines FROM ({FLOW_SQL}) WHERE target_type = 'FOLDER' GROUP BY 1""",
+    f"""SELECT source_id, session, chunk, count(*) AS count, source_id <> 'src2' AS compressed,
+  CASE source_id WHEN 'src0' THEN 3 WHEN 'src4' THEN 9 END AS compression_level,
+  source_id || '-' || session || '-' || chunk || '.json' || CASE WHEN source_id <> 'src2' THEN '.gz' ELSE '' END AS name
+FROM ({DAY_FLOW_SQL}) WHERE target_type = 'FOLDER' GROUP BY 1, 2, 3""",
 )
 def folder_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Packed delivery; the manifest counts what was written."""
+    """One entry per batch file, from the tasks that wrote them."""
     path = scratch(spark)
-    lines, _ = split_targets(flow(spark, sf_dir).run(logs(spark, sf_dir), F.lit(0)))
-    folder.deliver(lines, f"{path}/out", f"{path}/manifest", "2024-01-01-00-00-00", layout="packed")
-    entries = folder.read_manifest(spark, f"{path}/manifest")
-    return entries.groupBy(F.regexp_extract("filename", "source_id=([^/]+)/", 1).alias("source_id")).agg(
-        F.sum("count").alias("lines")
-    )
+    lines = flow(spark, sf_dir, size=40, idle_seconds=86_400).run(logs(spark, sf_dir), F.lit(0))
+    batch_files.deliver(lines, settled_sources(spark, sf_dir, path), f"{path}/manifest", "2024-01-01-00-00-00", epoch=1)
+    entries = batch_files.read_manifest(spark, f"{path}/manifest")
+    name = F.regexp_extract("filename", "/2024-01-01-00-00-00-1-([^/]*)$", 1).alias("name")
+    return entries.select("source_id", "session", "chunk", "count", "compressed", "compression_level", name)
+
+
+def whole_files(spark: SparkSession, path: str) -> DataFrame:
+    """``file, value``: the text of every file, unpacked."""
+    held = spark.read.option("recursiveFileLookup", True).text(path, wholetext=True)
+    return held.select(F.regexp_extract(F.col("_metadata.file_path"), "[^/]*$", 0).alias("file"), "value")
+
+
+@query(
+    "dispatch_targets",
+    f"""SELECT target_type, source_id, session, chunk, count(*) AS events,
+  md5(string_agg(line, chr(10) ORDER BY slot) || CASE target_type WHEN 'FOLDER' THEN chr(10) ELSE '' END) AS digest
+FROM ({DAY_FLOW_SQL}) GROUP BY 1, 2, 3, 4""",
+)
+def dispatch_targets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Both targets from one evaluation; what lies in files and in request bodies, with manifest and ledger."""
+    path = scratch(spark)
+    lines = flow(spark, sf_dir, size=40, idle_seconds=86_400).run(logs(spark, sf_dir), F.lit(0))
+    make = functools.partial(settled_sources, sf_dir=sf_dir, path=path)
+    send = dispatch.to_targets(f"{path}/out", lambda session: make(session), "stamp", poster="linefold.sinks.hec:drop")
+    for _ in range(2):  # the second run finds all targets through
+        send(lines, 0)
+    entries = batch_files.read_manifest(spark, f"{path}/out/manifest")
+    named = entries.select("source_id", "session", "chunk", F.col("count").alias("events"), F.regexp_extract("filename", "[^/]*$", 0).alias("file"))
+    filed = named.join(whole_files(spark, f"{path}/files"), "file").withColumn("target_type", F.lit("FOLDER"))
+    posts = hec.batch_bodies(send.held(lines, 0).where("target_type = 'HEC'"), make(spark))
+    named = posts.select("request_id", F.sha2(F.encode("body", "UTF-8"), 256).alias("file"))
+    bodies = named.join(whole_files(spark, f"{path}/requests"), "file")
+    posted = Ledger(f"{path}/out/ledger").sent(spark).join(bodies, "request_id").withColumn("target_type", F.lit("HEC"))
+    names = ["target_type", "source_id", "session", "chunk", "events", "value"]
+    both = filed.select(*names).unionByName(posted.select(*names))
+    return both.select(*names[:-1], F.md5(F.encode("value", "UTF-8")).alias("digest"))
+
+
+@query("stream_silent_sources", FLOW_SQL)
+def stream_silent_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """No line comes behind the last ones of each source; a clock in the stream delivers their batches."""
+    path = scratch(spark)
+    rows = logs(spark, sf_dir)
+    deliver = ingest.to_table(f"{path}/out")
+    ticks = spark.createDataFrame([(k, 0) for k in range(4)], "minute long, none long")
+    tick = F.timestamp_seconds(F.lit(1_800_000_000) + F.when(F.col("minute") == 3, 90).otherwise(10 * F.col("minute"))).alias("tick")
+    empty = spark.createDataFrame([], rows.schema)
+    for minute, part in enumerate([*in_ranges(rows, F.unix_micros("recv_ts")), empty]):
+        part.write.mode("append").parquet(f"{path}/in")
+        ticks.where(F.col("minute") == minute).select(tick).coalesce(1).write.mode("append").parquet(f"{path}/ticks")
+        ingest.start(
+            landing(rows, path),
+            lambda session: flow(session, sf_dir),
+            deliver,
+            f"{path}/checkpoint",
+            time=F.lit(0),
+            ticks=spark.readStream.schema("tick timestamp").parquet(f"{path}/ticks"),
+        ).awaitTermination()
+    out = spark.read.parquet(f"{path}/out")
+    return out.select("source_id", "session", "chunk", "slot", "n", "target_type", "line")
+
+
+RECEIVED_SQL = f"""WITH {LINES_SQL}, {SOURCES_SQL}, {MESSAGES_SQL}, heard AS (
+  SELECT s.source_id, s.source_name, l.us, l.seq, l.raw FROM messages m JOIN lines l USING (seq)
+  JOIN sources s ON s.source_ip = m.source_ip AND s.listener_port = m.port
+  WHERE EXISTS (SELECT 1 FROM sources o WHERE o.listener_port = m.port AND o.protocol = m.transport)),
+{batches_sql("heard", "7", 60_000_000)}
+SELECT source_id, session, chunk, place AS slot, '{{"time": 0, "event": ' || raw || ', "source": "' || source_name || '"}}' AS line
+FROM batched"""
+
+
+def sent_messages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Events as datagrams and as chunks of TCP connections, each ended by a line feed."""
+    ended = F.when(F.col("transport") == "TCP", F.concat("payload", F.lit(b"\n"))).otherwise(F.col("payload"))
+    return messages(spark, sf_dir).withColumn("payload", ended)
+
+
+@query("receive_lines", RECEIVED_SQL)
+def receive_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Raw messages of both transports to delivery lines."""
+    taking = LogFlow(sources(spark, sf_dir))
+    lines = taking.attribute(arrivals(sent_messages(spark, sf_dir)))
+    return taking.run(lines, F.lit(0)).select("source_id", "session", "chunk", "slot", "line")
+
+
+@query("stream_receive_lines", RECEIVED_SQL)
+def stream_receive_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same in three triggers; unfinished lines and open batches wait between them."""
+    path = scratch(spark)
+    raw, deliver, place = sent_messages(spark, sf_dir), ingest.to_table(f"{path}/out"), f"{path}/checkpoint"
+    taking = LogFlow(sources(spark, sf_dir))
+    for part in in_ranges(raw, F.unix_micros("recv_ts")):
+        part.write.mode("append").parquet(f"{path}/in")
+        running = ingest.receive(landing(raw, path), lambda session: taking, deliver, place, time=F.lit(0))
+        running.awaitTermination()
+    last = running.lastProgress["batchId"]
+    deliver(ingest.Receiver(place).flush(spark, taking, last, F.lit(0)), -1 - last)
+    return spark.read.parquet(f"{path}/out").select("source_id", "session", "chunk", "slot", "line")

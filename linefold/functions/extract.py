@@ -678,3 +678,13 @@ def named_text_examples(name: str, mode: str = "compat") -> Column:
     """``text_examples`` of a named column. The expression is long; it is built once."""
     session = SparkSession.getActiveSession()
     return _named_examples(session.sparkContext.applicationId, name, mode)
+
+
+def named_fields(raw: str, form: str, mode: str = "compat") -> Column:
+    """``extract_fields`` of named columns, built once as well."""
+    return _named_fields(SparkSession.getActiveSession().sparkContext.applicationId, raw, form, mode)
+
+
+@functools.lru_cache(maxsize=16)
+def _named_fields(app: str, raw: str, form: str, mode: str) -> Column:
+    return extract_fields(F.col(raw), F.col(form), mode)

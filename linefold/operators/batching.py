@@ -24,15 +24,14 @@ def assign_batches(
     source: str = "source_id",
     ts: str = "recv_ts",
     seq: str = "seq",
-    cuts_from: DataFrame | None = None,
 ) -> DataFrame:
     """Add ``session``, ``chunk`` and ``place``; a batch is ``(source, session, chunk)``.
 
     ``place`` counts from 1 inside the batch in arrival order. Lines without a time are
-    batched apart, as session -1. ``cuts_from`` is passed on to ``sessions_and_ranks``.
+    batched apart, as session -1.
     """
     size = F.lit(batch_size) if isinstance(batch_size, int) else batch_size
-    numbered = sessions_and_ranks(df, idle_seconds * 1_000_000, source, ts, seq, cuts_from)
+    numbered = sessions_and_ranks(df, idle_seconds * 1_000_000, source, ts, seq)
     row = F.col("session_row")
     return numbered.select(
         *df.columns,

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from linefold.functions.extract import detect_format, extract_fields
+from linefold.functions.extract import detect_format, named_fields
 from linefold.functions.values import bind, ellipsize, is_object, strict_json, strip
 
 # Fields shown first in a catalog and in a preview.
@@ -48,7 +48,7 @@ def learn_templates(logs: DataFrame, mode: str = "compat", skip_blank: bool = Fa
         "source_id",
         "raw",
         "form",
-        extract_fields(raw, F.col("form"), mode).alias("fields"),
+        named_fields("raw", "form", mode).alias("fields"),
         F.col("recv_ts").alias("learned"),
     )
 
@@ -95,7 +95,7 @@ def line_fields(logs: DataFrame, mode: str = "compat") -> DataFrame:
         "source_id",
         "recv_ts",
         "seq",
-        F.posexplode(extract_fields(raw, F.col("form"), mode)).alias("ordinal", "f"),
+        F.posexplode(named_fields("raw", "form", mode)).alias("ordinal", "f"),
     )
 
 

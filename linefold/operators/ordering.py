@@ -36,7 +36,6 @@ def sessions_and_ranks(
     source: str = "source_id",
     ts: str = "recv_ts",
     seq: str = "seq",
-    cuts_from: DataFrame | None = None,
 ) -> DataFrame:
     """Add ``session`` and ``session_row`` (both from 0) per source in ``(ts, seq)`` order.
 
@@ -46,12 +45,11 @@ def sessions_and_ranks(
     rows before each cell. Cells are cut by second, and seconds with a flood of rows once
     more (see ``hot_cuts``); rows are numbered inside these parts alone, whatever the size
     of the input. Rows without a time are session -1 of their source; rows without a number
-    come first in their time. ``cuts_from`` has at least the rows of ``df``, without columns
-    that are expensive to make; the cuts are looked for there.
+    come first in their time.
     """
     us = micros(F.col(ts))
     rows = df.withColumn("_cell", time_cell(F.col(ts), idle_us)).withColumn("_part", floor_div(us, SECOND))
-    rows = add_slices(rows, hot_cuts(df if cuts_from is None else cuts_from, source, ts, seq), source, us, seq)
+    rows = add_slices(rows, hot_cuts(df, source, ts, seq), source, us, seq)
     keys = [source, "_cell", "_part", "_slice"]
     counts = rows.groupBy(*keys).agg(F.count("*").alias("_n"), F.min(us).alias("_lo"), F.max(us).alias("_hi"))
     by_part = Window.partitionBy(source, "_cell").orderBy("_part", "_slice").rowsBetween(Window.unboundedPreceding, 0)

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from linefold.functions.values import bind, strict_json
 from linefold.operators import batching, collapse, deny, envelope, routing
+from linefold.session import staged
 
 
 def source_settings(
@@ -76,7 +77,9 @@ class LogFlow:
         return seen.where(~F.col("denied")).drop("denied", "rules", "policy_fields")
 
     def batched(self, logs: DataFrame) -> DataFrame:
-        return batching.assign_batches(self.kept(logs), F.col("batch_size"), self.idle_seconds, cuts_from=logs)
+        """Kept lines with their batch. Numbering looks at the lines more than once, and reading a line costs many
+        times what writing it does, so kept lines are staged."""
+        return batching.assign_batches(staged(self.kept(logs), "kept"), F.col("batch_size"), self.idle_seconds)
 
     def lines(self, logs: DataFrame) -> DataFrame:
         """Kept lines with what their scope groups them by."""

@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import SparkSession
+import tempfile
+import uuid
+
+from pyspark.sql import DataFrame, SparkSession
 
 REQUIRED_CONF = {
     # Repeated JSON keys and repeated key=value keys: the last one wins.
@@ -41,3 +44,36 @@ def local_session(app_name: str = "linefold", cpus: str = "*", partitions: int =
 def checkpoint_folder(spark: SparkSession, fallback: str | None = None) -> str | None:
     """The shared folder the cluster names, or ``fallback`` where none is named."""
     return spark.conf.get("spark.checkpoint.dir", None) or fallback
+
+
+def spread(rows: DataFrame) -> DataFrame:
+    """Rows whose input has fewer splits than there are cores, dealt over all cores.
+
+    Reading text is far more work than moving it, and one file with one row group is one
+    task. Inputs with enough splits, as all large ones, stay as they are.
+    """
+    cores = rows.sparkSession.sparkContext.defaultParallelism
+    if rows.isStreaming or rows.rdd.getNumPartitions() >= cores:
+        return rows
+    return rows.repartition(cores)
+
+
+def scratch(spark: SparkSession, name: str = "run") -> str:
+    """A new place in the shared folder the cluster names, or in a local one on a local master."""
+    shared = checkpoint_folder(spark)
+    if shared is None:
+        if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
+        shared = tempfile.mkdtemp(prefix="run-")
+    return f"{shared.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+
+
+def staged(rows: DataFrame, name: str) -> DataFrame:
+    """The rows as a table in the shared folder, read again.
+
+    For rows that are dear to make and used more than once: they are made once, later steps
+    read the columns they need, and a lost executor costs no more than reading them again.
+    """
+    path = scratch(rows.sparkSession, name)
+    rows.write.parquet(path)
+    return rows.sparkSession.read.schema(rows.schema).parquet(path)

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import hashlib
 import importlib
 import urllib.request
 from collections.abc import Callable, Iterator
@@ -16,13 +17,16 @@ from pyspark.sql.datasource import (
     WriterCommitMessage,
 )
 
-from linefold.sinks import ledger
+from linefold.sinks import ledger, store
 
 # Request settings.
 TIMEOUT_SECONDS = 30
 CONTENT_TYPE = "text/plain; charset=utf-8"
 
-BODY_SCHEMA = "source_id STRING, hec_url STRING, hec_token STRING, body STRING, events LONG, request_id STRING"
+BODY_SCHEMA = (
+    "source_id STRING, session LONG, chunk LONG, hec_url STRING, hec_token STRING, body STRING, events LONG, "
+    "request_id STRING"
+)
 
 
 def post(url: str, token: str, body: str) -> int:
@@ -37,6 +41,13 @@ def post(url: str, token: str, body: str) -> int:
         return response.status
 
 
+def drop(url: str, token: str, body: str) -> int:
+    """Poster for trial runs without a server: the body becomes a file in the folder that the address names."""
+    data = body.encode("utf-8")
+    store.put(f"{url.rstrip('/')}/{hashlib.sha256(data).hexdigest()}", data)
+    return 200
+
+
 def batch_bodies(lines: DataFrame, sources: DataFrame) -> DataFrame:
     """One row per batch: address, token, the joined lines in order, and an id of the request.
 
@@ -49,7 +60,7 @@ def batch_bodies(lines: DataFrame, sources: DataFrame) -> DataFrame:
         bodies.join(sources.select("source_id", "hec_url", "hec_token"), "source_id")
         .select(*keys, "hec_url", "hec_token", body.alias("body"), F.size("_lines").cast("bigint").alias("events"))
         .withColumn("request_id", ledger.request_id(F.col("hec_url"), *[F.col(k) for k in keys], F.col("body")))
-        .select("source_id", "hec_url", "hec_token", "body", "events", "request_id")
+        .select(*keys, "hec_url", "hec_token", "body", "events", "request_id")
     )
 
 
@@ -82,7 +93,7 @@ class Sender:
                 # A failed task is run again, from the first row without a record.
                 raise RuntimeError(f"HEC request failed with status {status}")
             if self.records:
-                ledger.record(self.records, row.request_id, row.source_id, row.events, status)
+                ledger.record(self.records, row.request_id, (row.source_id, row.session, row.chunk), row.events, status)
             requests += 1
             events += row.events
         return Posted(requests, events)

@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 
 from linefold.sinks import store
 
-RECORD = "request_id STRING, source_id STRING, events BIGINT, status INT"
+RECORD = "request_id STRING, source_id STRING, session BIGINT, chunk BIGINT, events BIGINT, status INT"
 
 
 def request_id(*parts: Column) -> Column:
@@ -28,8 +28,8 @@ def recorded(open_folder: str, request: str) -> bool:
     return store.has(f"{open_folder}/{request}")
 
 
-def record(open_folder: str, request: str, source: str, events: int, status: int) -> None:
-    body = {"request_id": request, "source_id": source, "events": events, "status": status}
+def record(open_folder: str, request: str, batch: tuple[str, int, int], events: int, status: int) -> None:
+    body = dict(zip(("request_id", "source_id", "session", "chunk", "events", "status"), (request, *batch, events, status)))
     store.put(f"{open_folder}/{request}", json.dumps(body).encode())
 
 

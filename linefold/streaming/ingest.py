@@ -6,13 +6,14 @@ from collections.abc import Callable
 from datetime import datetime
 
 from pyspark.errors import AnalysisException
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import DataStreamWriter, StreamingQuery
 
 from linefold.operators import batching, catalog, collapse
+from linefold.operators.ordering import floor_div
 from linefold.plans.flow import LogFlow
-from linefold.sinks import folder, store
+from linefold.sinks import store
 from linefold.sources import messages
 
 
@@ -137,51 +138,76 @@ class Tails:
         return store.complete(spark, f"{self.folder}/rows/settled={epoch}")
 
 
-REST = "conn_id STRING, seq BIGINT, payload BINARY, base BIGINT"
+REST = (
+    "conn_id STRING, seq BIGINT, payload BINARY, recv_ts TIMESTAMP, transport STRING, port INT, source_ip STRING, "
+    "_offset BIGINT, base BIGINT"
+)
 
 
 class Framing:
     """TCP lines over micro-batches: the unfinished line of each connection waits in a table.
 
-    Chunks of one connection must arrive in order of ``seq`` from trigger to trigger; inside
-    a trigger any order is fine. One row per connection stays, with its unfinished bytes and
-    the number of lines before them.
+    Chunks of one connection must arrive in order of ``seq`` from trigger to trigger; inside a trigger any order is
+    fine. One row per open connection stays, with the unfinished part of its line, where its last chunk came from and
+    the number of lines before. A line ends by a line feed, a chunk that closes the connection, a silence between two
+    chunks or, where the stream has a clock, one that lasts. Lines are those of ``messages.frame_lines`` over all
+    chunks; chunks without the columns of their origin are framed alike.
     """
 
-    def __init__(self, folder: str):
-        self.folder = folder.rstrip("/")
+    def __init__(self, folder: str, idle_seconds: int = messages.IDLE_SECONDS, most_bytes: int = messages.MOST_BYTES):
+        self.folder, self.idle_seconds, self.most_bytes = folder.rstrip("/"), idle_seconds, most_bytes
 
     def _left(self, spark: SparkSession, epoch: int) -> DataFrame:
         if epoch < 0:
             return spark.createDataFrame([], REST)
         return spark.read.schema(REST).parquet(f"{self.folder}/epoch={epoch}")
 
-    def advance(self, chunks: DataFrame, epoch: int) -> DataFrame:
-        """``conn_id, line_no, payload`` of the lines that this epoch ends."""
-        held = self._left(chunks.sparkSession, epoch - 1)
-        both = chunks.select("conn_id", "seq", "payload").unionByName(held.drop("base"))
-        breaks = F.length("payload") - F.length(F.replace(F.decode("payload", "ISO-8859-1"), F.lit("\n"), F.lit("")))
-        ends = both.groupBy("conn_id").agg(F.sum(breaks).cast("bigint").alias("_ends"), F.max("seq").alias("_seq"))
-        ends = ends.join(held.select("conn_id", "base"), "conn_id", "left").withColumn("base", F.coalesce("base", F.lit(0)))
-        lines = messages.frame_lines(both).join(ends, "conn_id")
+    def advance(self, chunks: DataFrame, epoch: int, now: datetime | None = None) -> DataFrame:
+        """``conn_id, line_no, part, ..., payload`` of the lines that are over by this epoch."""
+        spark = chunks.sparkSession
+        held = self._left(spark, epoch - 1)
+        own = [f.split()[0] for f in REST.split(", ")][:7]
+        absent = {f.split()[0]: F.lit(None).cast(f.split()[1]) for f in REST.split(", ")[:7] if f.split()[0] not in chunks.columns}
+        both = chunks.withColumns(absent).select(*own, F.lit(0).cast("bigint").alias("_offset"))
+        both = both.unionByName(held.drop("base"))
+        framed = dict(ts="recv_ts", idle_seconds=self.idle_seconds)
+        counted = messages.count_ends(both, "conn_id", "seq", "payload", **framed, block_rows=65_536)
+        ends = counted.blocks.groupBy("conn_id").agg(F.sum("_own").cast("bigint").alias("_ends"))
+        last = both.groupBy("conn_id").agg(F.max_by(F.struct(*[c for c in own if c != "payload"], F.col("payload").isNull().alias("closed")), "seq").alias("_last"))
+        state = ends.join(last, "conn_id").join(held.select("conn_id", "base"), "conn_id", "left")
+        state = state.withColumn("base", F.coalesce("base", F.lit(0)))
+        lines = messages.frame_lines(both, **framed, keep=messages.ORIGIN, most_bytes=self.most_bytes)
+        newest = F.max("part").over(Window.partitionBy("conn_id", "line_no"))
+        # One evaluation for what is over and what stays.
         place = f"{self.folder}-lines/epoch={epoch}"
-        lines.write.mode("overwrite").parquet(place)
-        lines = chunks.sparkSession.read.parquet(place)
-        rest = lines.where(F.col("line_no") == F.col("_ends")).select("conn_id", "payload")
-        kept = ends.join(rest, "conn_id", "left").select(
+        lines.withColumn("_newest", newest).join(state, "conn_id").write.mode("overwrite").parquet(place)
+        lines = spark.read.parquet(place)
+        unfinished = (F.col("line_no") == F.col("_ends")) & (F.col("part") == F.col("_newest"))
+        silent = F.unix_micros(F.lit(now).cast("timestamp")) - F.unix_micros("_last.recv_ts") >= self.idle_seconds * 1_000_000
+        due = F.coalesce(silent, F.lit(False))
+        over = ~unfinished | due
+        rest = lines.where(unfinished & ~due).select("conn_id", "payload", (F.col("part") * self.most_bytes).alias("_offset"))
+        kept = state.where(~F.col("_last.closed")).join(rest, "conn_id", "left")
+        kept = kept.select(
             "conn_id",
-            F.col("_seq").alias("seq"),
+            F.col("_last.seq").alias("seq"),
             F.coalesce("payload", F.lit(b"")).alias("payload"),
-            (F.col("base") + F.col("_ends")).alias("base"),
+            # A line that the clock has ended can't be ended by the same silence again.
+            F.when(~due, F.col("_last.recv_ts")).alias("recv_ts"),
+            *[F.col(f"_last.{c}").alias(c) for c in messages.ORIGIN[1:]],
+            F.coalesce("_offset", F.lit(0)).cast("bigint").alias("_offset"),
+            (F.col("base") + F.col("_ends") + due.cast("int")).alias("base"),
         )
         kept.write.mode("overwrite").parquet(f"{self.folder}/epoch={epoch}")
-        done = lines.where(F.col("line_no") < F.col("_ends"))
-        return done.select("conn_id", (F.col("base") + F.col("line_no")).alias("line_no"), "payload")
+        number = (F.col("base") + F.col("line_no")).alias("line_no")
+        return lines.where(over).select("conn_id", number, "part", "last_seq", "place", *messages.ORIGIN, "payload")
 
     def flush(self, spark: SparkSession, epoch: int) -> DataFrame:
         """The unfinished lines, for the end of the connections."""
         rest = self._left(spark, epoch).where(F.length("payload") > 0)
-        return rest.select("conn_id", F.col("base").alias("line_no"), "payload")
+        part = floor_div(F.col("_offset"), self.most_bytes).alias("part")
+        place = F.lit(messages.UNENDED).alias("place")
+        return rest.select("conn_id", F.col("base").alias("line_no"), part, F.col("seq").alias("last_seq"), place, *messages.ORIGIN, "payload")
 
 
 def clock(spark: SparkSession, rows_per_second: int = 1) -> DataFrame:
@@ -243,18 +269,54 @@ def flush(
     tails.settled(spark, flow, epoch)
 
 
-def _begin(writer: DataStreamWriter, checkpoint: str, trigger: dict | None) -> StreamingQuery:
-    options = trigger or {"availableNow": True}
-    return writer.option("checkpointLocation", checkpoint).trigger(**options).start()
+class Receiver:
+    """Raw messages of both transports to delivery lines: framing, attribution, batches."""
 
+    def __init__(self, checkpoint: str, most_bytes: int = messages.MOST_BYTES):
+        self.framing = Framing(f"{checkpoint}-rests", most_bytes=most_bytes)
+        self.tails = Tails(f"{checkpoint}-tails")
 
-def to_folder(path: str, manifest: str, stamp: str, **options) -> Callable[[DataFrame, int], None]:
-    """Delivery to a folder; a repeated epoch replaces its own files and manifest part."""
+    def advance(self, flow: LogFlow, raw: DataFrame, epoch: int, time: Column | None, now: datetime | None = None) -> DataFrame:
+        framed = self.framing.advance(raw.where(F.col("transport") == "TCP"), epoch, now)
+        lines = messages.datagram_arrivals(raw).unionByName(messages.framed_arrivals(framed))
+        return self.tails.advance(flow, flow.attribute(lines), epoch, time, now)
 
-    def deliver(lines: DataFrame, epoch: int) -> None:
-        folder.deliver(lines, path, manifest, stamp, epoch, **options)
+    def flush(self, spark: SparkSession, flow: LogFlow, epoch: int, time: Column | None = None) -> DataFrame:
+        """Delivery lines of unfinished lines and open batches; nothing may come after."""
+        rest = messages.framed_arrivals(self.framing.flush(spark, epoch))
+        return self.tails.advance(flow, flow.attribute(rest), epoch, time, last=True)
 
-    return deliver
+
+def receive(
+    raw: DataFrame,
+    make_flow: Callable[[SparkSession], LogFlow],
+    deliver: Callable[[DataFrame, int], None],
+    checkpoint: str,
+    trigger: dict | None = None,
+    time: Column | None = None,
+    ticks: DataFrame | None = None,
+) -> StreamingQuery:
+    """As ``start``, from a stream of raw messages (``messages.RAW_SCHEMA``); ticks also end silent TCP lines."""
+    receiver = Receiver(checkpoint)
+    names = {f.split()[0]: f.split()[1] for f in messages.RAW_SCHEMA.split(", ")}
+    rows = raw.select(*names)
+    if ticks is not None:
+        empty = [F.lit(None).cast(kind).alias(name) for name, kind in names.items()]
+        rows = rows.withColumn("_tick", F.lit(None).cast("timestamp")).unionByName(ticks.select(*empty, F.col("tick").alias("_tick")))
+
+    def each(rows: DataFrame, epoch: int) -> None:
+        now = None
+        if ticks is not None:
+            now = rows.agg(F.max("_tick")).first()[0]
+            rows = rows.where("_tick is null").drop("_tick")
+        deliver(receiver.advance(make_flow(rows.sparkSession), rows, epoch, time, now), epoch)
+
+    return _begin(rows.writeStream.foreachBatch(each), checkpoint, trigger)
+
+
+def _begin(writer: DataStreamWriter, checkpoint: str, trigger: dict | None) -> StreamingQuery:
+    options = trigger or {"availableNow": True}
+    return writer.option("checkpointLocation", checkpoint).trigger(**options).start()
 
 
 def to_table(path: str) -> Callable[[DataFrame, int], None]:

@@ -242,3 +242,66 @@ def test_one_attacked_user_spreads_over_blocks(spark, monkeypatch):
     df = spark.createDataFrame(rows, "user string, ts timestamp, seq long, ok boolean").repartition(4)
     made = {r.seq: (r.outcome, r["count"]) for r in lockout.lockout(df).collect() if r.user == "root"}
     assert [made[i] for i in range(3000)] == model.lockout(attempts)
+
+
+RAW = "recv_ts timestamp, transport string, port int, source_ip string, conn_id string, seq long, payload binary"
+
+
+def raw_messages(draw):
+    """Datagrams and chunks of four connections from three addresses; one falls silent, one is closed."""
+    rows, seq = [], 0
+    for i in range(120):
+        conn = draw.randrange(6)
+        seq += 1
+        time = at(i * 2 + (40 if i > 70 and conn == 1 else 0))
+        if conn > 3:
+            rows.append((time, "UDP", 514, f"10.0.0.{conn % 3}", None, seq, f"d{i}\nx".encode()))
+        else:
+            data = "".join(draw.choice(["\n", "ab", "é", "\n\n", "long" * 9]) for _ in range(draw.randint(0, 4)))
+            rows.append((time, "TCP", 515, f"10.0.0.{conn % 3}", f"c{conn}", seq, data.encode()))
+    rows += [(at(280 + i), "TCP", 515, f"10.0.0.{i % 3}", f"c{i}", seq + 1 + i, None) for i in range(4)]
+    rows.append((at(290), "TCP", 515, "9.9.9.9", "c9", seq + 9, b"nobody\n"))
+    return rows
+
+
+def receiving(spark):
+    sources = [(f"s{i}", f"S{i}", f"10.0.0.{i}", port, kind, "FOLDER", 4, None, None)
+               for i, (port, kind) in enumerate([(514, "UDP"), (515, "TCP"), (515, "TCP")])]
+    more = [("s5", "S5", "10.0.0.0", 515, "TCP", "FOLDER", 4, None, None), ("s6", "S6", "10.0.0.1", 514, "UDP", "FOLDER", 4, None, None)]
+    return LogFlow(spark.createDataFrame(sources + more, SOURCES))
+
+
+@pytest.mark.parametrize("most_bytes", [40, 1 << 20])
+def test_messages_to_lines_in_streams_and_batches(spark, tmp_path, most_bytes):
+    rows = raw_messages(random.Random(9))
+    flow = receiving(spark)
+    raw = spark.createDataFrame(rows, RAW)
+    from linefold.sources import messages
+
+    whole = flow.run(flow.attribute(messages.arrivals(raw, most_bytes)), F.lit(0))
+    names = ["source_id", "session", "chunk", "slot", "line"]
+    want = sorted(tuple(r) for r in whole.select(*names).collect())
+    # What each connection sent, line by line, in plain Python, wherever nothing is silent or long.
+    if most_bytes > 1000:
+        sent = b"".join(r[6] or b"" for r in rows if r[4] == "c3").decode()
+        lines = [json.loads(r.line)["event"] for r in whole.where("source_id = 's5'").collect()]
+        assert all(line in lines for line in sent.split("\n")[:5] if line)
+    receiver, out = ingest.Receiver(str(tmp_path / "check"), most_bytes), []
+    for epoch, a in enumerate(range(0, len(rows), 50)):
+        out += receiver.advance(flow, spark.createDataFrame(rows[a : a + 50], RAW), epoch, F.lit(0)).select(*names).collect()
+    out += receiver.flush(spark, flow, epoch, F.lit(0)).select(*names).collect()
+    assert sorted(tuple(r) for r in out) == want and len(want) > 50
+
+
+def test_clock_ends_silent_connections(spark, tmp_path):
+    framing = ingest.Framing(str(tmp_path / "rest"))
+    chunk = lambda s, seq, data: spark.createDataFrame([(at(s), "TCP", 515, "1.1.1.1", "c", seq, data)], RAW)
+    none = spark.createDataFrame([], RAW)
+    got = lambda df: [(r.line_no, bytes(r.payload)) for r in df.orderBy("line_no").collect()]
+    assert got(framing.advance(chunk(0, 0, b"a\nbc"), 0, at(1))) == [(0, b"a")]
+    assert got(framing.advance(none, 1, at(29))) == []
+    assert got(framing.advance(none, 2, at(30))) == [(1, b"bc")]
+    assert got(framing.advance(none, 3, at(99))) == []
+    assert got(framing.advance(chunk(100, 1, b"d\ne"), 4, at(101))) == [(2, b"d")]
+    assert got(framing.advance(chunk(101, 2, None), 5, at(102))) == [(3, b"e")]
+    assert framing.flush(spark, 5).count() == 0
