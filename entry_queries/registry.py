@@ -5,8 +5,10 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from entry_queries.base import query, table, text
-from linefold.operators import changes, validation
+from entry_queries.base import LINES_SQL, logs, query, table, text
+from linefold.operators import catalog, changes, validation
+from linefold.session import scratch
+from linefold.sources import registries
 
 RULE_CHANGES_SQL = """
 changes AS (
@@ -219,7 +221,7 @@ def source_validation(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(
     "add_sources",
     f"""WITH {CANDIDATES_SQL},
-held AS (SELECT '10.0.' || s_suppkey || '.1' AS source_ip, s_name FROM supplier WHERE s_suppkey < 5),
+held AS (SELECT '10.0.' || (s_suppkey * 40) || '.1' AS source_ip, s_name FROM supplier),
 takers AS (SELECT source_ip, min(ord) AS ord, arg_min(source_name, ord) AS name FROM checked WHERE error IS NULL GROUP BY 1)
 SELECT c.source_id, c.error IS NULL AND h.s_name IS NULL AND c.ord = t.ord AS accepted,
   CASE WHEN h.s_name IS NOT NULL THEN 'IP address ' || c.source_ip || ' is already used by source ''' || h.s_name || ''''
@@ -228,10 +230,10 @@ SELECT c.source_id, c.error IS NULL AND h.s_name IS NULL AND c.ord = t.ord AS ac
 FROM checked c LEFT JOIN held h USING (source_ip) LEFT JOIN takers t USING (source_ip)""",
 )
 def add_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
-    current = table(spark, sf_dir, "supplier").where("s_suppkey < 5").select(
+    current = table(spark, sf_dir, "supplier").select(
         text("s", F.col("s_suppkey")).alias("source_id"),
         F.col("s_name").alias("source_name"),
-        text("10.0.", F.col("s_suppkey"), ".1").alias("source_ip"),
+        text("10.0.", F.col("s_suppkey") * 40, ".1").alias("source_ip"),
     )
     return changes.add_sources(current, candidates(spark, sf_dir))
 
@@ -247,3 +249,82 @@ def address_check(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "customer").select(
         "c_custkey", validation.address_error(text("10.0.0.", key % 400), url).alias("error")
     )
+
+
+ACCOUNT_FIELDS = "source_id STRING, source_name STRING, source_ip STRING, listener_port STRING, target_type STRING, batch_size BIGINT"
+
+
+@query(
+    "registry_sources",
+    """SELECT 'c' || c_custkey AS source_id, row_number() OVER (ORDER BY c_acctbal, c_custkey) - 1 AS position, c_name AS source_name,
+  '10.1.' || (c_custkey % 250) || '.' || (c_custkey // 250 % 250) AS source_ip, CAST(500 + c_custkey % 9 AS VARCHAR) AS listener_port,
+  CASE WHEN c_custkey % 2 = 0 THEN 'HEC' ELSE 'FOLDER' END AS target_type,
+  CASE WHEN c_custkey % 3 = 0 THEN CAST(c_custkey % 700 + 1 AS BIGINT) END AS batch_size, CAST(2 AS BIGINT) AS version FROM customer""",
+)
+def registry_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A registry saved in its order, exported as a document, read back and saved as the second version."""
+    key = F.col("c_custkey")
+    rows = table(spark, sf_dir, "customer").select(
+        text("c", key).alias("source_id"),
+        F.col("c_name").alias("source_name"),
+        text("10.1.", key % 250, ".", F.floor(key / 250) % 250).alias("source_ip"),
+        (F.lit(500) + key % 9).cast("string").alias("listener_port"),
+        F.when(key % 2 == 0, "HEC").otherwise("FOLDER").alias("target_type"),
+        F.when(key % 3 == 0, key % 700 + 1).cast("bigint").alias("batch_size"),
+        F.struct("c_acctbal", key).alias("rank"),
+    )
+    path = scratch(spark, "registry")
+    held = registries.Registry(f"{path}/sources", ACCOUNT_FIELDS)
+    held.save(rows, "rank")
+    registries.save_document(registries.sources_document(held.load(spark)), f"{path}/document")
+    held.save(registries.load_sources(spark, f"{path}/document"))
+    return held.load(spark).withColumn("version", F.lit(held.version(spark)).cast("bigint"))
+
+
+@query(
+    "registry_rules",
+    """SELECT 'u' || (user_id % 20) AS source_id, CAST(row_number() OVER (PARTITION BY user_id % 20 ORDER BY event_id) - 1 AS INTEGER) AS position,
+  event_type AS field, CASE WHEN event_id % 7 <> 0 THEN 'v' || event_id END AS value, event_id % 5 <> 0 AS enabled,
+  CAST(event_id AS DOUBLE) AS created FROM events""",
+)
+def registry_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Rules to a document and back; a null value stays null, an absent flag means enabled."""
+    key = F.col("event_id")
+    rows = table(spark, sf_dir, "events").select(
+        text("u", F.col("user_id") % 20).alias("source_id"),
+        F.col("event_type").alias("field"),
+        F.when(key % 7 != 0, text("v", key)).alias("value"),
+        F.when(key % 5 == 0, False).when(key % 2 == 0, True).alias("enabled"),
+        key.cast("double").alias("created"),
+    )
+    path = scratch(spark, "registry")
+    registries.save_document(registries.rules_document(rows), path)
+    return registries.load_rules(spark, path)
+
+
+@query(
+    "registry_policies",
+    f"""WITH {LINES_SQL}, t AS (SELECT source_id, arg_min(raw, (us, seq)) AS raw FROM lines GROUP BY 1)
+SELECT 'template' AS kind, source_id, raw AS content, true AS enabled, CAST(4 AS BIGINT) AS fields FROM t
+UNION ALL SELECT 'policy', 'c' || c_custkey, c_mktsegment || ',k' || c_custkey, c_custkey % 2 = 0, 2 FROM customer""",
+)
+def registry_policies(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Policies and learned templates to their common document and back."""
+    key = F.col("c_custkey")
+    policies = table(spark, sf_dir, "customer").select(
+        text("c", key).alias("source_id"),
+        F.array("c_mktsegment", text("k", key)).alias("fields"),
+        (key % 2 == 0).alias("enabled"),
+        key.cast("double").alias("created"),
+    )
+    learned = catalog.learn_templates(logs(spark, sf_dir)).withColumn("learned", F.lit(0.0))
+    path = scratch(spark, "registry")
+    registries.save_document(registries.policies_document(policies, learned), path)
+    size = F.size("fields").cast("bigint").alias("fields")
+    templates = registries.load_templates(spark, path).select(
+        F.lit("template").alias("kind"), "source_id", F.col("raw").alias("content"), F.lit(True).alias("enabled"), size
+    )
+    held = registries.load_policies(spark, path).select(
+        F.lit("policy").alias("kind"), "source_id", F.array_join("fields", ",").alias("content"), "enabled", size
+    )
+    return templates.unionByName(held)

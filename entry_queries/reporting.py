@@ -116,6 +116,66 @@ def heartbeat(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+FIRST_DAY = 1_704_067_200
+
+
+@query(
+    "heartbeat_history",
+    f"""WITH moments AS (SELECT {FIRST_DAY} + n_nationkey * 43200 AS sec, n_nationkey AS n FROM nation),
+owners AS (SELECT DISTINCT 'u' || user_id AS source_id FROM events),
+steps AS (SELECT 'u' || user_id AS source_id, epoch_us(ts) // 1000000 AS s, 1 AS n FROM events
+  UNION ALL SELECT 'u' || user_id, epoch_us(ts) // 1000000 + 3600, -1 FROM events WHERE event_id % 3 = 0),
+queues AS (SELECT o.source_id, m.sec, m.n, coalesce(sum(s.n), 0) AS waiting FROM owners o CROSS JOIN moments m
+  LEFT JOIN steps s ON s.source_id = o.source_id AND s.s < m.sec GROUP BY 1, 2, 3)
+SELECT CAST(sec AS BIGINT) AS time, CAST(n * 10 AS BIGINT) AS available, CAST(n / 2 AS DOUBLE) AS memory_percent, CAST(n * 7 AS BIGINT) AS free,
+  CAST(n * 1000 AS BIGINT) AS bytes_recv, CAST(n * 3 AS BIGINT) AS packets_sent, CAST(4242 AS BIGINT) AS pid, CAST(n * 11 AS BIGINT) AS process_memory,
+  count(*) AS sources, CAST(sum(waiting) AS BIGINT) AS waiting, CAST(max(waiting) AS BIGINT) AS longest FROM queues GROUP BY sec, n""",
+)
+def heartbeat_history(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every heartbeat with what waited at that moment; a third of the lines is delivered an hour after it came."""
+    key = F.col("n_nationkey").cast("bigint")
+    host = table(spark, sf_dir, "nation").select(
+        F.timestamp_seconds(F.lit(FIRST_DAY) + key * 43_200).alias("ts"),
+        F.lit(1.0).alias("cpu_percent"),
+        F.lit(4).alias("cpu_count"),
+        F.array(F.lit(1.0)).alias("load"),
+        (key * 20).alias("mem_total"),
+        (key * 10).alias("mem_available"),
+        (key / 2).alias("mem_percent"),
+        (key * 10).alias("mem_used"),
+        *[(key * 7).alias(f"disk_{c}") for c in ("total", "used", "free")],
+        F.lit(50.0).alias("disk_percent"),
+        *[(key * n).alias(c) for c, n in (("bytes_sent", 1), ("bytes_recv", 1000), ("packets_sent", 3), ("packets_recv", 4))],
+        F.lit(4242).cast("bigint").alias("pid"),
+        (key * 11).alias("process_memory"),
+    )
+    lines = user_lines(spark, sf_dir)
+    delivered = lines.where("seq % 3 = 0").withColumn("delivered_ts", F.col("recv_ts") + F.expr("INTERVAL 1 HOUR"))
+    waiting = reports.backlog_at(lines, delivered, host.select(F.col("ts").alias("moment")))
+    own = lines.select("source_id").distinct().select(
+        "source_id",
+        F.col("source_id").alias("source_name"),
+        F.lit(514).alias("listener_port"),
+        F.lit("UDP").alias("protocol"),
+        F.lit("HEC").alias("target_type"),
+    )
+    documents = reports.heartbeat(reports.health_sources(own, waiting), host)
+    queues = F.transform(F.map_values("event.sources"), lambda s: s["queue_size"])
+    return documents.select(
+        "time",
+        F.col("event.memory.available").alias("available"),
+        F.col("event.memory.percent").alias("memory_percent"),
+        F.col("event.disk.free").alias("free"),
+        F.col("event.network.bytes_recv").alias("bytes_recv"),
+        F.col("event.network.packets_sent").alias("packets_sent"),
+        F.col("event.pid").alias("pid"),
+        F.col("event.process_memory").alias("process_memory"),
+        F.size("event.sources").cast("bigint").alias("sources"),
+        F.aggregate(queues, F.lit(0).cast("bigint"), lambda a, b: a + b).alias("waiting"),
+        F.array_max(queues).alias("longest"),
+    )
+
+
 @query(
     "tail_lines",
     """SELECT event_id AS ord, event_type AS line FROM events ORDER BY event_id DESC LIMIT 100""",

@@ -18,7 +18,7 @@ from entry_queries.base import (
     table,
     RULES_SQL,
 )
-from linefold.operators import routing
+from linefold.operators import catalog, routing
 from linefold.sources.messages import datagrams, decode, frame_lines
 
 
@@ -94,15 +94,11 @@ def sources_without_policy(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(
     "sources_with_template",
     f"""WITH {LINES_SQL}, {SOURCES_SQL}
-SELECT source_id, source_name FROM sources WHERE source_id IN (SELECT source_id FROM lines WHERE user_id % 2 = 0)""",
+SELECT source_id, source_name FROM sources WHERE source_id IN (SELECT source_id FROM lines)""",
 )
 def sources_with_template(spark: SparkSession, sf_dir: str) -> DataFrame:
-    seen = (
-        table(spark, sf_dir, "events")
-        .where(F.col("user_id") % 2 == 0)
-        .select(F.concat(F.lit("src"), (F.col("user_id") % 5).cast("string")).alias("source_id"))
-    )
-    return routing.sources_with_template(sources(spark, sf_dir), seen).select("source_id", "source_name")
+    learned = catalog.learn_templates(logs(spark, sf_dir))
+    return routing.sources_with_template(sources(spark, sf_dir), learned).select("source_id", "source_name")
 
 
 @query(

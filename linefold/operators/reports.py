@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from linefold.functions.text import format_timestamp, severity_tag
@@ -59,7 +59,10 @@ def status_report(
 def health_sources(
     sources: DataFrame, waiting: DataFrame | None = None, workers: DataFrame | None = None
 ) -> DataFrame:
-    """Health row per source *name*; of equal names the last source counts."""
+    """Health row per source *name*; of equal names the last source counts.
+
+    Where ``waiting`` has a ``moment``, as ``backlog_at`` gives it, there is a row per name and moment.
+    """
     out = sources.select("source_id", "source_name", "listener_port", "protocol", "target_type")
     none = F.lit(0).cast("bigint")
     out = out.join(waiting, "source_id", "left") if waiting is not None else out.withColumn("backlog", none)
@@ -68,8 +71,9 @@ def health_sources(
         if workers is not None
         else out.withColumn("active_workers", none)
     )
+    keys = [c for c in ("moment",) if c in out.columns]
     return (
-        out.groupBy("source_name")
+        out.groupBy("source_name", *keys)
         .agg(
             F.max_by(
                 F.struct(
@@ -82,7 +86,7 @@ def health_sources(
                 "source_id",
             ).alias("s")
         )
-        .select("source_name", "s.*")
+        .select("source_name", *keys, "s.*")
     )
 
 
@@ -90,36 +94,76 @@ def load_percent(load: Column, cpu_count: Column) -> Column:
     return F.transform(load, lambda x: x / cpu_count * 100)
 
 
+def backlog_at(
+    lines: DataFrame, delivered: DataFrame, moments: DataFrame, ts: str = "recv_ts", done: str = "delivered_ts"
+) -> DataFrame:
+    """``source_id, moment, backlog``: lines received and not delivered before each moment, for every source.
+
+    Moments count by whole second. Lines combine to one row per source and second before they
+    meet the moments, so the running totals go over seconds, not lines. The result has a row
+    per source and moment, as the heartbeats that report them have.
+    """
+    second = lambda c: F.floor(F.unix_micros(F.col(c).cast("timestamp")) / 1_000_000)
+    steps = lines.groupBy("source_id", second(ts).alias("_s")).agg(F.count("*").alias("_n"))
+    steps = steps.unionByName(delivered.groupBy("source_id", second(done).alias("_s")).agg((-F.count("*")).alias("_n")))
+    every = moments.agg(F.array_distinct(F.collect_list(F.unix_timestamp(F.col("moment").cast("timestamp")))).alias("m"))
+    asked = lines.select("source_id").distinct().withColumn("_s", F.explode(every.scalar()))
+    both = steps.withColumn("_asked", F.lit(False)).unionByName(
+        asked.select("source_id", "_s", F.lit(0).cast("bigint").alias("_n"), F.lit(True).alias("_asked"))
+    )
+    # Untimed lines count as received from the start.
+    before = Window.partitionBy("source_id").orderBy(F.col("_s").asc_nulls_first()).rangeBetween(Window.unboundedPreceding, -1)
+    total = F.coalesce(F.sum("_n").over(before), F.lit(0))
+    return both.withColumn("backlog", total).where("_asked").select(
+        "source_id", F.timestamp_seconds("_s").alias("moment"), "backlog"
+    )
+
+
+def _map_by_name(entry: Column) -> Column:
+    return F.map_from_entries(F.array_sort(F.collect_list(entry)))
+
+
+def _named_sources() -> Column:
+    stats = F.struct("queue_size", "active_processors", "listener_port", "protocol", "target_type")
+    return _map_by_name(F.struct(F.col("source_name"), stats)).alias("sources")
+
+
+#: Parts of a heartbeat and the host columns they are made of.
+HOST_PARTS = {
+    "memory": {"total": "mem_total", "available": "mem_available", "percent": "mem_percent", "used": "mem_used"},
+    "disk": {"total": "disk_total", "used": "disk_used", "free": "disk_free", "percent": "disk_percent"},
+    "network": {c: c for c in ("bytes_sent", "bytes_recv", "packets_sent", "packets_recv")},
+}
+
+
 def heartbeat(health: DataFrame, host_metrics: DataFrame, time: Column | None = None) -> DataFrame:
-    """Heartbeat documents: one per host metrics row, with all sources by name."""
+    """Heartbeat documents: one per host metrics row, with all sources by name.
+
+    Host columns that are missing are left out of the document. Where ``health`` has a
+    ``moment``, each host row gets the sources as they were then; else all get the same.
+    """
     stamp = F.unix_timestamp(F.col("ts").cast("timestamp")) if time is None else time
-    named = health.agg(
-        F.map_from_entries(
-            F.array_sort(
-                F.collect_list(
-                    F.struct(
-                        F.col("source_name"),
-                        F.struct(
-                            "queue_size", "active_processors", "listener_port", "protocol", "target_type"
-                        ),
-                    )
-                )
-            )
-        ).alias("sources")
-    )
-    # One row, of the size of the registry: a scalar subquery, so host rows are not joined.
-    joined = host_metrics.withColumn("sources", named.scalar())
-    event = F.struct(
+    if "moment" in health.columns:
+        then = health.groupBy(F.unix_timestamp("moment").alias("_at")).agg(_named_sources())
+        at = F.unix_timestamp(F.col("ts").cast("timestamp"))
+        joined = host_metrics.withColumn("_at", at).join(then, "_at", "left").drop("_at")
+    else:
+        # One row, of the size of the registry: a scalar subquery, so host rows are not joined.
+        joined = host_metrics.withColumn("sources", health.agg(_named_sources()).scalar())
+    parts = [
         F.struct(
             F.col("cpu_percent").alias("percent"),
             F.col("cpu_count").alias("count"),
             load_percent(F.col("load"), F.col("cpu_count")).alias("load"),
-        ).alias("cpu"),
-        F.struct(F.col("mem_total").alias("total"), F.col("mem_used").alias("used")).alias("memory"),
-        F.col("sources"),
-    )
+        ).alias("cpu")
+    ]
+    for part, names in HOST_PARTS.items():
+        held = [F.col(column).alias(name) for name, column in names.items() if column in host_metrics.columns]
+        if held:
+            parts.append(F.struct(*held).alias(part))
+    parts += [F.col("sources"), *[F.col(c) for c in ("pid", "process_memory") if c in host_metrics.columns]]
     return joined.select(
-        stamp.cast("bigint").alias("time"), event.alias("event"), F.lit("Heartbeat").alias("source")
+        stamp.cast("bigint").alias("time"), F.struct(*parts).alias("event"), F.lit("Heartbeat").alias("source")
     )
 
 

@@ -2,16 +2,17 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 
 def latest_by_address(sources: DataFrame, order: str | None = None) -> DataFrame:
     """``(port, source_ip) -> source_id``; of equal addresses the last source counts.
 
-    ``order`` names the registry order; by default the greatest ``source_id`` is last.
+    ``order`` names the registry order; by default it is ``position`` where the sources
+    have one, else the greatest ``source_id`` is last.
     """
-    rank = F.col(order) if order else F.col("source_id")
+    rank = F.col(order or ("position" if "position" in sources.columns else "source_id"))
     return sources.groupBy(
         F.col("listener_port").cast("int").alias("port"), "source_ip"
     ).agg(F.max_by("source_id", rank).alias("source_id"))
@@ -77,9 +78,3 @@ def union_sources(first: DataFrame, *others: DataFrame) -> DataFrame:
     for other in others:
         out = out.unionByName(other, allowMissingColumns=True)
     return out
-
-
-def duplicate_addresses(sources: DataFrame) -> DataFrame:
-    """Sources that share their address with another."""
-    same = Window.partitionBy("source_ip")
-    return sources.withColumn("sharing", F.count("*").over(same)).where(F.col("sharing") > 1)

@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from linefold.functions.infer import FIELDS_TYPE
+from linefold.sinks import store
 
 SOURCE_FIELDS = (
     "source_name STRING, source_ip STRING, listener_port STRING, protocol STRING, "
@@ -22,21 +23,16 @@ TEMPLATE_FIELDS = (
 
 def _document(spark: SparkSession, path: str, schema: str) -> DataFrame:
     """``doc`` of the given type; no rows for a missing or broken document."""
-    if not _exists(spark, path):
+    if not store.exists(spark, path):
         return spark.createDataFrame([], f"doc {schema}")
     text = spark.read.text(path, wholetext=True)
     return text.select(F.from_json("value", schema).alias("doc")).where(F.col("doc").isNotNull())
 
 
-def _exists(spark: SparkSession, path: str) -> bool:
-    hadoop_path = spark._jvm.org.apache.hadoop.fs.Path(path)
-    return hadoop_path.getFileSystem(spark._jsc.hadoopConfiguration()).exists(hadoop_path)
-
-
 def load_sources(spark: SparkSession, path: str) -> DataFrame:
-    """``{id: {...}}`` to one row per source."""
+    """``{id: {...}}`` to one row per source; ``position`` keeps the order of the document."""
     doc = _document(spark, path, f"MAP<STRING, STRUCT<{SOURCE_FIELDS}>>")
-    return doc.select(F.explode("doc").alias("source_id", "s")).select("source_id", "s.*")
+    return doc.select(F.posexplode("doc").alias("position", "source_id", "s")).select("source_id", "position", "s.*")
 
 
 def load_rules(spark: SparkSession, path: str) -> DataFrame:
@@ -86,26 +82,29 @@ def load_templates(spark: SparkSession, path: str) -> DataFrame:
     )
 
 
-def _by_source(entries: Column) -> Column:
-    """Map entries in source order; only the names are compared."""
+def _by_source(entries: Column, key: str = "source_id") -> Column:
+    """Map entries in source order, or by another key; only the keys are compared."""
     return F.array_sort(
         entries,
-        lambda a, b: F.when(a["source_id"] < b["source_id"], -1)
-        .when(a["source_id"] > b["source_id"], 1)
-        .otherwise(0),
+        lambda a, b: F.when(a[key] < b[key], -1).when(a[key] > b[key], 1).otherwise(0),
     )
 
 
 def _single_document(rows: DataFrame, value: Column) -> DataFrame:
-    """Registry rows as one JSON map. A registry is configuration: one entry per source."""
-    entries = rows.select("source_id", value.alias("_value")).agg(
-        F.collect_list(F.struct("source_id", "_value")).alias("entries")
+    """Registry rows as one JSON map, by position where they have one.
+
+    A registry is configuration: one entry per source.
+    """
+    order = "position" if "position" in rows.columns else "source_id"
+    entries = rows.select(F.col(order).alias("_order"), "source_id", value.alias("_value")).agg(
+        F.collect_list(F.struct("_order", "source_id", "_value")).alias("entries")
     )
-    return entries.select(F.to_json(F.map_from_entries(_by_source(F.col("entries")))).alias("value"))
+    pairs = F.transform(_by_source(F.col("entries"), "_order"), lambda e: F.struct(e["source_id"], e["_value"]))
+    return entries.select(F.to_json(F.map_from_entries(pairs)).alias("value"))
 
 
 def sources_document(sources: DataFrame) -> DataFrame:
-    body = F.struct(*[c for c in sources.columns if c != "source_id"])
+    body = F.struct(*[c for c in sources.columns if c not in ("source_id", "position")])
     return _single_document(sources, body)
 
 
@@ -156,7 +155,49 @@ def save_document(document: DataFrame, path: str) -> None:
     document.coalesce(1).write.mode("overwrite").text(path)
 
 
-def save_table(rows: DataFrame, path: str) -> None:
-    """Registry as a Parquet table, replaced as a whole."""
-    rows.write.mode("overwrite").parquet(path)
+class Registry:
+    """A registry as numbered versions: each save is a new one, and a pointer names the one that holds.
+
+    The pointer is replaced in one step once a version is whole, so a reader sees the old or the new registry, never
+    parts of both. Asked at each micro-batch, ``load`` brings changes into a running stream. Rows keep their order in
+    ``position``, which is made where the rows have none.
+    """
 
+    def __init__(self, folder: str, schema: str):
+        self.folder, self.schema = folder.rstrip("/"), schema
+
+    def _path(self, version: int) -> str:
+        return f"{self.folder}/versions/version={version}"
+
+    def version(self, spark: SparkSession) -> int:
+        """The number of the version that holds, 0 if there is none."""
+        pointer = f"{self.folder}/current"
+        return int(spark.read.text(pointer).first()[0]) if store.exists(spark, pointer) else 0
+
+    def save(self, rows: DataFrame, order: str | None = None) -> int:
+        """Rows as the next version; the number it got. ``order`` names the column that orders new rows."""
+        spark = rows.sparkSession
+        if "position" not in rows.columns:
+            place = F.row_number().over(Window.orderBy(order or "source_id")) - 1  # a registry is small
+            rows = rows.withColumn("position", place.cast("bigint"))
+        number = self.version(spark) + 1
+        names = [f.name for f in self._fields(spark)]
+        rows.select(*names).write.mode("overwrite").parquet(self._path(number))
+        store.put(f"{self.folder}/current", str(number).encode())
+        return number
+
+    def _fields(self, spark: SparkSession):
+        return spark.createDataFrame([], f"{self.schema}, position BIGINT").schema.fields
+
+    def load(self, spark: SparkSession, version: int | None = None) -> DataFrame:
+        """The version that holds, or an earlier one; no rows before the first save."""
+        number = self.version(spark) if version is None else version
+        schema = f"{self.schema}, position BIGINT"
+        if not number:
+            return spark.createDataFrame([], schema)
+        return spark.read.schema(schema).parquet(self._path(number))
+
+    def history(self, spark: SparkSession) -> DataFrame:
+        """All versions up to the one that holds, with their number."""
+        every = spark.read.schema(f"{self.schema}, position BIGINT, version BIGINT").parquet(f"{self.folder}/versions")
+        return every.where(F.col("version") <= self.version(spark))

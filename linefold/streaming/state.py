@@ -10,15 +10,11 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
-from linefold.operators.batching import IDLE_SECONDS
 from linefold.operators.lockout import LoginState
 from linefold.operators.ordering import micros
-from linefold.sources.messages import IDLE_SECONDS as SILENT_SECONDS
 
 STATE_PROVIDER = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 
-BATCH_SCHEMA = "source_id STRING, batch_no LONG, place LONG, us LONG, seq LONG, raw STRING"
-LINE_SCHEMA = "conn_id STRING, line_no LONG, payload BINARY"
 LOGIN_SCHEMA = "user STRING, us LONG, seq LONG, outcome STRING, count LONG, locked_until LONG"
 
 
@@ -26,130 +22,6 @@ def use_state_store(spark: SparkSession) -> None:
     spark.conf.set("spark.sql.streaming.stateStore.providerClass", STATE_PROVIDER)
 
 
-def _renew_timer(handle: StatefulProcessorHandle, timer_values: Any, seconds: int) -> None:
-    for timer in list(handle.listTimers()):
-        handle.deleteTimer(timer)
-    handle.registerTimer(timer_values.getCurrentProcessingTimeInMs() + seconds * 1000)
-
-
-class BatchBuffer(StatefulProcessor):
-    """Lines of a source until the batch is full or the source falls silent.
-
-    The buffer never holds more than one batch.
-    """
-
-    def __init__(self, idle_seconds: int = IDLE_SECONDS):
-        self.idle_seconds = idle_seconds
-
-    def init(self, handle: StatefulProcessorHandle) -> None:
-        self.handle = handle
-        self.lines = handle.getListState("lines", "us LONG, seq LONG, raw STRING")
-        self.position = handle.getValueState("position", "batch_no LONG, last_us LONG")
-
-    @staticmethod
-    def _rows(source: str, number: int, lines: list[tuple]) -> list[tuple]:
-        return [(source, number, place, *line) for place, line in enumerate(lines, 1)]
-
-    @staticmethod
-    def _frame(rows: list[tuple]) -> pd.DataFrame:
-        return pd.DataFrame(rows, columns=["source_id", "batch_no", "place", "us", "seq", "raw"])
-
-    def handleInputRows(self, key: Any, rows: Iterator[pd.DataFrame], timerValues: Any) -> Iterator[pd.DataFrame]:
-        number, last_us = self.position.get() if self.position.exists() else (0, None)
-        held = [tuple(line) for line in self.lines.get()] if self.lines.exists() else []
-        for frame in rows:
-            out = []
-            for us, seq, raw, size in zip(frame.us, frame.seq, frame.raw, frame.batch_size):
-                silent = last_us is not None and us - last_us >= self.idle_seconds * 1_000_000
-                if held and (silent or len(held) >= size):
-                    out += self._rows(key[0], number, held)
-                    number, held = number + 1, []
-                held.append((int(us), int(seq), raw))
-                last_us = int(us)
-                if len(held) >= size:
-                    out += self._rows(key[0], number, held)
-                    number, held = number + 1, []
-            if out:
-                yield self._frame(out)
-        self.position.update((number, last_us))
-        if held:
-            self.lines.put(held)
-            _renew_timer(self.handle, timerValues, self.idle_seconds)
-        else:
-            self.lines.clear()
-
-    def handleExpiredTimer(self, key: Any, timerValues: Any, expiredTimerInfo: Any) -> Iterator[pd.DataFrame]:
-        if self.lines.exists():
-            number, last_us = self.position.get()
-            yield self._frame(self._rows(key[0], number, [tuple(line) for line in self.lines.get()]))
-            self.lines.clear()
-            self.position.update((number + 1, last_us))
-
-    def close(self) -> None:
-        pass
-
-
-def live_batches(logs: DataFrame, idle_seconds: int = IDLE_SECONDS) -> DataFrame:
-    """Batches of a stream of ``source_id, recv_ts, seq, raw, batch_size``.
-
-    One source is one key, so this suits sources that one task can follow. For floods use
-    ``linefold.streaming.ingest``, which numbers each trigger's rows in parallel.
-    """
-    use_state_store(logs.sparkSession)
-    rows = logs.select("source_id", micros(F.col("recv_ts")).alias("us"), "seq", "raw", "batch_size")
-    return rows.groupBy("source_id").transformWithStateInPandas(
-        BatchBuffer(idle_seconds), BATCH_SCHEMA, "append", "processingTime"
-    )
-
-
-class LineBuffer(StatefulProcessor):
-    """Unfinished line of a TCP connection between chunks."""
-
-    def __init__(self, silent_seconds: int = SILENT_SECONDS):
-        self.silent_seconds = silent_seconds
-
-    def init(self, handle: StatefulProcessorHandle) -> None:
-        self.handle = handle
-        self.rest = handle.getValueState("rest", "bytes BINARY, line_no LONG")
-
-    def handleInputRows(self, key: Any, rows: Iterator[pd.DataFrame], timerValues: Any) -> Iterator[pd.DataFrame]:
-        rest, number = self.rest.get() if self.rest.exists() else (b"", 0)
-        rest = bytes(rest)
-        for frame in rows:
-            out = []
-            for payload in frame.sort_values("seq").payload:
-                *lines, rest = (rest + bytes(payload)).split(b"\n")
-                for line in lines:
-                    if line:
-                        out.append((key[0], number, line))
-                    number += 1
-            if out:
-                yield pd.DataFrame(out, columns=["conn_id", "line_no", "payload"])
-        self.rest.update((rest, number))
-        if rest:
-            _renew_timer(self.handle, timerValues, self.silent_seconds)
-
-    def handleExpiredTimer(self, key: Any, timerValues: Any, expiredTimerInfo: Any) -> Iterator[pd.DataFrame]:
-        if self.rest.exists():
-            rest, number = self.rest.get()
-            if rest:
-                yield pd.DataFrame([(key[0], number, bytes(rest))], columns=["conn_id", "line_no", "payload"])
-            self.rest.update((b"", number + 1))
-
-    def close(self) -> None:
-        pass
-
-
-def live_lines(chunks: DataFrame, silent_seconds: int = SILENT_SECONDS) -> DataFrame:
-    """Lines of a stream of ``conn_id, seq, payload``; a silent connection gives up its rest."""
-    use_state_store(chunks.sparkSession)
-    return (
-        chunks.select("conn_id", "seq", "payload")
-        .groupBy("conn_id")
-        .transformWithStateInPandas(LineBuffer(silent_seconds), LINE_SCHEMA, "append", "processingTime")
-    )
-
-
 class LoginWatch(StatefulProcessor):
     """Failure count and lock of one user."""
 
@@ -158,15 +30,14 @@ class LoginWatch(StatefulProcessor):
 
     def handleInputRows(self, key: Any, rows: Iterator[pd.DataFrame], timerValues: Any) -> Iterator[pd.DataFrame]:
         login = LoginState(*(self.state.get() if self.state.exists() else (0, 0)))
-        for frame in rows:
-            out = []
-            frame = frame.sort_values(["us", "seq"])
-            for us, seq, ok in zip(frame.us, frame.seq, frame.ok):
-                outcome = login.attempt(int(us), bool(ok))
-                lock = login.locked_until if login.locked_until > us else None
-                out.append((key[0], int(us), int(seq), outcome, login.count, lock))
-            result = pd.DataFrame(out, columns=["user", "us", "seq", "outcome", "count", "locked_until"])
-            yield result.astype({"locked_until": "Int64"})
+        # Frames of one trigger come in any order.
+        frame, out = pd.concat(rows).sort_values(["us", "seq"]), []
+        for us, seq, ok in zip(frame.us, frame.seq, frame.ok):
+            outcome = login.attempt(int(us), bool(ok))
+            lock = login.locked_until if login.locked_until > us else None
+            out.append((key[0], int(us), int(seq), outcome, login.count, lock))
+        result = pd.DataFrame(out, columns=["user", "us", "seq", "outcome", "count", "locked_until"])
+        yield result.astype({"locked_until": "Int64"})
         self.state.update((login.count, login.locked_until))
 
     def close(self) -> None:
