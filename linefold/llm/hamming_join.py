@@ -6,9 +6,9 @@ so every chunk is indexed once per symbol left out: all pairs under that distanc
 well beyond mostly none. At a similarity of 0.8 a pair shares no key with a probability of 3e-6.
 
 Documents with equal shingle sets are one node from the start, so copies cost nothing further. Members of
-a key are not paired with each other: each is first held against one centre per key (two rounds: the least
-node, then, for what is not yet together, a node of the key's own drawing), links are confirmed on full
-sets, and components are formed. What is left are keys of three or more with several components. A member
+a key are not paired with each other: each node is first held against the least of its keys' centres (a key's
+centre is its least node), then, for what is not yet together, against the other centres, then against a node
+of each key's own drawing; links are confirmed on full sets, and components are formed after each round. What is left are keys of three or more with several components. A member
 of no or a smaller component is then held against the big component's members as one block after another, set
 by set, and yields one link per block at most. Pairs outside big components are tried one by one, under their
 first shared key only, and only if their distances to a common centre allow a link (one minus the similarity
@@ -359,7 +359,10 @@ def cluster(docs: DataFrame, key: str = "doc_id", text: str = "text", width: int
     described = written(describe(docs, key, text, width), "described")
     with_id = described.where("doc_id is not null and n > 0")
     nodes = with_id.groupBy("d1", "d2", "n").agg(F.min("doc_id").alias("lo"), F.first("sig").alias("sig"))
-    nodes = written(nodes.withColumn("node", F.monotonically_increasing_id()), "nodes")
+    nodes = written(nodes.withColumn("row", F.monotonically_increasing_id()), "sets")
+    # A set is named by its least id, so that a component's least node is its id; by a number where ids repeat.
+    named_by_id = nodes.groupBy("lo").count().where("count > 1").isEmpty()
+    nodes = nodes.withColumn("node", F.col("lo") if named_by_id else F.col("row")).drop("row")
 
     keys = chunk_keys(nodes)
     shared = keys.groupBy("key").agg(F.count(F.lit(1)).alias("members"), F.min("node").alias("centre"))
@@ -370,7 +373,18 @@ def cluster(docs: DataFrame, key: str = "doc_id", text: str = "text", width: int
         found = written(likely(pairs.distinct(), nodes, percent), "likely")
         return written(confirm(found, nodes, docs, key, text, width, percent), "tried")
 
-    near = tried(keyed.where("node <> centre").select(F.col("node").alias("a"), F.col("centre").alias("b")))
+    def apart(pairs: DataFrame, labels: DataFrame) -> DataFrame:
+        """Pairs whose ends are not yet in one component."""
+        for end in ("a", "b"):
+            pairs = pairs.join(labels.select(F.col("node").alias(end), F.col("label").alias(f"label_{end}")), end, "left")
+        return pairs.where("coalesce(label_a, a) <> coalesce(label_b, b)").select("a", "b")
+
+    # Each node is tried with the least of its centres first; what that puts together needs no other.
+    centres = keyed.where("node <> centre").select(F.col("node").alias("a"), F.col("centre").alias("b"))
+    centres = written(centres.distinct(), "centres")
+    near = tried(centres.groupBy("a").agg(F.min("b").alias("b")))
+    labels = components(near.where("linked"))
+    near = near.unionByName(tried(apart(centres.join(near.select("a", "b"), ["a", "b"], "left_anti"), labels)))
     links = near.where("linked").select("a", "b")
     labels = components(links)
 
@@ -410,9 +424,12 @@ def cluster(docs: DataFrame, key: str = "doc_id", text: str = "text", width: int
         labels = components(links)
 
     named = nodes.select("node", "lo", "d1", "d2", "n").join(labels, "node", "left")
-    named = written(named.withColumn("label", F.coalesce("label", "node")), "named")
-    least = named.groupBy("label").agg(F.min("lo").alias("component_id"))
-    named = written(named.join(least, "label").select("d1", "d2", "n", "component_id"), "components")
+    named = named.withColumn("component_id", F.coalesce("label", "node"))
+    if not named_by_id:
+        named = written(named, "named")
+        least = named.groupBy("component_id").agg(F.min("lo").alias("least"))
+        named = named.join(least, "component_id").withColumn("component_id", F.col("least"))
+    named = named.select("d1", "d2", "n", "component_id")
     own = F.when(F.col("n") == 0, F.col("doc_id")).otherwise(F.col("component_id"))
     return (
         described.select("doc_id", "n", "d1", "d2")
