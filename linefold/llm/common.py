@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import os
 import tempfile
 import uuid
@@ -59,6 +60,19 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def discard(spark: SparkSession, *paths: str) -> None:
+    """Deletes scratch tables that everything made from them has been written without.
+
+    The driver's collector then lets go of what is not referenced any more, so that Spark clears the shuffle files
+    of finished steps.
+    """
+    for path in paths:
+        held = spark._jvm.org.apache.hadoop.fs.Path(path)
+        held.getFileSystem(spark._jsc.hadoopConfiguration()).delete(held, True)
+    gc.collect()
+    spark._jvm.System.gc()
+
+
 def local_path(uri: str) -> str | None:
     """The path of a URI on a mounted file system, None for other stores."""
     if uri.startswith("file:"):

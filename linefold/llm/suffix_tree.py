@@ -32,10 +32,10 @@ import pandas as pd
 import pyarrow as pa
 import zstandard
 from pyspark import TaskContext
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from linefold.llm.common import hash_words, word_bytes, written
+from linefold.llm.common import discard, hash_words, scratch, word_bytes, written
 
 DEPTH, MIN_COUNT = 6, 50
 BLOCK_BYTES, BUCKETS, BLOCKS_A_BUCKET, STEP_BYTES = 4 << 20, 64, 4, 1 << 20
@@ -282,7 +282,22 @@ def _shorter(column: str, k: int) -> Column:
     return F.col(column).bitwiseAND(F.lit(_mask(k)))
 
 
-def _orders(windows_: DataFrame) -> list[DataFrame]:
+class Scratch:
+    """Tables by name, each deleted once it is not needed any more."""
+
+    def __init__(self, spark: SparkSession):
+        self.spark, self.paths = spark, {}
+
+    def written(self, df: DataFrame, name: str) -> DataFrame:
+        self.paths[name] = path = scratch(self.spark, name)
+        df.write.option("compression", "zstd").parquet(path)
+        return self.spark.read.schema(df.schema).parquet(path)
+
+    def drop(self, *names: str) -> None:
+        discard(self.spark, *[self.paths.pop(n) for n in names if n in self.paths])
+
+
+def _orders(windows_: DataFrame, tables: Scratch) -> list[DataFrame]:
     """How often training has each window, by length of the context from 0; zero for those of other texts alone."""
 
     def spread(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -291,10 +306,10 @@ def _orders(windows_: DataFrame) -> list[DataFrame]:
                 yield pd.DataFrame({"bucket": np.int32(b), "window": _unpack_keys(k).view(np.int64), "n": _unpack(c, np.int64)})
 
     rows = windows_.select("bucket", "keys", "counts").mapInPandas(spread, "bucket int, window long, n long")
-    orders = [written(rows, f"order{DEPTH}")]  # a window is in one bucket, so it is whole
+    orders = [tables.written(rows, f"order{DEPTH}")]  # a window is in one bucket, so it is whole
     for k in range(DEPTH - 1, -1, -1):
         level = orders[-1].groupBy(_shorter("window", k).alias("window")).agg(F.sum("n").alias("n"))
-        orders.append(written(level, f"order{k}"))
+        orders.append(tables.written(level, f"order{k}"))
     return orders[::-1]
 
 
@@ -305,7 +320,7 @@ def _candidates(order: DataFrame) -> DataFrame:
     return rows.join(often.where(F.col("size") >= MIN_COUNT), "context")
 
 
-def _values(orders: list[DataFrame]) -> DataFrame:
+def _values(orders: list[DataFrame], tables: Scratch) -> DataFrame:
     """bucket, window, value: log10 of the probability of every window's byte in the tree."""
     total = orders[0].agg(F.sum("n")).first()[0] or 0
     p = [orders[0].select("window", ((F.col("n") + 0.5) / (total + 0.5 * 257)).alias("p"))]
@@ -315,24 +330,26 @@ def _values(orders: list[DataFrame]) -> DataFrame:
         cells = _candidates(orders[k]).withColumn("short", _shorter("window", k - 1)).join(above, "short")
         # Smoothed towards the suffix.
         smooth = (F.col("n") + F.col("kinds") * F.col("above")) / (F.col("size") + F.col("kinds"))
-        cells = written(cells.select("window", "context", "n", "size", "kinds", "above", smooth.alias("p")), f"cells{k}")
+        cells = tables.written(cells.select("window", "context", "n", "size", "kinds", "above", smooth.alias("p")), f"cells{k}")
         p.append(cells.select("window", "context", "p"))
         gain = F.sum(F.when(F.col("n") > 0, F.col("n") * F.log(F.col("n") / F.col("size") / F.col("above"))))
         by_context = cells.groupBy("context", "size", "kinds").agg(gain.alias("gain"))
         worth = F.col("gain") > 0.5 * F.col("kinds") * F.log(F.greatest("size", F.lit(2)))
         gains.append(by_context.where(worth).select("context"))
-    keep = [None] * DEPTH + [written(gains[DEPTH], f"kept{DEPTH}")]
+    keep = [None] * DEPTH + [tables.written(gains[DEPTH], f"kept{DEPTH}")]
     for k in range(DEPTH - 1, 0, -1):
         # A suffix of what is retained is retained.
         suffixes = keep[k + 1].select(F.col("context").bitwiseAND(F.lit(_mask(k) & ~0xFF)).alias("context"))
-        keep[k] = written(gains[k].union(suffixes).distinct(), f"kept{k}")
+        keep[k] = tables.written(gains[k].union(suffixes).distinct(), f"kept{k}")
     value = p[0].select("window", F.log10("p").alias("value"))
     for k in range(1, DEPTH + 1):
         above = value.select(F.col("window").alias("short"), F.col("value").alias("above"))
         state = p[k].join(keep[k], "context", "left_semi").select("window", F.log10("p").alias("own"))
         every = orders[k].withColumn("short", _shorter("window", k - 1)).join(above, "short").join(state, "window", "left")
         held = ["bucket"] if k == DEPTH else []
-        value = written(every.select(*held, "window", F.coalesce("own", "above").alias("value")), f"values{k}")
+        value = tables.written(every.select(*held, "window", F.coalesce("own", "above").alias("value")), f"values{k}")
+        tables.drop(f"values{k - 1}", f"order{k - 1}", f"cells{k}", f"kept{k}")
+    tables.drop(f"order{DEPTH}")
     return value
 
 
@@ -348,7 +365,7 @@ def _answer(key: tuple, asks: pd.DataFrame, values: pd.DataFrame) -> pd.DataFram
 
 def _levels(windows_: DataFrame) -> tuple[list[pd.DataFrame], int]:
     """Counts of candidate contexts with each next byte, by length from 0, and the number of training bytes."""
-    orders = [o.where("n > 0") for o in _orders(windows_)]
+    orders = [o.where("n > 0") for o in _orders(windows_, Scratch(windows_.sparkSession))]
     total = orders[0].agg(F.sum("n")).first()[0] or 0
     return [orders[0].toPandas(), *[_candidates(o).select("window", "n").toPandas() for o in orders[1:]]], int(total)
 
@@ -405,8 +422,14 @@ def score(docs: DataFrame, held: str, key: str = "doc_id", text: str = "text") -
     """
     table = blocks(docs, key, text, held)
     buckets = max(BUCKETS, -(-table.count() // BLOCKS_A_BUCKET))
-    sums = written(_gather(table, buckets).groupBy("kind", "bucket").applyInPandas(_add_up, _PACKED), "sums")
-    values = _values(_orders(sums.where("kind = 'windows'")))
+    tables = Scratch(docs.sparkSession)
+    added = _gather(table, buckets).groupBy("kind", "bucket").applyInPandas(_add_up, _PACKED)
+    both = tables.written(added, "sums")
+    sums = tables.written(both.where("kind <> 'windows'"), "words")
+    orders = _orders(both.where("kind = 'windows'"), tables)
+    del added, both
+    tables.drop("sums")
+    values = _values(orders, tables)
     asks = _asks(table, buckets)
     found = asks.groupBy("bucket").cogroup(values.groupBy("bucket")).applyInPandas(_answer, _PACKED)
     totals = sums.where("kind = 'totals'").agg(F.sum("total"), F.sum("distinct")).first()
