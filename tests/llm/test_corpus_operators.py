@@ -126,13 +126,48 @@ def test_neighbour_rows(spark):
     assert hash_forest.search(table.limit(0), F.lit(True), 5).count() == 0
 
 
-def test_too_few_candidates_are_compared_with_all(spark, monkeypatch):
-    rows, table = vectors(spark, n=300)
-    monkeypatch.setattr(hash_forest, "LEAST_SHARD", 0.01)
+def test_one_tree_gives_as_many_as_wanted(spark, monkeypatch):
+    _, table = vectors(spark, n=300)
+    monkeypatch.setattr(hash_forest, "LEAST", 1)
     got = hash_forest.search(table, F.col("vec_id") % 50 == 0, 5, trees=1).groupBy("query_id").count().collect()
     assert {r["count"] for r in got} == {5}
 
 
+def test_small_shards_are_searched_whole(spark, monkeypatch):
+    """Shards, runs and blocks of few rows: the exact neighbours, ties to the smaller id."""
+    rows, _ = vectors(spark, n=400)
+    rows += [(10_000 + i, [2.0 * float(x) for x in rows[-1][1]]) for i in range(40)]
+    table = spark.createDataFrame([(i, [float(x) for x in v]) for i, v in rows], "vec_id long, embedding array<double>")
+    for name, size in (("SHARD_ROWS", 50), ("BLOCK_ROWS", 3), ("RUN_SHARDS", 2)):
+        monkeypatch.setattr(hash_forest, name, size)
+    want = nearest([(i, np.asarray(v, dtype=float)) for i, v in rows], 5, 10)
+    got = collections.defaultdict(list)
+    for r in hash_forest.search(table, F.col("vec_id") % 10 == 0, 5).orderBy("query_id", "rank").collect():
+        got[r.query_id].append((r.vec_id, r.score))
+    assert set(got) == set(want)
+    for q in want:
+        assert [s for _, s in got[q]] == pytest.approx([s for _, s in want[q]])
+        assert all(i == j for (i, s), (j, t), nxt in zip(got[q], want[q], want[q][1:]) if abs(t - nxt[1]) > 1e-9)
+
+
+def test_ascent_in_step():
+    """The rows reached share a prefix of one length with the query in some tree; a symbol more reaches too few."""
+    draw = np.random.default_rng(2)
+    raw = draw.normal(size=(3_000, 8))
+    forest = hash_forest.Forest.grown(np.arange(3_000), np.arange(3_000), raw, np.zeros(8), 5)
+    codes = np.stack([hash_forest.strings(hash_forest._unit(raw), np.zeros(8), t) for t in range(5)], axis=1)
+    for wanted in (1, 20, 400, 3_000):
+        for q, rows in enumerate(forest.reached(codes[:8], wanted)):
+            for shared in range(hash_forest.SYMBOLS, -1, -1):
+                same = [
+                    r for r in range(3_000)
+                    if shared == 0 or any(int(codes[r, t]) >> 16 * (4 - shared) == int(codes[q, t]) >> 16 * (4 - shared) for t in range(5))
+                ]
+                if len(same) >= wanted:
+                    break
+            assert rows.tolist() == same
+
+
 @pytest.mark.parametrize("n", [0, 1, 7, 500, 20_000])
 def test_completion(n):
     draw = np.random.default_rng(n)
