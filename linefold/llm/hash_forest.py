@@ -4,9 +4,8 @@ Vectors are dealt round robin into shards of about SHARD_ROWS rows, one file eac
 Each of TREES trees gives a vector a string of SYMBOLS symbols: the vector, less the mean of all unit vectors,
 is turned by random rotations, and a symbol names the axis and sign of its largest coordinate. A tree is the
 sorted array of its strings. A query descends in every tree to the strings that share its longest prefix, then
-all trees ascend together, one symbol at a time, until the strings reached are a SHARE of the shard's vectors
-and LEAST at least; at the root they are all of them, so no query is left without neighbours and nothing is cut
-off. Candidates are scored with the original vectors in double precision.
+all trees ascend together, one symbol at a time, until REACH of the shard's vectors are reached; at the root all
+of them are, so no query is left without neighbours and nothing is cut off. Candidates are scored with the original vectors in double precision.
 
 Shards are of one size however many rows there are, so the part of the rows that is looked at, and the recall,
 don't fall as the table grows. Queries are dealt into blocks, one file each; a task takes a block through RUN_SHARDS
@@ -40,8 +39,8 @@ from linefold.llm.common import local_path, scratch, write_bytes, written
 TREES, SYMBOLS = 40, 4
 #: Rows of a shard, of a block of queries, and shards that one task takes a block through.
 SHARD_ROWS, BLOCK_ROWS, RUN_SHARDS = 16_384, 256, 4
-#: Part of a shard that an ascent has to reach, and the least number of vectors.
-SHARE, LEAST = 1 / 16, 256
+#: Vectors of a shard that an ascent has to reach.
+REACH = 2_048
 #: Tasks of the search; above it, a task takes several cells one after the other.
 MOST_TASKS = 100_000
 #: Copies gathered in a task before they are handed on.
@@ -187,7 +186,7 @@ class Forest:
 
     def nearest(self, queries: np.ndarray, codes: np.ndarray, k: int) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
         """For each query: scores, least ids and entries of its k nearest rows reached, nearest first."""
-        wanted = max(k, LEAST, math.ceil(SHARE * len(self.nodes)))
+        wanted = max(k, REACH)
         for q, rows in zip(queries, self.reached(codes, wanted)):
             rough = self.unit[rows] @ q
             if len(rows) > k:

@@ -128,7 +128,7 @@ def test_neighbour_rows(spark):
 
 def test_one_tree_gives_as_many_as_wanted(spark, monkeypatch):
     _, table = vectors(spark, n=300)
-    monkeypatch.setattr(hash_forest, "LEAST", 1)
+    monkeypatch.setattr(hash_forest, "REACH", 1)
     got = hash_forest.search(table, F.col("vec_id") % 50 == 0, 5, trees=1).groupBy("query_id").count().collect()
     assert {r["count"] for r in got} == {5}
 
