@@ -5,17 +5,19 @@ counts times inverse document frequency, scaled to length one. Document frequenc
 texts: each task counts its own into one array, and the arrays are added by bucket. Weights are fitted on a
 bounded sample (FIT_ROWS learning rows, dealt evenly over the languages by a hash of the text) with
 follow-the-regularised-leader under an elastic-net penalty; a part of the sample is left out of the fit and
-sets the temperature that calibrates the probabilities. The model's size doesn't depend on the data.
+sets the temperature that calibrates the probabilities. Every language is learned: a weight's slot is its bucket
+times the number of languages plus its language, modulo SLOTS, so with more than SLOTS / DIMENSIONS languages
+weights share slots and the model grows no further.
 
 Rows with a null language or text teach nothing. A text that is null or has no letter gets `und` with score
 0, as every text does if there is nothing to learn from; with a single language every text with a letter
-gets it with score 1. Classes are the CLASSES most frequent values, ties in order of the value. Other
-columns pass; columns of the names made here are replaced.
+gets it with score 1. A letter is a character of a Unicode letter category: `½` and `Ⅷ` are none. Between languages
+of equal probability the first by value is taken. Texts are read whole, however long; repeated rows get equal
+answers. Other columns pass; columns of the names made here are replaced.
 """
 
 from __future__ import annotations
 
-import re
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -28,14 +30,15 @@ from linefold.llm.common import add_columns
 
 DIMENSIONS = 1 << 15
 ORDERS = (1, 2, 3)
-#: Bounds of what is brought to the driver: learning rows, and languages.
-FIT_ROWS, CLASSES = 3_000, 256
+#: Weights of a model at most.
+SLOTS = 1 << 23
+#: Learning rows that are aimed at; twice as many come to the driver at most, or two of each language.
+FIT_ROWS = 3_000
 EPOCHS = 3
 #: Step size and offset of the per-coordinate rates, and the two penalties.
 ALPHA, BETA, L1, L2 = 0.5, 1.0, 0.02, 0.05
 UNKNOWN = "und"
 
-_LETTER = re.compile(r"[^\W\d_]")
 COLUMNS = {"lang_pred": "string", "score": "double"}
 
 
@@ -52,14 +55,29 @@ def buckets(text: str) -> np.ndarray:
     return np.concatenate(out)
 
 
+def has_letter(text: str | None) -> bool:
+    return any(map(str.isalpha, text or ""))
+
+
 @dataclass
 class Model:
     languages: list[str]
     idf: np.ndarray
-    weights: np.ndarray  # DIMENSIONS x languages
-    bias: np.ndarray
+    weights: np.ndarray | None = None  # by slot; the bias is bucket DIMENSIONS
     temperature: float = 1.0
 
+    @property
+    def size(self) -> int:
+        return min((DIMENSIONS + 1) * len(self.languages), SLOTS)
+
+    def slots(self, at: np.ndarray) -> np.ndarray:
+        """Slots of the weights of some buckets: a row for each bucket and the bias, a column for each language."""
+        k = len(self.languages)
+        return (np.append(at, DIMENSIONS)[:, None] * k + np.arange(k)) % self.size
+
+    def logits(self, at: np.ndarray, values: np.ndarray) -> np.ndarray:
+        return np.append(values, 1.0) @ self.weights[self.slots(at)]
+
     def features(self, text: str) -> tuple[np.ndarray, np.ndarray]:
         counts = np.bincount(buckets(text), minlength=DIMENSIONS)
         at = np.flatnonzero(counts)
@@ -69,12 +87,12 @@ class Model:
 
     def probabilities(self, text: str) -> np.ndarray:
         at, values = self.features(text)
-        return softmax((values @ self.weights[at] + self.bias) / self.temperature)
+        return softmax(self.logits(at, values) / self.temperature)
 
     def predict(self, texts: list[str | None]) -> list[list]:
         names, scores = [], []
         for text in texts:
-            if not self.languages or not text or not _LETTER.search(text):
+            if not self.languages or not has_letter(text):
                 names.append(UNKNOWN)
                 scores.append(0.0)
                 continue
@@ -111,20 +129,19 @@ def document_frequencies(texts: DataFrame) -> tuple[np.ndarray, int]:
 
 
 def leader(model: Model, rows: list[tuple[np.ndarray, np.ndarray, int]], epochs: int = EPOCHS) -> None:
-    """Follow-the-regularised-leader, one row after another; sets weights and bias.
+    """Follow-the-regularised-leader, one row after another; sets the weights.
 
     z gathers gradients less the weights' drift, n squared gradients; a weight is zero while |z| <= L1.
     """
-    k = len(model.languages)
-    z, n = np.zeros((DIMENSIONS + 1, k)), np.zeros((DIMENSIONS + 1, k))
+    z, n = np.zeros(model.size), np.zeros(model.size)
 
-    def weights(at: np.ndarray) -> np.ndarray:
+    def weights(at: np.ndarray | slice) -> np.ndarray:
         shrunk = np.sign(z[at]) * np.maximum(np.abs(z[at]) - L1, 0)
         return -shrunk / ((BETA + np.sqrt(n[at])) / ALPHA + L2)
 
     for _ in range(epochs):
         for at, values, label in rows:
-            at, values = np.append(at, DIMENSIONS), np.append(values, 1.0)
+            at, values = model.slots(at), np.append(values, 1.0)
             w = weights(at)
             error = softmax(values @ w)
             error[label] -= 1
@@ -132,15 +149,14 @@ def leader(model: Model, rows: list[tuple[np.ndarray, np.ndarray, int]], epochs:
             after = n[at] + g * g
             z[at] += g - (np.sqrt(after) - np.sqrt(n[at])) / ALPHA * w
             n[at] = after
-    w = weights(np.arange(DIMENSIONS + 1))
-    model.weights, model.bias = w[:-1], w[-1]
+    model.weights = weights(slice(None))
 
 
 def calibrate(model: Model, rows: list[tuple[np.ndarray, np.ndarray, int]]) -> None:
     """The temperature of least log loss on rows that the fit hasn't seen."""
     if not rows:
         return
-    logits = np.array([v @ model.weights[at] + model.bias for at, v, _ in rows])
+    logits = np.array([model.logits(at, v) for at, v, _ in rows])
     labels = np.array([label for _, _, label in rows])
 
     def loss(t: float) -> float:
@@ -153,23 +169,23 @@ def train(docs: DataFrame, learn: Column, text: str = "text", lang: str = "lang"
     """A model from the rows where `learn` holds."""
     rows = docs.select(F.col(text).cast("string").alias("body"), F.col(lang).cast("string").alias("lang"), learn.alias("learn"))
     rows = rows.where("learn and body is not null and lang is not null").select("body", "lang")
-    per = rows.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(CLASSES).collect()
+    per = rows.groupBy("lang").count().orderBy("lang").collect()  # a row for each language
     languages = sorted(r.lang for r in per)
     frequencies, n = document_frequencies(rows.select("body"))
-    model = Model(languages, np.log((1 + n) / (1 + frequencies)) + 1, np.zeros((DIMENSIONS, len(per))), np.zeros(len(per)))
+    model = Model(languages, np.log((1 + n) / (1 + frequencies)) + 1)
+    model.weights = np.zeros(model.size)
     if len(languages) < 2:
         return model
     each = max(1, FIT_ROWS // len(languages))
     # An even share of each language: rows whose hash falls below its share of all values.
-    share = F.lit(0.0)
-    for r in per:
-        share = F.when(F.col("lang") == r.lang, float(min(1.0, each / r["count"]))).otherwise(share)
-    picked = F.pmod(F.xxhash64("body", F.lit(3)), F.lit(1 << 30)) < share * (1 << 30)
+    shares = [(r.lang, float(min(1.0, each / r["count"]))) for r in per]
+    shares = docs.sparkSession.createDataFrame(shares, "lang string, share double")
+    picked = F.pmod(F.xxhash64("body", F.lit(3)), F.lit(1 << 30)) < F.col("share") * (1 << 30)
     # Equal texts share a hash: each is taken once, so that a group of copies can't fill the sample.
-    sample = rows.where(picked).groupBy(F.xxhash64("body").alias("order"), "lang").agg(F.first("body").alias("body"))
-    sample = sample.orderBy("order").limit(2 * FIT_ROWS).collect()
+    sample = rows.join(shares, "lang").where(picked).groupBy(F.xxhash64("body").alias("order"), "lang").agg(F.first("body").alias("body"))
+    sample = sample.orderBy("order").limit(2 * max(FIT_ROWS, len(languages))).collect()
     number = {name: i for i, name in enumerate(languages)}
-    fit = [(*model.features(r.body), number[r.lang]) for r in sample if _LETTER.search(r.body)]
+    fit = [(*model.features(r.body), number[r.lang]) for r in sample if has_letter(r.body)]
     leader(model, [r for i, r in enumerate(fit) if i % 5])
     calibrate(model, fit[::5])
     return model
