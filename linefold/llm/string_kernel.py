@@ -2,8 +2,10 @@
 
 The kernel of two strings sums, over all subsequences of ORDER letters that both hold within a span of SPAN,
 the decay to the power of both spans; so gaps and inserted letters cost a factor, not the match. Strings are
-windows of WINDOW letters of a text's letter stream: lower case, accents and common look-alike signs folded,
-everything else left out, so that `i.d-i o t` is `idiot`.
+windows of WINDOW letters of a text's letter stream: lower case, accents, full-width and other compatible forms,
+and common look-alike signs and letters folded, everything but letters left out, so that `i.d-i o t` is `idiot`.
+Letters of other scripts are dealt over the same LETTERS symbols by their code point: words in them are strings
+like others, learned from the labelled texts in which they stand.
 
 Training, on a bounded sample of labelled texts (FIT_ROWS of each label): a toxic text has some toxic
 window, not every one. Rounds pick each toxic text's most toxic windows, as far as they
@@ -13,13 +15,14 @@ the kernel, so it folds into one weight per subsequence of the landmarks; scorin
 per letter and gap pattern and a sliding sum, in time linear in its length. A text's margin is that of its
 most toxic window; a logistic curve fitted to margins gives the score.
 
-Any text gets a score; one that is null, empty or without enough letters gets the score of a text without
+Any text gets a score, equal texts get equal ones; one that is null, empty or without enough letters gets the score of a text without
 features. With labels of one kind only all scores are close to 0 or to 1, with none to 0. Rows with
-a null label teach nothing. Other columns pass; columns of the names made here are replaced.
+a null label teach nothing. An empty table gives no rows. Other columns pass; columns of the names made here are replaced.
 """
 
 from __future__ import annotations
 
+import functools
 import itertools
 import unicodedata
 from dataclasses import dataclass
@@ -49,22 +52,35 @@ PATTERNS = [
 CODES = LETTERS**ORDER
 
 
-def _folds() -> np.ndarray:
-    """Letter number of every character below 0x250; 0 for what is left out."""
-    out = np.zeros(0x250, dtype=np.uint8)
-    for c in range(len(out)):
-        letter = LOOK_ALIKES.get(chr(c)) or unicodedata.normalize("NFKD", chr(c).lower())[:1].lower()
-        if "a" <= letter <= "z":
-            out[c] = ord(letter) - 96
-    return out
+#: Letters of other scripts that look like a Latin one.
+LOOK_ALIKE_LETTERS = {
+    "а": "a", "е": "e", "о": "o", "р": "p", "с": "c", "у": "y", "х": "x", "і": "i", "ј": "j", "ѕ": "s", "к": "k",
+    "α": "a", "ε": "e", "ι": "i", "κ": "k", "ο": "o", "ρ": "p", "τ": "t", "υ": "u", "χ": "x", "ν": "v",
+}
+
+
+@functools.lru_cache(maxsize=1 << 16)
+def _fold(c: int) -> int:
+    """Letter number of a character; 0 for what is left out."""
+    sign = LOOK_ALIKES.get(chr(c)) or unicodedata.normalize("NFKD", chr(c).lower())[:1].lower()
+    letter = LOOK_ALIKE_LETTERS.get(sign, sign)
+    if "a" <= letter <= "z":
+        return ord(letter) - 96
+    # An odd factor keeps neighbours in an alphabet apart.
+    return 1 + (ord(letter) * 0x9E3779B1 >> 8) % (LETTERS - 1) if letter.isalpha() else 0
 
 
-FOLDS = _folds()
+FOLDS = np.array([_fold(c) for c in range(0x250)], dtype=np.uint8)
 
 
 def letters(text: str | None) -> np.ndarray:
-    codes = np.frombuffer((text or "").encode("utf-32-le"), dtype=np.uint32)
+    # Lone surrogates can't be encoded otherwise; they are no letters.
+    codes = np.frombuffer((text or "").encode("utf-32-le", "surrogatepass"), dtype=np.uint32)
     out = FOLDS[np.minimum(codes, len(FOLDS) - 1)]
+    other = codes >= len(FOLDS)
+    if other.any():
+        signs, place = np.unique(codes[other], return_inverse=True)
+        out[other] = np.array([_fold(int(c)) for c in signs], dtype=np.uint8)[place]
     return out[out > 0].astype(np.int32)
 
 

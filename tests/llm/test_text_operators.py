@@ -257,6 +257,57 @@ def test_language_rows(odd_rows, no_rows):
     assert {r.lang_pred for r in language_id.identify(odd_rows, empty).collect()} == {"und"}
 
 
+def test_no_letter_is_undetermined(spark):
+    texts = [("½ ²", "de"), ("Ⅷ 1 _", "de"), ("ein Wort", "de"), ("a word", "en"), ("слово", "ru")]
+    docs = spark.createDataFrame(texts, "text string, lang string")
+    got = [r.lang_pred for r in language_id.identify(docs, language_id.train(docs, F.lit(True))).collect()]
+    assert got[:2] == ["und", "und"] and "und" not in got[2:]
+
+
+def test_many_languages(spark, monkeypatch):
+    """Each of 300 languages is learned, also where weights share slots."""
+    draw = random.Random(8)
+    words = {f"l{k:03}": ["".join(draw.choices("abcdefghijklmnopqrstuvwxyz", k=5)) for _ in range(4)] for k in range(300)}
+    rows = [(" ".join(draw.choices(w, k=12)), lang) for lang, w in words.items() for _ in range(6)]
+    docs = spark.createDataFrame(rows, "text string, lang string")
+    for slots in (language_id.SLOTS, 1 << 21):
+        monkeypatch.setattr(language_id, "SLOTS", slots)
+        model = language_id.train(docs, F.lit(True))
+        assert len(model.languages) == 300 and len(model.weights) <= slots
+        names, _ = model.predict([" ".join(w) for w in words.values()])
+        assert sum(a == b for a, b in zip(names, words)) >= 285
+
+
+def test_leader_by_definition():
+    """Weights against the plain per-coordinate rule on dense rows."""
+    draw = np.random.default_rng(4)
+    model = language_id.Model(["a", "b", "c"], np.ones(language_id.DIMENSIONS))
+    rows = [(np.sort(draw.choice(40, 6, replace=False)), draw.random(6), int(draw.integers(3))) for _ in range(30)]
+    language_id.leader(model, rows, epochs=2)
+    z, n = collections.defaultdict(float), collections.defaultdict(float)
+
+    def weight(i, c):
+        if abs(z[i, c]) <= language_id.L1:
+            return 0.0
+        rate = (language_id.BETA + n[i, c] ** 0.5) / language_id.ALPHA + language_id.L2
+        return -(z[i, c] - np.sign(z[i, c]) * language_id.L1) / rate
+
+    for at, values, label in rows * 2:
+        x = {**dict(zip(at.tolist(), values)), language_id.DIMENSIONS: 1.0}
+        w = {(i, c): weight(i, c) for i in x for c in range(3)}
+        e = np.exp([sum(v * w[i, c] for i, v in x.items()) for c in range(3)])
+        p = e / e.sum()
+        for i, v in x.items():
+            for c in range(3):
+                g = v * (p[c] - (c == label))
+                sigma = ((n[i, c] + g * g) ** 0.5 - n[i, c] ** 0.5) / language_id.ALPHA
+                z[i, c] += g - sigma * w[i, c]
+                n[i, c] += g * g
+    got = model.weights[model.slots(np.arange(40))]
+    want = [[weight(i, c) for c in range(3)] for i in [*range(40), language_id.DIMENSIONS]]
+    assert np.allclose(got, want)
+
+
 def test_document_frequencies(spark):
     texts = ["ab", "ab", "b", "é"]
     counts, n = language_id.document_frequencies(spark.createDataFrame([(t,) for t in texts], "t string"))
@@ -320,6 +371,32 @@ def test_toxic_words_and_gaps(spark):
     assert spaced[0] >= 0.3
 
 
+def test_letters_of_all_scripts():
+    plain = string_kernel.letters("idiot").tolist()
+    for same in ("ｉｄｉｏｔ", "іdіоt", "𝐢𝐝𝐢𝐨𝐭", "1d!0t", "ÍDÌÓT"):
+        assert string_kernel.letters(same).tolist() == plain
+    for text in ("идиот дурак", "ηλίθιος", "أحمق", "笨蛋白痴", "멍청이"):
+        stream = string_kernel.letters(text)
+        assert len(stream) >= 3 and 1 <= stream.min() and stream.max() < string_kernel.LETTERS
+    assert len(string_kernel.letters("123 … 😀 \U0001f4a9 ½")) == len(string_kernel.letters("1 3"))
+
+
+def test_toxic_words_of_another_script():
+    draw = random.Random(6)
+    syllables = "ко ра ст но ен то ка ли пр ов на ре ве по ск ло ми те ни ва".split()
+
+    def text(insult):
+        words = ["".join(draw.choices(syllables, k=draw.randint(1, 4))) for _ in range(60)]
+        if insult:
+            words.insert(draw.randrange(60), draw.choice(["идиот", "мерзавец", "дурачьё"]))
+        return " ".join(words)
+
+    model = string_kernel.fit([text(True) for _ in range(150)], [text(False) for _ in range(300)])
+    toxic = np.array(model.score([text(True) for _ in range(60)])[0])
+    clean = np.array(model.score([text(False) for _ in range(60)])[0])
+    assert (toxic >= 0.3).mean() > 0.8 and (clean >= 0.3).mean() < 0.2
+
+
 def test_toxic_rows(odd_rows, no_rows):
     labelled = odd_rows.withColumn("toxic", (F.col("doc_id") == 7).cast("int"))
     rows = string_kernel.judge(odd_rows, string_kernel.train(labelled)).collect()
