@@ -6,10 +6,13 @@ piece holds the rest. Pieces of one length are alike, so the plan is made over c
 piece then finds its place from its rank among the pieces of its length; ranks are prefix sums over
 partitions, so no length (a group of copies, say) meets in one task.
 
-Planning: best-fit decreasing gives the first incumbent. Bin completion takes the largest length left,
-enumerates its undominated fillings in order of waste, uses one as often as the counts allow, and goes
-on; a branch ends when its waste reaches that of the incumbent. The search ends at the lower bound
-(total length over capacity, rounded up) or after a number of nodes.
+Planning: best-fit decreasing gives the first incumbent. Bin completion takes the largest length left and
+enumerates the fillings around it, least waste first and larger lengths first, with no step that leads nowhere: sums
+that the smaller lengths can reach are known as bit sets. A filling is dominated, and left out, if one length still
+there could stand for some of its documents and fits in their room and its waste. A filling is used as
+often as the counts allow; a branch ends when its waste leaves no sequence to save. Branches are taken up in order
+of their departures from the first filling. The search ends at the lower bound (the best of the total and of those
+that count which lengths can't share) or after a number of nodes; every incumbent is a whole packing.
 
 A null text is an empty document: one piece that holds the end id. Rows with equal ids get pieces of
 their own. An empty table gives no pieces. Other columns are ignored.
@@ -17,6 +20,8 @@ their own. An empty table gives no pieces. Other columns are ignored.
 
 from __future__ import annotations
 
+import heapq
+import itertools
 from collections import Counter
 from collections.abc import Iterator
 
@@ -31,8 +36,8 @@ from linefold.llm.common import digest, slices, written
 from linefold.llm.encoder import encoder
 
 CAPACITY = 1024
-#: Fillings tried at a node, and nodes of the search after the first dive.
-BRANCHES, NODES = 4, 1_000
+#: Fillings tried at a node, fillings looked at for them, and nodes of the search.
+BRANCHES, LOOKS, NODES = 3, 64, 6_000
 
 Plan = list[tuple[tuple[int, ...], int]]  # lengths in one sequence, how many such sequences
 
@@ -69,42 +74,75 @@ def best_fit(counts: dict[int, int], capacity: int) -> Plan:
     return [(items, n) for groups in open_.values() for items, n in groups.items() if n]
 
 
+def bound(counts: dict[int, int], capacity: int) -> int:
+    """Sequences that any packing needs: for every threshold, lengths that can't share one, and what the rest can't fill."""
+    best = 0
+    for least in range(capacity // 2 + 1):
+        alone = sum(n for k, n in counts.items() if k > capacity - least)
+        half = [(k, n) for k, n in counts.items() if capacity < 2 * k and k <= capacity - least]
+        small = sum(k * n for k, n in counts.items() if least <= k and 2 * k <= capacity)
+        room = sum(n * (capacity - k) for k, n in half)
+        best = max(best, alone + sum(n for _, n in half) - min(0, (room - small) // capacity))
+    return best
+
+
+def dominated(items: tuple[int, ...], waste: int, there: int) -> bool:
+    """Whether one length of the bit set `there` can stand for some of the items: in their room and the waste."""
+    span = (1 << (waste + 1)) - 1
+    for size in range(1, min(len(items), 5) + 1):
+        for some in itertools.combinations(items, size):
+            # A length in place of itself changes nothing.
+            total = sum(some) + (size == 1)
+            if there >> total & (span if size > 1 else span >> 1):
+                return True
+    return False
+
+
 def fillings(counts: list[int], lengths: list[int], room: int, wanted: int) -> list[tuple[int, ...]]:
-    """Undominated ways to fill `room`, least waste first.
-
-    A filling that leaves room for a length still there is dominated, as is one that splits a length
-    that fits whole into smaller ones of the same sum; larger lengths come first, so the latter come late.
-    """
-    found: list[tuple[int, tuple[int, ...]]] = []
-    left, tries = list(counts), [4_000]
-
-    def extend(start: int, space: int, held: tuple[int, ...]) -> bool:
-        tries[0] -= 1
-        fits = False
-        for i in range(start, len(lengths)):
-            length = lengths[i]
-            if length <= space and left[i]:
-                fits = True
-                left[i] -= 1
-                done = extend(i, space - length, (*held, length))
-                left[i] += 1
-                if done or tries[0] < 0:
-                    return done
-        if not fits and not any(left[i] and lengths[i] <= space for i in range(start)):
-            found.append((space, held))
-            return space == 0 and sum(s == 0 for s, _ in found) >= wanted
-        return False
-
-    extend(0, room, ())
-    if not found:  # the search ended before its first whole filling
-        held, space = [], room
-        for i, length in enumerate(lengths):
-            n = min(left[i], space // length)
-            held += [length] * n
-            space -= n * length
-        found = [(space, tuple(held))]
-    found.sort(key=lambda f: (f[0], len(f[1])))
-    return [f for _, f in found[:wanted]]
+    """The first undominated ways to fill `room`, least waste first, then larger lengths first."""
+    at = [i for i, n in enumerate(counts) if n and lengths[i] <= room]
+    full = (1 << (room + 1)) - 1
+    # reach[j]: sums of the lengths from the j-th on.
+    reach = [1] * (len(at) + 1)
+    for j in range(len(at) - 1, -1, -1):
+        bits, length, left, step = reach[j + 1], lengths[at[j]], min(counts[at[j]], room // lengths[at[j]]), 1
+        while left:
+            used = min(step, left)
+            bits |= bits << (used * length) & full
+            left -= used
+            step *= 2
+        reach[j] = bits
+    there = sum(1 << lengths[i] for i in at)
+
+    def ways(start: int, space: int, held: tuple[int, ...]) -> Iterator[tuple[int, ...]]:
+        """Fillings of exactly `space`, each step of which can be completed."""
+        if not space:
+            yield held
+            return
+        for j in range(start, len(at)):
+            if not reach[j] >> space & 1:
+                return
+            length = lengths[at[j]]
+            for n in range(min(counts[at[j]], space // length), 0, -1):
+                if reach[j + 1] >> (space - n * length) & 1:
+                    yield from ways(j + 1, space - n * length, held + (length,) * n)
+
+    found, first, looks = [], None, LOOKS
+    for waste in range(room + 1):
+        if not reach[0] >> (room - waste) & 1:
+            continue
+        for way in ways(0, room - waste, ()):
+            first = way if first is None else first
+            looks -= 1
+            used, free = Counter(way), there
+            for length in used:
+                if used[length] == counts[lengths.index(length)]:
+                    free &= ~(1 << length)
+            if not dominated(way, waste, free):
+                found.append(way)
+            if len(found) == wanted or looks <= 0:
+                return found or [first]
+    return found or [first]
 
 
 def complete(counts: dict[int, int], capacity: int, branches: int = BRANCHES, nodes: int = NODES) -> Plan:
@@ -113,40 +151,48 @@ def complete(counts: dict[int, int], capacity: int, branches: int = BRANCHES, no
     if not counts:
         return []
     total = sum(k * v for k, v in counts.items())
-    least = max(-(-total // capacity), sum(v for k, v in counts.items() if 2 * k > capacity))
+    least = bound(counts, capacity)
     best = best_fit(counts, capacity)
     best_n = sum(n for _, n in best)
     lengths = sorted(counts, reverse=True)
-    budget = [nodes]
-    # Each entry: counts left, plan so far, waste so far. The most promising branch is on top.
-    stack = [([counts[k] for k in lengths], (), 0)]
-    while stack and best_n > least and budget[0] > 0:
-        left, plan, waste = stack.pop()
-        while True:
-            i = next((i for i, n in enumerate(left) if n), None)
-            if i is None:
-                used = sum(n for _, n in plan)
-                if used < best_n:
-                    best, best_n = list(plan), used
+    place = {length: i for i, length in enumerate(lengths)}
+    # Each entry: departures, order, counts left, last step of the plan with those before it, waste.
+    heap, order = [(0, 0, [counts[k] for k in lengths], None, 0)], itertools.count(1)
+    while heap and best_n > least and nodes > 0:
+        departures, _, left, plan, waste = heapq.heappop(heap)
+        start = 0
+        while nodes > 0:
+            start = next((i for i in range(start, len(left)) if left[i]), None)
+            if start is None:
+                best = []
+                while plan:
+                    best.append(plan[0])
+                    plan = plan[1]
+                best_n = sum(n for _, n in best)
                 break
-            if waste > (best_n - 1) * capacity - total:
-                break  # no plan below here can save a sequence
-            budget[0] -= 1
-            left[i] -= 1
-            ways = fillings(left, lengths, capacity - lengths[i], branches if budget[0] > 0 else 1)
-            left[i] += 1
+            nodes -= 1
+            left[start] -= 1
+            ways = fillings(left, lengths, capacity - lengths[start], branches)
+            left[start] += 1
             options = []
             for way in ways:
-                items = (lengths[i], *way)
+                items = (lengths[start], *way)
                 need = Counter(items)
-                n = min(left[lengths.index(k)] // c for k, c in need.items())
+                n = min(left[place[k]] // c for k, c in need.items())
+                lost = waste + n * (capacity - sum(items))
+                if lost <= (best_n - 1) * capacity - total:  # else no plan below saves a sequence
+                    options.append((n, need, items, lost))
+            for n, need, items, lost in options[1:]:
                 after = list(left)
                 for k, c in need.items():
-                    after[lengths.index(k)] -= n * c
-                options.append((after, (*plan, (items, n)), waste + n * (capacity - sum(items))))
-            stack.extend(reversed(options[1:]))
-            del stack[:-64]
-            left, plan, waste = options[0]
+                    after[place[k]] -= n * c
+                heapq.heappush(heap, (departures + 1, next(order), after, ((items, n), plan), lost))
+            if not options:
+                break
+            n, need, items, waste = options[0]
+            for k, c in need.items():
+                left[place[k]] -= n * c
+            plan = ((items, n), plan)
     return best
 
 

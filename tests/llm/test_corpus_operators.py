@@ -190,6 +190,56 @@ def test_completion_beats_best_fit():
     assert sum(n for _, n in packing.complete(counts, 10)) == -(-sum(k * v for k, v in counts.items()) // 10)
 
 
+def fewest(lengths, capacity):
+    """Fewest sequences by trying every place for every piece."""
+    lengths = sorted(lengths, reverse=True)
+    best = len(lengths)
+
+    def put(i, rooms):
+        nonlocal best
+        if len(rooms) >= best:
+            return
+        if i == len(lengths):
+            best = len(rooms)
+            return
+        for r in {r for r in rooms if r >= lengths[i]}:
+            left = list(rooms)
+            left.remove(r)
+            put(i + 1, [*left, r - lengths[i]])
+        put(i + 1, [*rooms, capacity - lengths[i]])
+
+    put(0, [])
+    return best
+
+
+def test_completion_by_exhaustive_search():
+    draw = np.random.default_rng(12)
+    for _ in range(150):
+        lengths = draw.integers(1, 21, int(draw.integers(1, 11))).tolist()
+        counts, want = collections.Counter(lengths), fewest(lengths, 20)
+        assert packing.bound(counts, 20) <= want
+        assert sum(n for _, n in packing.complete(counts, 20)) == want
+
+
+def test_fillings_by_definition():
+    """The least waste there is, no filling twice, none of more items than there are, none that is dominated."""
+    draw = np.random.default_rng(13)
+    for _ in range(100):
+        lengths = sorted(draw.choice(np.arange(1, 15), 5, replace=False).tolist(), reverse=True)
+        counts, room = draw.integers(0, 3, 5).tolist(), int(draw.integers(0, 25))
+        every = {}
+        for some in itertools.product(*(range(n + 1) for n in counts)):
+            total = sum(n * k for n, k in zip(some, lengths))
+            if total <= room:
+                every[tuple(k for n, k in zip(some, lengths) for _ in range(n))] = room - total
+        got = packing.fillings(counts, lengths, room, 100)
+        assert len(set(got)) == len(got) and got and set(got) <= set(every)
+        wastes = [every[w] for w in got]
+        assert wastes == sorted(wastes) and wastes[0] == min(every.values())
+    assert packing.dominated((3, 4), 0, 1 << 7) and not packing.dominated((3, 4), 0, 1 << 8)
+    assert packing.dominated((3,), 2, 1 << 5) and not packing.dominated((3,), 0, 1 << 3)
+
+
 def test_packing_rows(odd_rows, no_rows):
     library = Tokenizer.from_file(BPE)
     rows = packing.pack(odd_rows, BPE, end_id=2, capacity=256).collect()
