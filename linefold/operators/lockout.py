@@ -140,11 +140,9 @@ def _fold(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array(c, type=t) for c, t in zip(zip(*some), kinds)], names=names)
 
 
-def _walk(frame: pd.DataFrame) -> pd.DataFrame:
-    """Outcomes of one block from the state it is entered in; runs of rejected attempts are passed at once."""
-    frame = frame.sort_values(["us", "seq"])
-    us, ok, n = frame.us.to_numpy(), frame.ok.to_numpy().astype(bool), len(frame)
-    state = LoginState(int(frame.count0.iloc[0]), int(frame.locked0.iloc[0]))
+def walk(us: np.ndarray, ok: np.ndarray, state: LoginState) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Outcomes, counts and lock ends of attempts in order; ``state`` moves on. Runs of rejected attempts are passed at once."""
+    n = len(us)
     outcomes = np.full(n, "rejected", dtype=object)
     counts, locks = np.empty(n, dtype=np.int64), np.empty(n, dtype=np.int64)
     k = 0
@@ -157,11 +155,23 @@ def _walk(frame: pd.DataFrame) -> pd.DataFrame:
         outcomes[k] = state.attempt(int(us[k]), bool(ok[k]))
         counts[k], locks[k] = state.count, state.locked_until
         k += 1
+    return outcomes, counts, locks
+
+
+def outcome_frame(user: pd.Series | str, us: np.ndarray, seq: pd.Series | np.ndarray, walked: tuple) -> pd.DataFrame:
+    """Rows of ``OUTCOME_SCHEMA``; a lock shows while it lasts."""
+    outcomes, counts, locks = walked
     shown = pd.array(locks, dtype="Int64")
     shown[locks <= us] = pd.NA
-    return pd.DataFrame(
-        {"user": frame.user, "us": us, "seq": frame.seq, "outcome": outcomes, "count": counts, "locked_until": shown}
-    )
+    return pd.DataFrame({"user": user, "us": us, "seq": seq, "outcome": outcomes, "count": counts, "locked_until": shown})
+
+
+def _walk(frame: pd.DataFrame) -> pd.DataFrame:
+    """Outcomes of one block from the state it is entered in."""
+    frame = frame.sort_values(["us", "seq"])
+    us, ok = frame.us.to_numpy(), frame.ok.to_numpy().astype(bool)
+    state = LoginState(int(frame.count0.iloc[0]), int(frame.locked0.iloc[0]))
+    return outcome_frame(frame.user, us, frame.seq, walk(us, ok, state))
 
 
 def lockout(login_events: DataFrame, known_users: DataFrame | None = None) -> DataFrame:
