@@ -2,11 +2,15 @@
 
 from __future__ import annotations
 
+from decimal import Decimal
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from linefold.functions.extract import detect_format, named_fields
 from linefold.functions.values import bind, ellipsize, is_object, strict_json, strip
+from linefold.operators.ordering import micros
+from linefold.session import staged
 
 # Fields shown first in a catalog and in a preview.
 SPECIAL_FIELDS = [
@@ -85,42 +89,64 @@ def format_counts(logs: DataFrame) -> DataFrame:
     return logs.groupBy("source_id", form.alias("form")).agg(F.count("*").alias("lines"))
 
 
-def line_fields(logs: DataFrame, mode: str = "compat") -> DataFrame:
-    """Every field of every line."""
+def line_fields(logs: DataFrame, mode: str = "compat", place: Column | None = None) -> DataFrame:
+    """Every field of every line, with the line's time and number, or with ``place``."""
+    line = ["source_id", "recv_ts", "seq"] if place is None else ["source_id", place.alias("place")]
     raw = F.col("raw")
     form = bind(strict_json(raw), lambda event: detect_format(raw, event))
     # Generated, so the form is found once although several branches ask for it.
-    formed = logs.select("source_id", "recv_ts", "seq", "raw", F.explode(F.array(form)).alias("form"))
+    formed = logs.select(*line, "raw", F.explode(F.array(form)).alias("form"))
     return formed.select(
-        "source_id",
-        "recv_ts",
-        "seq",
+        *formed.columns[:-2],
         F.posexplode(named_fields("raw", "form", mode)).alias("ordinal", "f"),
     )
 
 
+def _arrival(ts: str = "recv_ts", seq: str = "seq") -> Column:
+    """``(ts, seq)`` as one number of the same order, nulls first: a fixed width, so aggregates of it stay in hash tables.
+
+    Times further than 126,000 years from 1970 count as equal.
+    """
+    far, span = 4 * 10**18, 2**64 + 1
+    us = micros(F.col(ts)).cast("decimal(19,0)")
+    near = F.greatest(F.least(us, F.lit(Decimal(far))), F.lit(Decimal(-far)))
+    us = F.when(us.isNull(), F.lit(Decimal(-far - 1))).otherwise(near)
+    number = F.coalesce(F.col(seq).cast("bigint").cast("decimal(19,0)") + F.lit(Decimal(2**63 + 1)), F.lit(Decimal(0)))
+    return (us * F.lit(Decimal(span)) + number).cast("decimal(38,0)")
+
+
+def field_counts(logs: DataFrame, mode: str = "compat") -> DataFrame:
+    """``source_id, field, type, n, longest`` and ``first``, the arrival of the first line with the field."""
+    fields = line_fields(logs, mode, place=_arrival())
+    return fields.groupBy("source_id", F.col("f.field").alias("field"), F.col("f.type").alias("type")).agg(
+        F.count("*").alias("n"), F.max(F.length("f.example")).alias("longest"), F.min("place").alias("first")
+    )
+
+
 def field_catalog(logs: DataFrame, mode: str = "compat") -> DataFrame:
     """Per source and field over all lines: rows, type mix, first example, longest value.
 
     Counts combine by type before the shuffle; the second step joins the few types of a
-    field.
+    field. Fields by far outnumber lines, so they are only counted, by hash and without
+    their text; examples are read again from the lines that are the first of some field.
     """
-    fields = line_fields(logs, mode)
-    arrival = F.struct("recv_ts", "seq")
-    by_type = fields.groupBy(
-        "source_id", F.col("f.field").alias("field"), F.col("f.type").alias("type")
-    ).agg(
-        F.count("*").alias("n"),
-        F.min_by("f.example", arrival).alias("example"),
-        F.min(arrival).alias("first"),
-        F.max(F.length("f.example")).alias("longest"),
-    )
-    return by_type.groupBy("source_id", "field").agg(
+    counted = field_counts(logs, mode).groupBy("source_id", "field").agg(
         F.sum("n").alias("rows"),
         F.array_join(F.array_sort(F.collect_set("type")), ",").alias("types"),
-        F.min_by("example", "first").alias("example"),
         F.max("longest").cast("bigint").alias("longest"),
+        F.min("first").alias("first"),
+    )
+    counted = staged(counted, "fields")
+    lines = logs.withColumn("place", _arrival())
+    firsts = counted.select(F.col("source_id").alias("_source"), F.col("first").alias("_first")).distinct()
+    first_lines = lines.join(firsts, lines.source_id.eqNullSafe(F.col("_source")) & (lines.place == F.col("_first")), "left_semi")
+    examples = (
+        line_fields(first_lines, mode, place=F.col("place"))
+        .groupBy(F.col("source_id").alias("_source"), F.col("f.field").alias("_field"), F.col("place").alias("_first"))
+        .agg(F.min_by("f.example", "ordinal").alias("example"))
     )
+    same = counted.source_id.eqNullSafe(F.col("_source")) & (counted.field == F.col("_field")) & (counted["first"] == F.col("_first"))
+    return counted.join(examples, same, "left").select("source_id", "field", "rows", "types", "example", "longest")
 
 
 def with_coverage(catalog: DataFrame, logs: DataFrame) -> DataFrame:

@@ -5,6 +5,7 @@ import random
 import numpy as np
 import pandas as pd
 
+from linefold.operators import catalog
 from linefold.operators.lockout import LoginState
 from linefold.streaming import state
 
@@ -48,3 +49,21 @@ def test_a_trigger_of_one_user_leaves_in_small_frames():
     locks = [None if v is pd.NA else v for v in out.locked_until]
     assert list(zip(out.us, out.seq, out.outcome, out["count"], locks)) == expected
     assert set(out.user) == {"u"} and out.us.dtype == np.int64
+
+
+def test_fields_are_counted_without_sorting_them(spark):
+    from datetime import datetime
+
+    at = datetime(2024, 1, 1)
+    rows = [
+        ("a", at, 2, "x ERROR y"), ("a", at, 1, "zz y"), ("a", None, 9, "later y"), ("a", None, None, "null y"),
+        (None, at, -5, '{"k":1}'), (None, at, -7, '{"k":"22"}'), (None, datetime(1950, 1, 1), 3, '{"k":333}'),
+        ("b", at, 2**62, "old"), ("b", at, -(2**62), "new"),
+    ]
+    lines = spark.createDataFrame(rows, "source_id string, recv_ts timestamp, seq long, raw string")
+    plan = catalog.field_counts(lines)._jdf.queryExecution().toString()
+    assert "HashAggregate" in plan and "SortAggregate" not in plan
+    got = {(r.source_id, r.field): (r.rows, r.types, r.example, r.longest) for r in catalog.field_catalog(lines).collect()}
+    assert got[None, "k"] == (3, "int,str", "333", 3)
+    assert got["a", "field_1"][::2] == (4, "null") and got["a", "field_1"][3] == 5
+    assert got["b", "field_1"] == (2, "string", "new", 3)
