@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from linefold.functions.infer import FIELDS_TYPE
+from linefold.session import staged
 from linefold.sinks import store
 
 SOURCE_FIELDS = (
@@ -14,6 +15,8 @@ SOURCE_FIELDS = (
     "compression_level STRING, hec_url STRING, hec_token STRING"
 )
 RULE_FIELDS = "field STRING, value VARIANT, enabled BOOLEAN, created DOUBLE"
+#: Column of a document that comes in pieces, and the entries of a piece; registries up to that size are one document.
+PIECE, PIECE_ENTRIES = "piece", 20_000
 POLICY_FIELDS = "fields ARRAY<STRING>, created DOUBLE, enabled BOOLEAN"
 TEMPLATE_FIELDS = (
     "log STRING, fields MAP<STRING, STRUCT<type: STRING, example: STRING, formatted: STRING, "
@@ -22,17 +25,26 @@ TEMPLATE_FIELDS = (
 
 
 def _document(spark: SparkSession, path: str, schema: str) -> DataFrame:
-    """``doc`` of the given type; no rows for a missing or broken document."""
+    """``doc`` of the given type, one row for each of its pieces; no rows for a missing or broken document."""
     if not store.exists(spark, path):
         return spark.createDataFrame([], f"doc {schema}")
     text = spark.read.text(path, wholetext=True)
     return text.select(F.from_json("value", schema).alias("doc")).where(F.col("doc").isNotNull())
 
 
+PLACE = "_place BIGINT"
+
+
+def _place(entry: str) -> Column:
+    """An entry's place: its own in its document, or in a piece the one it says."""
+    return F.coalesce(F.col(f"{entry}._place").cast("int"), F.col("position")).alias("position")
+
+
 def load_sources(spark: SparkSession, path: str) -> DataFrame:
     """``{id: {...}}`` to one row per source; ``position`` keeps the order of the document."""
-    doc = _document(spark, path, f"MAP<STRING, STRUCT<{SOURCE_FIELDS}>>")
-    return doc.select(F.posexplode("doc").alias("position", "source_id", "s")).select("source_id", "position", "s.*")
+    doc = _document(spark, path, f"MAP<STRING, STRUCT<{SOURCE_FIELDS}, {PLACE}>>")
+    held = doc.select(F.posexplode("doc").alias("position", "source_id", "s")).select("source_id", _place("s"), "s.*")
+    return held.drop("_place")
 
 
 def load_rules(spark: SparkSession, path: str) -> DataFrame:
@@ -40,11 +52,11 @@ def load_rules(spark: SparkSession, path: str) -> DataFrame:
 
     A value that isn't text in the document equals no field, so it is null here.
     """
-    doc = _document(spark, path, f"MAP<STRING, ARRAY<STRUCT<{RULE_FIELDS}>>>")
+    doc = _document(spark, path, f"MAP<STRING, ARRAY<STRUCT<{RULE_FIELDS}, {PLACE}>>>")
     lists = doc.select(F.explode("doc").alias("source_id", "list"))
     return lists.select("source_id", F.posexplode("list").alias("position", "r")).select(
         "source_id",
-        "position",
+        _place("r"),
         "r.field",
         F.when(F.schema_of_variant("r.value") == "STRING", F.variant_get("r.value", "$", "string")).alias("value"),
         F.coalesce("r.enabled", F.lit(True)).alias("enabled"),
@@ -90,13 +102,48 @@ def _by_source(entries: Column, key: str = "source_id") -> Column:
     )
 
 
-def _single_document(rows: DataFrame, value: Column) -> DataFrame:
+def _numbered(rows: DataFrame, group: list[str], order: list[str]) -> DataFrame:
+    """Rows with ``_place`` (from 0) in their group, or among all, and ``_part``, the range of places they lie in.
+
+    Rows are dealt into ranges of the order and numbered inside them; ranges are summed up before. So neither a large
+    group nor a large table meets in one task. Ranges are staged, as they must not change between the two looks.
+    """
+    ranged = staged(rows.repartitionByRange(*group, *order).withColumn("_part", F.spark_partition_id()), "ranges")
+    counts = ranged.groupBy(*group, "_part").agg(F.count("*").alias("_n"))
+    before = Window.partitionBy(*group).orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+    base = F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_base")
+    bases = counts.select(*[F.col(g).alias(f"_g{i}") for i, g in enumerate(group)], F.col("_part").alias("_p"), base)
+    inner = ranged.withColumn("_row", F.row_number().over(Window.partitionBy(*group, "_part").orderBy(*order)) - 1)
+    same = F.col("_part") == F.col("_p")
+    for i, g in enumerate(group):
+        same = same & F.col(g).eqNullSafe(F.col(f"_g{i}"))
+    return inner.join(bases, same).select(*rows.columns, "_part", (F.col("_base") + F.col("_row")).alias("_place"))
+
+
+def _is_small(rows: DataFrame) -> bool:
+    return rows.limit(PIECE_ENTRIES + 1).count() <= PIECE_ENTRIES
+
+
+def _pieces(rows: DataFrame, keys: list[str], entry: Column, value: Column) -> DataFrame:
+    """``piece, value``: documents of up to ``PIECE_ENTRIES`` neighbouring entries, which carry their places."""
+    piece = [*keys, "_part", F.floor(F.col("_place") / PIECE_ENTRIES).alias("_piece")]
+    lists = rows.groupBy(*piece).agg(F.array_sort(F.collect_list(F.struct("_place", entry.alias("_entry")))).alias("_list"))
+    named = F.concat_ws("-", F.lit("p"), *[F.sha2(F.col(k), 256) for k in keys], "_part", "_piece")
+    return lists.select(named.alias(PIECE), F.to_json(value).alias("value"))
+
+
+def _single_document(rows: DataFrame, body: list[str]) -> DataFrame:
     """Registry rows as one JSON map, by position where they have one.
 
-    A registry is configuration: one entry per source.
+    A registry is configuration, one entry per source; one with very many comes in pieces.
     """
     order = "position" if "position" in rows.columns else "source_id"
-    entries = rows.select(F.col(order).alias("_order"), "source_id", value.alias("_value")).agg(
+    if not _is_small(rows):
+        placed = _numbered(rows, [], [order])
+        entry = F.struct("source_id", F.struct(*body, F.col("_place")).alias("_value"))
+        pairs = F.transform("_list", lambda e: F.struct(e["_entry"]["source_id"], e["_entry"]["_value"]))
+        return _pieces(placed, [], entry, F.map_from_entries(pairs))
+    entries = rows.select(F.col(order).alias("_order"), "source_id", F.struct(*body).alias("_value")).agg(
         F.collect_list(F.struct("_order", "source_id", "_value")).alias("entries")
     )
     pairs = F.transform(_by_source(F.col("entries"), "_order"), lambda e: F.struct(e["source_id"], e["_value"]))
@@ -104,27 +151,24 @@ def _single_document(rows: DataFrame, value: Column) -> DataFrame:
 
 
 def sources_document(sources: DataFrame) -> DataFrame:
-    body = F.struct(*[c for c in sources.columns if c not in ("source_id", "position")])
-    return _single_document(sources, body)
+    return _single_document(sources, [c for c in sources.columns if c not in ("source_id", "position")])
+
+
+RULE_COLUMNS = ["field", "value", "enabled", "created"]
 
 
 def rules_document(rules: DataFrame) -> DataFrame:
-    order = "position" if "position" in rules.columns else "created"
+    order = F.col("position" if "position" in rules.columns else "created").alias("_order")
+    if not _is_small(rules):
+        placed = _numbered(rules.select("source_id", order, *RULE_COLUMNS), ["source_id"], ["_order", *RULE_COLUMNS])
+        listed = F.transform("_list", lambda r: r["_entry"])
+        return _pieces(placed, ["source_id"], F.struct(*RULE_COLUMNS, "_place"), F.create_map("source_id", listed))
     lists = rules.groupBy("source_id").agg(
-        F.array_sort(
-            F.collect_list(F.struct(F.col(order).alias("_order"), "field", "value", "enabled", "created"))
-        ).alias("_rules")
-    )
-    body = F.transform(
-        "_rules",
-        lambda r: F.struct(
-            r["field"].alias("field"),
-            r["value"].alias("value"),
-            r["enabled"].alias("enabled"),
-            r["created"].alias("created"),
-        ),
+        F.array_sort(F.collect_list(F.struct(order, *RULE_COLUMNS))).alias("_rules")
     )
-    return _single_document(lists, body)
+    body = F.transform("_rules", lambda r: F.struct(*[r[c].alias(c) for c in RULE_COLUMNS]))
+    entries = lists.agg(F.collect_list(F.struct("source_id", body.alias("_value"))).alias("entries"))
+    return entries.select(F.to_json(F.map_from_entries(_by_source(F.col("entries")))).alias("value"))
 
 
 def policies_document(policies: DataFrame, templates: DataFrame) -> DataFrame:
@@ -145,14 +189,23 @@ def policies_document(policies: DataFrame, templates: DataFrame) -> DataFrame:
     held = lambda name: F.map_from_entries(
         _by_source(F.collect_list(F.when(F.col(name).isNotNull(), F.struct("source_id", name))))
     )
-    return both.agg(held("policy").alias("policies"), held("template").alias("templates")).select(
-        F.to_json(F.struct("policies", "templates")).alias("value")
+    halves = [held("policy").alias("policies"), held("template").alias("templates")]
+    value = F.to_json(F.struct("policies", "templates")).alias("value")
+    if _is_small(both):
+        return both.agg(*halves).select(value)
+    # Both halves are without order, so a range of sources can be any part of the document.
+    placed = _numbered(both, [], ["source_id"])
+    return placed.groupBy("_part", F.floor(F.col("_place") / PIECE_ENTRIES).alias("_piece")).agg(*halves).select(
+        F.concat_ws("-", F.lit("p"), "_part", "_piece").alias(PIECE), value
     )
 
 
 def save_document(document: DataFrame, path: str) -> None:
-    """Write a one-row document, replacing what was there."""
-    document.coalesce(1).write.mode("overwrite").text(path)
+    """Write a document, replacing what was there: one file, or one for each of its pieces."""
+    if PIECE in document.columns:
+        document.write.mode("overwrite").partitionBy(PIECE).text(path)
+    else:
+        document.coalesce(1).write.mode("overwrite").text(path)
 
 
 class Registry:
@@ -178,8 +231,11 @@ class Registry:
         """Rows as the next version; the number it got. ``order`` names the column that orders new rows."""
         spark = rows.sparkSession
         if "position" not in rows.columns:
-            place = F.row_number().over(Window.orderBy(order or "source_id")) - 1  # a registry is small
-            rows = rows.withColumn("position", place.cast("bigint"))
+            if _is_small(rows):
+                placed = rows.withColumn("_place", F.row_number().over(Window.orderBy(order or "source_id")) - 1)
+            else:
+                placed = _numbered(rows, [], [order or "source_id"])
+            rows = placed.withColumn("position", F.col("_place").cast("bigint"))
         number = self.version(spark) + 1
         names = [f.name for f in self._fields(spark)]
         rows.select(*names).write.mode("overwrite").parquet(self._path(number))

@@ -7,6 +7,7 @@ import pandas as pd
 
 from linefold.operators import catalog
 from linefold.operators.lockout import LoginState
+from linefold.sources import registries
 from linefold.streaming import state
 
 
@@ -67,3 +68,42 @@ def test_fields_are_counted_without_sorting_them(spark):
     assert got[None, "k"] == (3, "int,str", "333", 3)
     assert got["a", "field_1"][::2] == (4, "null") and got["a", "field_1"][3] == 5
     assert got["b", "field_1"] == (2, "string", "new", 3)
+
+
+def test_a_large_registry_comes_in_pieces(spark, tmp_path, monkeypatch):
+    from pyspark.sql import functions as F
+
+    monkeypatch.setattr(registries, "PIECE_ENTRIES", 10)
+    key = F.col("id")
+    rules = spark.range(200).select(
+        F.when(key % 10 == 0, "b").otherwise("a").alias("source_id"), F.lit("f").alias("field"),
+        F.when(key % 7 != 0, key.cast("string")).alias("value"), (key % 3 != 0).alias("enabled"), (-(key % 50)).cast("double").alias("created"),
+    )
+    document = registries.rules_document(rules)
+    assert document.count() >= 20 and document.agg(F.max(F.length("value"))).first()[0] < 1000
+    registries.save_document(document, f"{tmp_path}/rules")
+    got = [tuple(r) for r in registries.load_rules(spark, f"{tmp_path}/rules").orderBy("source_id", "position").collect()]
+    held = sorted(rules.collect(), key=lambda r: (r.source_id, r.created, r.field, (r.value is not None, r.value or ""), r.enabled))
+    place = {"a": 0, "b": 0}
+    expected = []
+    for r in held:
+        expected.append((r.source_id, place[r.source_id], r.field, r.value, r.enabled, r.created))
+        place[r.source_id] += 1
+    assert got == expected
+
+    kept = registries.Registry(f"{tmp_path}/sources", "source_id STRING, source_name STRING")
+    named = spark.range(95).select(F.concat(F.lit("s"), "id").alias("source_id"), F.lit("n").alias("source_name"), (-F.col("id")).alias("rank"))
+    kept.save(named, "rank")
+    document = registries.sources_document(kept.load(spark))
+    assert document.count() >= 10
+    registries.save_document(document, f"{tmp_path}/document")
+    back = registries.load_sources(spark, f"{tmp_path}/document").orderBy("position").select("position", "source_id").collect()
+    assert [tuple(r) for r in back] == [(k, f"s{94 - k}") for k in range(95)]
+
+    policies = named.select("source_id", F.array("source_name").alias("fields"), F.lit(1.0).alias("created"), F.lit(True).alias("enabled"))
+    templates = catalog.learn_templates(spark.createDataFrame([("t", None, 1, "a=1")], "source_id string, recv_ts timestamp, seq long, raw string"))
+    document = registries.policies_document(policies, templates.withColumn("learned", F.lit(0.0)))
+    assert document.count() >= 10
+    registries.save_document(document, f"{tmp_path}/policies")
+    assert registries.load_policies(spark, f"{tmp_path}/policies").select("source_id").distinct().count() == 95
+    assert [r.raw for r in registries.load_templates(spark, f"{tmp_path}/policies").collect()] == ["a=1"]
