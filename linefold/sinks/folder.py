@@ -2,9 +2,17 @@
 
 from __future__ import annotations
 
+import itertools
+import re
+import zlib
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from linefold.sinks import store
+
 # Fixed value: default gzip level.
 DEFAULT_LEVEL = 9
 
@@ -28,30 +36,66 @@ def write_lines(
 ) -> None:
     """Write ``line`` under ``folder/epoch=N/source_id=.../``.
 
-    ``layout='batch'`` gives every batch its own file: the rows of a batch meet in one task,
-    ordered by ``slot``; a batch is never longer than the batch size. ``layout='packed'``
-    writes large files per source without moving rows, for volumes where a file per batch
-    is too many. An epoch written twice replaces itself.
+    ``layout='batch'`` gives every batch its own file ``session=.../chunk-N.txt``: the rows of a batch meet in one
+    task, ordered by ``slot``; a batch is never longer than the batch size. Such files are small and many, so tasks
+    write each at once and they share folders. ``layout='packed'`` writes large files per source without moving rows,
+    for volumes where a file per batch is too many. An epoch written twice replaces itself.
     """
     target = f"{folder}/epoch={epoch}"
     if layout == "batch":
-        out = lines.repartition("source_id", "session", "chunk").sortWithinPartitions(
-            "source_id", "session", "chunk", "slot"
-        )
-        parts = ["source_id", "session", "chunk"]
+        _write_batches(lines, target, level if compress and level_name(level) else None)
     elif layout == "packed":
-        out, parts = lines, ["source_id"]
+        writer = lines.select("source_id", "line").write.mode("overwrite").partitionBy("source_id")
+        if compress:
+            writer = writer.option("compression", "gzip").option("zlib.compress.level", level_name(level))
+        writer.text(target)
     else:
         raise ValueError(f"unknown layout: {layout}")
-    writer = out.select(*parts, "line").write.mode("overwrite").partitionBy(*parts)
-    if compress:
-        writer = writer.option("compression", "gzip").option("zlib.compress.level", level_name(level))
-    writer.text(target)
+
+
+def _folder_value(value: object) -> str:
+    """A value as Spark names a partition folder by it."""
+    if value is None or value == "":
+        return "__HIVE_DEFAULT_PARTITION__"
+    return re.sub(r"""[\x00-\x1f"#%'*/:=?\\\x7f{\[\]^]""", lambda m: f"%{ord(m[0]):02X}", str(value))
+
+
+def _write_batches(lines: DataFrame, target: str, level: int | None) -> None:
+    """One file per batch, gzip at ``level`` unless that is None."""
+    keys = ["source_id", "session", "chunk"]
+    ordered = lines.repartition(*keys).sortWithinPartitions(*keys, "slot").select(*keys, "line")
+
+    def pieces(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple]:
+        for batch in batches:
+            yield from zip(*[batch.column(i).to_pylist() for i in range(4)])
+
+    def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        count = 0
+        for (source, session, chunk), rows in itertools.groupby(pieces(batches), key=lambda r: r[:3]):
+            data = "".join(f"{'' if row[3] is None else row[3]}\n" for row in rows).encode()
+            name = f"{target}/source_id={_folder_value(source)}/session={_folder_value(session)}/chunk-{chunk}.txt"
+            if level is not None:
+                packer = zlib.compressobj(level, zlib.DEFLATED, 31)
+                name, data = f"{name}.gz", packer.compress(data) + packer.flush()
+            store.put(name, data)
+            count += 1
+        yield pa.RecordBatch.from_arrays([pa.array([count], pa.int64())], names=["files"])
+
+    spark = lines.sparkSession
+    written = ordered.mapInArrow(write, "files BIGINT")
+    if store.exists(spark, target):
+        store.remove(spark, target)
+    written.agg(F.sum("files")).first()
+    store.put(f"{target}/_SUCCESS", b"")
 
 
 def read_lines(spark: SparkSession, folder: str) -> DataFrame:
-    """Delivered lines with their file and partition columns."""
-    return spark.read.text(folder).select("*", F.col("_metadata.file_path").alias("file"))
+    """Delivered lines with their file and partition columns, and ``chunk`` where files are batches."""
+    held, file = spark.read.text(folder), F.col("_metadata.file_path")
+    chunk = []
+    if "session" in held.columns:
+        chunk = [F.regexp_extract(file, r"/chunk-(-?[0-9]+)\.txt(\.gz)?$", 1).cast("bigint").alias("chunk")]
+    return held.select("*", *chunk, file.alias("file"))
 
 
 def manifest_entries(

@@ -7,6 +7,7 @@ import pandas as pd
 
 from linefold.operators import catalog
 from linefold.operators.lockout import LoginState
+from linefold.sinks import folder
 from linefold.sources import registries
 from linefold.streaming import state
 
@@ -107,3 +108,25 @@ def test_a_large_registry_comes_in_pieces(spark, tmp_path, monkeypatch):
     registries.save_document(document, f"{tmp_path}/policies")
     assert registries.load_policies(spark, f"{tmp_path}/policies").select("source_id").distinct().count() == 95
     assert [r.raw for r in registries.load_templates(spark, f"{tmp_path}/policies").collect()] == ["a=1"]
+
+
+def test_batch_files_share_their_folders(spark, tmp_path):
+    from pyspark.sql import functions as F
+
+    lines = spark.range(600).select(
+        F.when(F.col("id") % 2 == 0, "a/b=c").otherwise("d").alias("source_id"), F.lit(0).cast("bigint").alias("session"),
+        F.floor(F.col("id") / 6).alias("chunk"), (600 - F.col("id")).alias("slot"), F.concat(F.lit("\u00e9"), "id").alias("line"),
+    )
+    out = str(tmp_path / "out")
+    folder.write_lines(lines, out)
+    folder.write_lines(lines.where("id >= 300"), out)  # replaces the epoch
+    files = [p for p in (tmp_path / "out").rglob("chunk-*.gz") if not p.name.startswith(".")]
+    assert len(files) == 100 and len({p.parent for p in files}) == 2
+    got = folder.read_lines(spark, out).select("source_id", "session", "chunk", "value").collect()
+    assert sorted(tuple(r) for r in got) == sorted((("a/b=c", "d")[k % 2], 0, k // 6, f"\u00e9{k}") for k in range(300, 600))
+    import gzip
+
+    first = next(p for p in files if p.name == "chunk-50.txt.gz" and "source_id=d" in str(p))
+    assert gzip.open(first, "rt", encoding="utf-8").read() == "\u00e9305\n\u00e9303\n\u00e9301\n"
+    folder.write_lines(lines, str(tmp_path / "plain"), compress=False)
+    assert folder.read_lines(spark, str(tmp_path / "plain")).count() == 600
