@@ -6,6 +6,7 @@ import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 REQUIRED_CONF = {
     # Repeated JSON keys and repeated key=value keys: the last one wins.
@@ -15,6 +16,9 @@ REQUIRED_CONF = {
     "spark.sql.session.timeZone": "UTC",
 }
 
+#: How many times its share of the rows a core may get.
+UNEVEN = 1.5
+
 
 def configure(spark: SparkSession) -> SparkSession:
     """Apply the runtime settings to an existing session and return it."""
@@ -47,15 +51,19 @@ def checkpoint_folder(spark: SparkSession, fallback: str | None = None) -> str |
 
 
 def spread(rows: DataFrame) -> DataFrame:
-    """Rows whose input has fewer splits than there are cores, dealt over all cores.
+    """Rows of which some cores would get far more than their share, dealt over all cores.
 
-    Reading text is far more work than moving it, and one file with one row group is one
-    task. Inputs with enough splits, as all large ones, stay as they are.
+    Reading text is far more work than moving it. One file with one row group is one task, into however many splits
+    the file is cut, so what counts is the rows in each split; they come from the footers alone. Inputs that fill the
+    cores evenly, as all large ones, stay as they are.
     """
-    cores = rows.sparkSession.sparkContext.defaultParallelism
-    if rows.isStreaming or rows.rdd.getNumPartitions() >= cores:
+    if rows.isStreaming:
+        return rows
+    cores, splits = rows.sparkSession.sparkContext.defaultParallelism, rows.groupBy(F.spark_partition_id().alias("split")).count()
+    most, total, held = splits.agg(F.max("count"), F.sum("count"), F.count("*")).first()
+    if not total or most * cores <= UNEVEN * total:
         return rows
-    return rows.repartition(cores)
+    return rows.repartition(max(cores, held))
 
 
 def scratch(spark: SparkSession, name: str = "run") -> str:

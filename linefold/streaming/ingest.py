@@ -13,6 +13,7 @@ from pyspark.sql.streaming import DataStreamWriter, StreamingQuery
 from linefold.operators import batching, catalog, collapse
 from linefold.operators.ordering import floor_div
 from linefold.plans.flow import LogFlow
+from linefold.session import spread
 from linefold.sinks import store
 from linefold.sources import messages
 
@@ -245,7 +246,8 @@ def start(
         if ticks is not None:
             now = rows.agg(F.max("_tick")).first()[0]
             rows = rows.where("_tick is null").drop("_tick")
-        deliver(tails.advance(make_flow(rows.sparkSession), rows, epoch, time, now), epoch)
+        # What lands in a trigger is often a part of a time range, in few and uneven files.
+        deliver(tails.advance(make_flow(rows.sparkSession), spread(rows), epoch, time, now), epoch)
 
     return _begin(rows.writeStream.foreachBatch(each), checkpoint, trigger)
 

@@ -130,3 +130,23 @@ def test_batch_files_share_their_folders(spark, tmp_path):
     assert gzip.open(first, "rt", encoding="utf-8").read() == "\u00e9305\n\u00e9303\n\u00e9301\n"
     folder.write_lines(lines, str(tmp_path / "plain"), compress=False)
     assert folder.read_lines(spark, str(tmp_path / "plain")).count() == 600
+
+
+def test_one_row_group_in_many_splits_is_dealt_out(spark, tmp_path):
+    from pyspark.sql import functions as F
+
+    from linefold.session import spread
+
+    path, size = str(tmp_path / "one"), "spark.sql.files.maxPartitionBytes"
+    spark.range(40_000).select("id", F.sha2(F.col("id").cast("string"), 256).alias("raw")).coalesce(1).write.parquet(path)
+    spark.conf.set(size, "64k")
+    try:
+        rows = spark.read.parquet(path)
+        cores = spark.sparkContext.defaultParallelism
+        assert rows.rdd.getNumPartitions() >= cores  # many splits, one of which has all rows
+        shares = [r["count"] for r in spread(rows).groupBy(F.spark_partition_id()).count().collect()]
+        assert max(shares) * cores <= 1.5 * sum(shares) and sum(shares) == 40_000
+        even = spark.range(0, 1000, 1, cores)
+        assert spread(even) is even
+    finally:
+        spark.conf.unset(size)
