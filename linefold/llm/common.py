@@ -17,6 +17,8 @@ from pyspark.sql import types as T
 
 #: Text handed to one call of a batch function; bounds the memory of a Python worker.
 CHUNK_BYTES = 4 << 20
+#: Text whose words are hashed at once, at some 40 bytes of memory for each of its own.
+HASH_BYTES = 1 << 19
 
 ARROW = {
     "long": pa.int64(),
@@ -203,15 +205,19 @@ def hash_words(rows: Sequence[bytes]) -> tuple[np.ndarray, np.ndarray]:
     A row is words joined by single spaces. The hash of a word depends on its bytes alone.
     """
     counts = np.array([r.count(b" ") + 1 if r else 0 for r in rows], dtype=np.int64)
-    stream = np.frombuffer(b" ".join(r for r in rows if r), dtype=np.uint8)
-    if not len(stream):
-        return np.empty(0, dtype=np.uint64), counts
+    full = [r for r in rows if r]
+    hashes = [_hashes(b" ".join(full[a:b])) for a, b in slices([len(r) for r in full], HASH_BYTES)]
+    return np.concatenate(hashes) if hashes else np.empty(0, dtype=np.uint64), counts
+
+
+def _hashes(words: bytes) -> np.ndarray:
+    stream = np.frombuffer(words, dtype=np.uint8)
     up, down = _powers(len(stream) + 1)
     sums = np.zeros(len(stream) + 1, dtype=np.uint64)
     np.cumsum(_TABLE[stream] * up[: len(stream)], out=sums[1:])
     ends = np.append(np.flatnonzero(stream == 32), len(stream))
     starts = np.append(0, ends[:-1] + 1)
-    return mix((sums[ends] - sums[starts]) * down[starts]), counts
+    return mix((sums[ends] - sums[starts]) * down[starts])
 
 
 def digest(ids: np.ndarray) -> int:

@@ -10,7 +10,7 @@ are different next bytes; the root is smoothed evenly. A byte is scored in the s
 suffix of what stands before it.
 
 Texts are gathered in blocks of about BLOCK_BYTES, written once. Each block sends its distinct words and its
-distinct byte windows with their counts, dealt by hash over BUCKETS tables, or one per BLOCKS_A_BUCKET blocks
+distinct byte windows (those of the same nearest bytes together) with their counts, dealt by hash over BUCKETS tables, or one per BLOCKS_A_BUCKET blocks
 where that is more, so frequent ones are added up before the shuffle and no table grows with a frequent word
 or with the corpus. Tables answer each block with the counts of its words in the whole training corpus. The
 counts of windows are added by order in Spark, and the tree is one table per length: probabilities go from
@@ -35,10 +35,12 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from linefold.llm.common import discard, hash_words, scratch, word_bytes, written
+from linefold.llm.common import discard, hash_words, mix, scratch, word_bytes, written
 
 DEPTH, MIN_COUNT = 6, 50
-BLOCK_BYTES, BUCKETS, BLOCKS_A_BUCKET, STEP_BYTES = 4 << 20, 64, 4, 1 << 20
+BLOCK_BYTES, BUCKETS, BLOCKS_A_BUCKET, STEP_BYTES = 8 << 20, 64, 2, 1 << 20
+#: Bits of a window that don't say where it goes: its byte and the farthest byte of its context.
+NEAR_BITS = 16
 END = 10
 NULL_KEY = np.iinfo(np.int64).min
 
@@ -79,7 +81,7 @@ def counted(keys: np.ndarray, weights: np.ndarray | None = None) -> tuple[np.nda
 
 
 def blocks(docs: DataFrame, key: str, text: str, held: str) -> DataFrame:
-    """Rows of neighbouring documents: ids, flags, sizes and bodies back to back."""
+    """Rows of neighbouring documents: ids, flags, sizes and bodies back to back, packed."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         part, number, kept, size = TaskContext.get().partitionId(), 0, [], 0
@@ -92,7 +94,7 @@ def blocks(docs: DataFrame, key: str, text: str, held: str) -> DataFrame:
                 np.array([NULL_KEY if i is None else i for i in ids], dtype=np.int64).tobytes(),
                 np.array(flags, dtype=np.bool_).tobytes(),
                 np.array([len(b) for b in bodies], dtype=np.int64).tobytes(),
-                b"".join(bodies),
+                _pack(np.frombuffer(b"".join(bodies), dtype=np.uint8)),
             ]
             kinds = (pa.int64(), pa.int64(), *[pa.binary()] * 4)
             names = [c.split()[0] for c in _BLOCKS.split(", ")]
@@ -124,8 +126,8 @@ class Block:
 
     @classmethod
     def of(cls, ids: bytes, held: bytes, sizes: bytes, body: bytes) -> Block:
-        arrays = [np.frombuffer(d, dtype=t) for d, t in ((ids, np.int64), (held, np.bool_), (sizes, np.int64), (body, np.uint8))]
-        return cls(*arrays)
+        arrays = [np.frombuffer(d, dtype=t) for d, t in ((ids, np.int64), (held, np.bool_), (sizes, np.int64))]
+        return cls(*arrays, _unpack(body, np.uint8))
 
     def words(self) -> tuple[np.ndarray, np.ndarray]:
         """Hashes of all words, and the number of words of each document."""
@@ -191,7 +193,8 @@ def dealt(keys: np.ndarray, bucket: np.ndarray, buckets: int) -> tuple[np.ndarra
 
 
 def _window_bucket(keys: np.ndarray, buckets: int) -> np.ndarray:
-    return (keys * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(40)) % np.uint64(buckets)
+    """By the nearest bytes, so that windows that share them stay together and pack well."""
+    return (mix(keys >> np.uint64(NEAR_BITS)) >> np.uint64(8)) % np.uint64(buckets)
 
 
 def _gather(table: DataFrame, buckets: int = BUCKETS) -> DataFrame:
