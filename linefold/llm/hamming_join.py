@@ -10,10 +10,10 @@ a key are not paired with each other: each node is first held against the least
 centre is its least node), then, for what is not yet together, against the other centres, then against a node
 of each key's own drawing; links are confirmed on full sets, and components are formed after each round. What is left are keys of three or more with several components. A member
 of no or a smaller component is then held against the big component's members as one block after another, set
-by set, and yields one link per block at most. Pairs outside big components are tried one by one, under their
+by set, and yields one link per block at most. Pairs outside big components are tried in blocks too, under their
 first shared key only, and only if their distances to a common centre allow a link (one minus the similarity
-is a metric) and so do the items that one of the two has alone. So no link is lost, and a group of thousands
-of near copies costs about a link per copy.
+is a metric) and so do the items that one of the two has alone; members without such a pair leave the block before
+sets are read. So no link is lost, and a group of thousands of near copies costs about a link per copy.
 
 Keys, links and components stay in tables in the shared folder; nothing of theirs goes to the driver but
 counts. Hot groups meet only in partial aggregates, joins that Spark may split, and blocks.
@@ -298,8 +298,52 @@ def _alone(rows: DataFrame, nodes: DataFrame, docs: DataFrame, key: str, text: s
     return written(one.groupBy("node").agg(F.count(F.lit(1)).alias("alone")), "alone")
 
 
+_PLACE = ["key", "i", "j"]
+
+
+def _by_block(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """The rows of one block after another, from rows in their order."""
+    held = None
+    for frame in frames:
+        held = frame if held is None else pd.concat([held, frame], ignore_index=True)
+        if not len(held):
+            continue
+        same = (held[_PLACE] == held[_PLACE].iloc[-1]).all(axis=1).to_numpy()
+        done, held = held[~same], held[same]
+        for _, group in done.groupby(_PLACE, sort=False):
+            yield group
+    if held is not None and len(held):
+        yield held
+
+
+def _candidates(frame: pd.DataFrame, percent: int) -> Iterator[tuple[int, np.ndarray]]:
+    """For the rows of a block: the row, and the rows after or across it that it may be linked with."""
+    own, label, n, alone = (frame[c].to_numpy() for c in ("own", "label", "n", "alone"))
+    node, near, far = (frame[c].to_numpy() for c in ("node", "near", "far"))
+    i, j, slot = int(frame.i.iloc[0]), int(frame.j.iloc[0]), int(frame.slot.iloc[0])
+    sig = np.frombuffer(b"".join(frame.sig), dtype=np.uint16).reshape(-1, SYMBOLS)
+    for x in range(len(frame)):
+        ok = (label != label[x]) & (own == j) & ((own[x] == i) if i != j else (node > node[x]))
+        # What one set has alone it shares with none.
+        both = np.minimum(n - alone, n[x] - alone[x])
+        ok &= 100 * both >= percent * (n + n[x] - both)
+        # Not known (nan) never excludes; 1e-9 is for rounding.
+        most = 1 - percent / 100 + 1e-9
+        ok &= ~(np.abs(near - near[x]) > most) & ~(np.abs(far - far[x]) > most)
+        at = np.flatnonzero(ok)
+        if len(at):
+            equal = sig[at] == sig[x]
+            at, equal = at[keep := equal.sum(axis=1) >= LEAST_EQUAL], equal[keep]
+            by_chunk = equal.reshape(-1, CHUNKS, ROWS)
+            first = np.argmax(by_chunk.sum(axis=2) >= ROWS - 1, axis=1)
+            unread = np.argmin(by_chunk[np.arange(len(at)), first], axis=1)
+            at = at[first * ROWS + unread == slot]
+            if len(at):
+                yield x, at
+
+
 def _across(rows: DataFrame, percent: int) -> DataFrame:
-    """Pairs across components inside each key, compared in blocks."""
+    """Members of keys, by block, that have a candidate across components there."""
     parts = F.ceil(F.col("members") / BLOCK).cast("int")
     own = F.pmod(F.xxhash64("node"), F.col("parts")).cast("int")
     spread = (
@@ -308,48 +352,47 @@ def _across(rows: DataFrame, percent: int) -> DataFrame:
         .withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
         .withColumn("i", F.least("own", "other"))
         .withColumn("j", F.greatest("own", "other"))
-        .select("key", "i", "j", "own", "node", "label", "slot", "n", "alone", "sig", "near", "far")
+        .select(*_PLACE, "own", "node", "label", "slot", "n", "alone", "sig", "near", "far")
     )
-    dealt = spread.repartition("key", "i", "j").sortWithinPartitions("key", "i", "j")
-
-    def block(frame: pd.DataFrame) -> tuple[np.ndarray, np.ndarray]:
-        own, label, n, alone = (frame[c].to_numpy() for c in ("own", "label", "n", "alone"))
-        node, near, far = (frame[c].to_numpy() for c in ("node", "near", "far"))
-        i, j, slot = int(frame.i.iloc[0]), int(frame.j.iloc[0]), int(frame.slot.iloc[0])
-        sig = np.frombuffer(b"".join(frame.sig), dtype=np.uint16).reshape(-1, SYMBOLS)
-        out = []
-        for x in range(len(frame)):
-            ok = (label != label[x]) & (own == j) & ((own[x] == i) if i != j else (node > node[x]))
-            # What one set has alone it shares with none.
-            both = np.minimum(n - alone, n[x] - alone[x])
-            ok &= 100 * both >= percent * (n + n[x] - both)
-            # Not known (nan) never excludes; 1e-9 is for rounding.
-            most = 1 - percent / 100 + 1e-9
-            ok &= ~(np.abs(near - near[x]) > most) & ~(np.abs(far - far[x]) > most)
-            at = np.flatnonzero(ok)
-            if len(at):
-                equal = sig[at] == sig[x]
-                at, equal = at[keep := equal.sum(axis=1) >= LEAST_EQUAL], equal[keep]
-                by_chunk = equal.reshape(-1, CHUNKS, ROWS)
-                first = np.argmax(by_chunk.sum(axis=2) >= ROWS - 1, axis=1)
-                unread = np.argmin(by_chunk[np.arange(len(at)), first], axis=1)
-                at = at[first * ROWS + unread == slot]
-                out.append(np.stack([np.full(len(at), node[x]), node[at]], axis=1))
-        pairs = np.concatenate(out) if out else np.empty((0, 2), dtype=np.int64)
-        return pairs.min(axis=1, initial=2**63 - 1), pairs.max(axis=1, initial=-(2**63))
+    dealt = spread.repartition(*_PLACE).sortWithinPartitions(*_PLACE)
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        held = None
-        for frame in frames:
-            held = frame if held is None else pd.concat([held, frame], ignore_index=True)
-            same = (held[["key", "i", "j"]] == held[["key", "i", "j"]].iloc[-1]).all(axis=1).to_numpy()
-            done, held = held[~same], held[same]
-            for _, group in done.groupby(["key", "i", "j"], sort=False):
-                a, b = block(group)
-                yield pd.DataFrame({"a": a, "b": b})
-        if held is not None and len(held):
-            a, b = block(held)
-            yield pd.DataFrame({"a": a, "b": b})
+        for group in _by_block(frames):
+            open_ = np.zeros(len(group), dtype=bool)
+            for x, at in _candidates(group, percent):
+                open_[x] = open_[at] = True
+            if open_.any():
+                yield group[open_]
+
+    return dealt.mapInPandas(run, dealt.schema)
+
+
+def _links_across(
+    across: DataFrame, nodes: DataFrame, docs: DataFrame, key: str, text: str, width: int, percent: int
+) -> DataFrame:
+    """Links a, b between candidates, found on full sets inside each block.
+
+    Sets go to the blocks, not to pairs, and a block gives no link that its others imply; so the rows that are made
+    grow with the members, though many of a group may be candidates of each other.
+    """
+    wanted = across.select("node").distinct().join(nodes.select("node", "lo", "d1"), "node")
+    found = full_sets(written(wanted, "wanted"), docs, key, text, width)
+    dealt = across.join(found, "node").repartition(*_PLACE).sortWithinPartitions(*_PLACE)
+
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for group in _by_block(frames):
+            node, sets = group.node.to_numpy(), [np.frombuffer(x, dtype=np.uint64) for x in group["items"]]
+            team, out = np.arange(len(group)), []
+            for x, at in _candidates(group, percent):
+                for y in at.tolist():
+                    if team[x] == team[y]:
+                        continue
+                    both = len(np.intersect1d(sets[x], sets[y], assume_unique=True))
+                    if 100 * both >= percent * (len(sets[x]) + len(sets[y]) - both):
+                        team[team == team[y]] = team[x]
+                        out.append((min(node[x], node[y]), max(node[x], node[y])))
+            if out:
+                yield pd.DataFrame(out, columns=["a", "b"])
 
     return dealt.mapInPandas(run, "a long, b long")
 
@@ -416,11 +459,8 @@ def cluster(docs: DataFrame, key: str = "doc_id", text: str = "text", width: int
             rows = written(rows.join(nodes.select("node", "n", "sig"), "node"), "rows")
             alone = _alone(rows, nodes, docs, key, text, width)
             rows = rows.join(alone, "node", "left").withColumn("alone", F.coalesce("alone", F.lit(0)))
-            pairs = written(_across(rows, percent), "across")
-            done = near.select("a", "b").union(far.select("a", "b"))
-            done = done.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
-            rest = written(confirm(pairs.join(done, ["a", "b"], "left_anti"), nodes, docs, key, text, width, percent), "tried")
-            links = links.union(rest.where("linked").select("a", "b"))
+            across = written(_across(rows, percent), "across")
+            links = links.union(written(_links_across(across, nodes, docs, key, text, width, percent), "links"))
         labels = components(links)
 
     named = nodes.select("node", "lo", "d1", "d2", "n").join(labels, "node", "left")

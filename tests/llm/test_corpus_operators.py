@@ -391,3 +391,27 @@ def test_windows_that_share_their_nearest_bytes_are_sent_together():
     packed = [suffix_tree._pack_keys(sent[i:j]) for i, j in zip(cuts[:-1], cuts[1:])]
     assert all((suffix_tree._unpack_keys(p) == sent[i:j]).all() for p, i, j in zip(packed, cuts[:-1], cuts[1:]))
     assert sum(len(p) for p in packed) < 3 * len(grams)
+
+
+def test_candidates_of_a_group_without_links_are_no_rows(spark, monkeypatch):
+    rng = np.random.default_rng(8)
+    base = [f"w{i}" for i in range(300)]
+    texts = []
+    for _ in range(240):
+        words = list(base)
+        for at in rng.choice(300, 20, replace=False):
+            words[at] = f"x{at}y{rng.integers(3)}"
+        texts.append(" ".join(words))
+    texts.append(texts[100] + " more")
+    tried, confirm = [], hamming_join.confirm
+
+    def counted(pairs, *rest):
+        tried.append(pairs.count())
+        return confirm(pairs, *rest)
+
+    monkeypatch.setattr(hamming_join, "confirm", counted)
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    rows = hamming_join.cluster(docs, width=2, percent=80).collect()
+    got = {r.doc_id: (r.n_shingles, r.component_id) for r in rows}
+    assert got == clusters(dict(enumerate(texts)), 2)
+    assert sum(tried) < 50 * len(texts)
