@@ -28,7 +28,7 @@ from linefold.operators import collapse
 from linefold.plans import dispatch
 from linefold.plans.flow import LogFlow, split_targets
 from linefold.session import scratch
-from linefold.sinks import batch_files, folder, hec
+from linefold.sinks import batch_files, folder, hec, store
 from linefold.sinks.ledger import Ledger
 from linefold.sources.messages import arrivals
 from linefold.streaming import ingest, state
@@ -265,12 +265,6 @@ def folder_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return entries.select("source_id", "session", "chunk", "count", "compressed", "compression_level", name)
 
 
-def whole_files(spark: SparkSession, path: str) -> DataFrame:
-    """``file, value``: the text of every file, unpacked."""
-    held = spark.read.option("recursiveFileLookup", True).text(path, wholetext=True)
-    return held.select(F.regexp_extract(F.col("_metadata.file_path"), "[^/]*$", 0).alias("file"), "value")
-
-
 @query(
     "dispatch_targets",
     f"""SELECT target_type, source_id, session, chunk, count(*) AS events,
@@ -286,11 +280,11 @@ def dispatch_targets(spark: SparkSession, sf_dir: str) -> DataFrame:
     for _ in range(2):  # the second run finds all targets through
         send(lines, 0)
     entries = batch_files.read_manifest(spark, f"{path}/out/manifest")
-    named = entries.select("source_id", "session", "chunk", F.col("count").alias("events"), F.regexp_extract("filename", "[^/]*$", 0).alias("file"))
-    filed = named.join(whole_files(spark, f"{path}/files"), "file").withColumn("target_type", F.lit("FOLDER"))
+    named = entries.select("source_id", "session", "chunk", F.col("count").alias("events"), "filename")
+    filed = store.with_text(named, "filename").withColumn("target_type", F.lit("FOLDER"))
     posts = hec.batch_bodies(send.held(lines, 0).where("target_type = 'HEC'"), make(spark))
-    named = posts.select("request_id", F.sha2(F.encode("body", "UTF-8"), 256).alias("file"))
-    bodies = named.join(whole_files(spark, f"{path}/requests"), "file")
+    named = posts.select("request_id", F.concat_ws("/", "hec_url", F.sha2(F.encode("body", "UTF-8"), 256)).alias("filename"))
+    bodies = store.with_text(named, "filename")
     posted = Ledger(f"{path}/out/ledger").sent(spark).join(bodies, "request_id").withColumn("target_type", F.lit("HEC"))
     names = ["target_type", "source_id", "session", "chunk", "events", "value"]
     both = filed.select(*names).unionByName(posted.select(*names))

@@ -2,10 +2,17 @@
 
 from __future__ import annotations
 
+import gzip
 import os
 import uuid
+from collections.abc import Iterator
 
-from pyspark.sql import SparkSession
+import pyarrow as pa
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import types as T
+
+#: Files that a task holds at once.
+HELD = 256
 
 
 def local_path(uri: str) -> str | None:
@@ -46,6 +53,54 @@ def has(uri: str) -> bool:
     return store.get_file_info(inner).type != fs.FileType.NotFound
 
 
+def get(uri: str) -> bytes | None:
+    """The content of a file, None if there is none."""
+    path = local_path(uri)
+    try:
+        if path is not None:
+            with open(path, "rb") as file:
+                return file.read()
+        store, inner = _store(uri)
+        with store.open_input_file(inner) as file:
+            return file.read()
+    except FileNotFoundError:
+        return None
+
+
+def names(folder: str) -> list[str]:
+    """Names of the complete files in a folder; none if there is no such folder."""
+    path = local_path(folder)
+    if path is not None:
+        held = os.listdir(path) if os.path.isdir(path) else []
+    else:
+        from pyarrow import fs
+
+        store, inner = _store(folder)
+        held = [f.base_name for f in store.get_file_info(fs.FileSelector(inner, allow_not_found=True))]
+    return [name for name in held if not name.startswith(".")]
+
+
+def with_text(rows: DataFrame, uri: str) -> DataFrame:
+    """Rows with ``value``, the unpacked text of the file that a column names; rows whose file is missing go.
+
+    Tasks read the files by name. For many small files that is far less than listing them and giving a task to each few.
+    """
+    schema, at = T.StructType([*rows.schema.fields, T.StructField("value", T.StringType())]), rows.columns.index(uri)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for a in range(0, batch.num_rows, HELD):
+                part = batch.slice(a, HELD)
+                places = part.column(at).to_pylist()
+                held = [None if p is None else get(p) for p in places]
+                found = pa.array([h is not None for h in held])
+                texts = [(gzip.decompress(h) if p.endswith(".gz") else h).decode() for p, h in zip(places, held) if h is not None]
+                kept = part.filter(found)
+                yield pa.RecordBatch.from_arrays([*kept.columns, pa.array(texts, pa.string())], names=schema.names)
+
+    return rows.repartition(4 * rows.sparkSession.sparkContext.defaultParallelism).mapInArrow(run, schema)
+
+
 def _hadoop(spark: SparkSession, path: str):
     held = spark._jvm.org.apache.hadoop.fs.Path(path)
     return held, held.getFileSystem(spark._jsc.hadoopConfiguration())

@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from linefold.operators import batching, lockout, ordering
 from linefold.plans import dispatch
 from linefold.plans.flow import LogFlow
-from linefold.sinks import batch_files, hec
+from linefold.sinks import batch_files, hec, ledger, store
 from linefold.sinks.ledger import Ledger
 from linefold.streaming import ingest
 from tests import model
@@ -305,3 +305,26 @@ def test_clock_ends_silent_connections(spark, tmp_path):
     assert got(framing.advance(chunk(100, 1, b"d\ne"), 4, at(101))) == [(2, b"d")]
     assert got(framing.advance(chunk(101, 2, None), 5, at(102))) == [(3, b"e")]
     assert framing.flush(spark, 5).count() == 0
+
+
+def test_records_lie_in_folders_that_tasks_read(spark, tmp_path):
+    book = Ledger(str(tmp_path / "ledger"))
+    for k in range(300):
+        ledger.record(book.open_folder(1), f"r{k}", ("src1", None if k == 7 else k, 0), k, 200)
+    assert ledger.recorded(book.open_folder(1), "r5") and not ledger.recorded(book.open_folder(1), "r300")
+    open_ = tmp_path / "ledger" / "open" / "epoch=1"
+    assert all(x.is_dir() for x in open_.iterdir())
+    (next(open_.iterdir()) / ".unfinished").write_bytes(b"{")
+    scan = ledger.records(spark, book.open_folder(1))._jdf.queryExecution().executedPlan().toString()
+    assert "FileScan" not in scan
+    book.settle(spark, 1)
+    got = {(r.request_id, r.session, r.events, r.epoch) for r in book.sent(spark).collect()}
+    assert got == {(f"r{k}", None if k == 7 else k, k, 1) for k in range(300)} and not open_.exists()
+
+
+def test_files_are_read_by_name(spark, tmp_path):
+    (tmp_path / "a.json").write_text("one\nÄ\n", encoding="utf-8")
+    (tmp_path / "b.json.gz").write_bytes(gzip.compress(b"two\n"))
+    rows = [(k, None if name is None else str(tmp_path / name)) for k, name in enumerate(["a.json", "b.json.gz", "c.json", None])]
+    got = store.with_text(spark.createDataFrame(rows, "k long, file string"), "file").select("k", "value").collect()
+    assert sorted(map(tuple, got)) == [(0, "one\nÄ\n"), (1, "two\n")]
